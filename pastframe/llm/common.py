@@ -37,6 +37,11 @@ def without_blanks(c: Column) -> Column:
     return c
 
 
+def own_key(c: str | Column) -> Column:
+    """The same long, computed: joined on it, a grouped table is shuffled anew, so that Spark may split the rows of a hot key."""
+    return (F.col(c) if isinstance(c, str) else c).bitwiseXOR(F.lit(0))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list of longs: (node, root).
 
@@ -51,9 +56,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = both.where("v > u").join(low.withColumn("u", own_key("u")), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        j = e.join(low, "u")
+        j = e.join(low.withColumn("u", own_key("u")), "u")
         e = durable(j.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:

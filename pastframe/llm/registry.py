@@ -1,10 +1,11 @@
 """The queries of this folder by name, and their SQL where SQL can say it."""
 
-from . import exact_dedup, line_dedup, url_filter
+from . import exact_dedup, line_dedup, simhash_dedup, url_filter
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
     "op2_url_filter": url_filter,
+    "op6_simhash_dedup": simhash_dedup,
     "op8_exact_dedup": exact_dedup,
 }
 

@@ -1,13 +1,17 @@
 """The queries of this folder by name, and their SQL where SQL can say it."""
 
-from . import exact_dedup, line_dedup, simhash_dedup, url_filter
+from . import exact_dedup, line_dedup, packing, simhash_dedup, tokens, url_filter
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
     "op2_url_filter": url_filter,
     "op6_simhash_dedup": simhash_dedup,
+    "op7_packing": packing,
     "op8_exact_dedup": exact_dedup,
 }
 
-QUERIES = {name: m.query for name, m in _MODULES.items()}
+QUERIES = {name: m.query for name, m in _MODULES.items()} | {
+    "op3_bpe_encode": tokens.query_encode,
+    "op9_token_count": tokens.query_count,
+}
 ORACLE_SQL = {name: m.SQL for name, m in _MODULES.items() if getattr(m, "SQL", None)}

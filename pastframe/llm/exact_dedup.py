@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, without_blanks
+from .common import own_key, table, without_blanks
 
 #: A chunk ends after one of these letters, at 512 characters or more and at 4096 at the latest.
 CUT = r"(?s).{512,4095}?[qxzjkwQXZJKWvbVB0-9]|.+"
@@ -47,7 +47,8 @@ def dedup_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     named = src.select("doc_id", "n", F.transform(_chunks(F.col("norm")), name).alias("recipe"), F.sha2("norm", 256).alias("text_sha256"))
     best = F.struct(F.col("n"), F.coalesce(-F.col("doc_id"), F.lit(-(2**63))))
     groups = named.groupBy("recipe").agg(F.max_by("doc_id", best).alias("keep_id"), F.count("*").alias("group_size"))
-    return named.join(groups, "recipe").select(
+    groups = groups.withColumn("k", own_key(F.xxhash64("recipe")))
+    return named.withColumn("k", F.xxhash64("recipe")).join(groups, ["k", "recipe"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 

@@ -1,11 +1,12 @@
 """The queries of this folder by name, and their SQL where SQL can say it."""
 
-from . import exact_dedup, fingerprint, line_dedup, packing, simhash_dedup, tokens, url_filter
+from . import exact_dedup, fingerprint, html_extract, line_dedup, packing, simhash_dedup, tokens, url_filter
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
     "op2_url_filter": url_filter,
     "op4_fingerprint": fingerprint,
+    "op5_html_extract": html_extract,
     "op6_simhash_dedup": simhash_dedup,
     "op7_packing": packing,
     "op8_exact_dedup": exact_dedup,

@@ -1,6 +1,6 @@
 """The queries of this folder by name, and their SQL where SQL can say it."""
 
-from . import exact_dedup, fingerprint, html_extract, line_dedup, packing, simhash_dedup, tokens, url_filter
+from . import exact_dedup, fingerprint, html_extract, line_dedup, packing, quality, simhash_dedup, tokens, url_filter
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
@@ -10,6 +10,7 @@ _MODULES = {
     "op6_simhash_dedup": simhash_dedup,
     "op7_packing": packing,
     "op8_exact_dedup": exact_dedup,
+    "op10_quality": quality,
 }
 
 QUERIES = {name: m.query for name, m in _MODULES.items()} | {

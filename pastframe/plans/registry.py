@@ -1,4 +1,8 @@
 """Every query of the library by name, with its SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import history_queries
+
+_PARTS = [history_queries]
+
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}

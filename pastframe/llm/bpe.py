@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
@@ -143,42 +143,75 @@ class RankMerger:
         return out
 
 
-class Memo:
-    """Results by text, for the texts used of late: when the younger half is full it becomes the older one."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def all(self, texts: list[str], make: Callable[[list[str]], Iterable]) -> list:
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        got = [young.get(t) for t in texts]
-        missing = []
-        for i, x in enumerate(got):
-            if x is None:
-                x = old.get(texts[i])
-                if x is None:
-                    missing.append(i)
-                else:
-                    got[i] = young[texts[i]] = x
-        if missing:
-            for i, x in zip(missing, make([texts[i] for i in missing]), strict=True):
-                got[i] = young[texts[i]] = x
-        return got
-
+class _Codes(dict):
+    """Text to code; texts that have none get the next one and are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        code = self[text] = len(self)
+        self.new.append(text)
+        return code
+
+
+class Lexicon:
+    """Pieces of numbers by text, for texts that repeat: one lookup a text, one ragged table.
+
+    ``make`` gives the pieces of new texts as (numbers in a row, how many each). At
+    ``limit`` texts those seen only once are forgotten, and of the others the rarer
+    ones beyond half the limit.
+    """
+
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int, kind: type = np.int32):
+        self.make, self.limit = make, limit
+        self.codes_of, self.seen = _Codes(), np.zeros(0, np.int64)
+        self.flat, self.size = np.zeros(0, kind), np.zeros(0, np.int64)
+        self.start = self.size
+
+    def _shrink(self) -> None:
+        often = np.flatnonzero(self.seen > 1)
+        kept = np.sort(often[np.argsort(-self.seen[often], kind="stable")[: self.limit // 2]])
+        texts = list(self.codes_of)
+        flat = self.pieces(kept) if len(self.flat) else self.flat  # counts alone have no numbers
+        size, seen = self.size[kept], self.seen[kept] // 2
+        self.codes_of = _Codes()
+        for k in kept.tolist():
+            self.codes_of[texts[k]]  # noqa: B018  takes the next code
+        self.codes_of.new.clear()
+        self.flat, self.size, self.seen = flat, size, seen
+        self.start = np.cumsum(size) - size
+
+    def codes(self, texts: list[str]) -> np.ndarray:
+        """The codes of texts; they hold until the next call."""
+        if len(self.codes_of) > self.limit:
+            self._shrink()
+        out = np.fromiter(map(self.codes_of.__getitem__, texts), np.int64, len(texts))
+        if new := self.codes_of.new:
+            flat, size = self.make(new)
+            new.clear()
+            self.flat, self.size = np.concatenate((self.flat, flat)).astype(self.flat.dtype), np.concatenate((self.size, size))
+            self.start = np.cumsum(self.size) - self.size
+            self.seen = np.concatenate((self.seen, np.zeros(len(size), np.int64)))
+        self.seen += np.bincount(out, minlength=len(self.seen))
+        return out
 
-def coded(units: list[str]) -> tuple[list[str], np.ndarray]:
-    """Distinct units, and the place of each unit among them."""
-    place = {u: i for i, u in enumerate(dict.fromkeys(units))}
-    return list(place), np.fromiter(map(place.__getitem__, units), np.int64, len(units))
+    def pieces(self, codes: np.ndarray) -> np.ndarray:
+        return gather(self.flat, self.start, self.size, codes)
 
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The pieces of ``flat`` (of the given starts and sizes) that ``codes`` name, one after the other."""
     n = size[codes]
-    start = start[codes]
-    return flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return flat[np.repeat(start[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def sums(values: np.ndarray, counts: list[int]) -> np.ndarray:
+    """Sums of successive runs of ``values``, of the given lengths."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(values)))
+    return total[ends] - total[ends - counts]
 
 
 def words_of(text: str) -> list[str]:
@@ -197,14 +230,15 @@ def lower(text: str) -> str:
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
-def word_pieces(v: Vocabulary, word: str) -> tuple[int, list[bytes]]:
-    """How many special strings a stretch holds, and its pre-tokens."""
+def _words(text: str) -> list[str]:
+    return _WORD.findall(lower(text if text.isascii() else unicodedata.normalize("NFC", text))) if text else []
+
+
+def word_pieces(v: Vocabulary, word: str) -> list[str | int]:
+    """Pre-tokens of a stretch, and ids of special strings in it."""
     if "<" in word and len(parts := v.find_special.split(word)) > 1:
-        rest = parts[::2]
-    else:
-        parts, rest = [word], [word]
-    found = [p.encode() for r in rest if r for p in _WORD.findall(lower(r if r.isascii() else unicodedata.normalize("NFC", r)))]
-    return len(parts) // 2, found
+        return [p for k, x in enumerate(parts) for p in ([v.special[x]] if k % 2 else _words(x))]
+    return _words(word)
 
 
 def byte_units(v: Vocabulary, text: str) -> list[str]:

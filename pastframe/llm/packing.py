@@ -6,6 +6,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -16,33 +17,50 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .common import table
-from .tokens import slices, vocabulary_path
+from .tokens import WORDS, slices, vocabulary_path
 
 WINDOW = 4096
 TIERS = (4096, 2048, 1024, 512)  # context sizes, longest first, each a power of two
 BLOCK = 4_000_000  # tokens packed together
 STEP = 1 << 17  # tokens of a step group
 END = 2
-MEMO = 200_000
+SPECIAL = " "  # before a special string's id in place of a pre-token, which holds no blank
 
 
-@lru_cache(1)
-def _encoder(spec: str):
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts by the tokenizers library's model, in one worker; pre-tokens are merged once while remembered."""
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        self.v = bpe.Vocabulary(spec)
+        self.model = Tokenizer.from_str(spec).model
+        self.letters = bpe.byte_letters()
+        self.pieces = bpe.Lexicon(self._merged, WORDS)
+        self.words = bpe.Lexicon(self._split, WORDS)
 
-    return Tokenizer.from_str(spec), bpe.Memo(MEMO)
+    def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        spelt = (p if p[0] == SPECIAL or (p.isascii() and p.isprintable()) else "".join(self.letters[b] for b in p.encode()) for p in pieces)
+        ids = [[int(p[1:])] if p[0] == SPECIAL else [t.id for t in self.model.tokenize(p)] for p in spelt]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
+    def _split(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [bpe.word_pieces(self.v, w) for w in words]
+        n = [len(x) for x in parts]
+        every = [p for x in parts for p in x]
+        codes = self.pieces.codes([p if isinstance(p, str) else f"{SPECIAL}{p}" for p in every])
+        return self.pieces.pieces(codes), bpe.sums(self.pieces.size[codes], n)
 
-def token_ids(coder, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, and each text's number. Words between white space are encoded once while remembered."""
-    library, memo = coder
-    words = [bpe.words_of(t) for t in texts]
-    names, codes = bpe.coded([w for x in words for w in x])
-    ids = memo.all(names, lambda new: [tuple(e.ids) for e in library.encode_batch_fast(new, add_special_tokens=False)])
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
-    own = np.repeat(np.arange(len(texts)), [len(x) for x in words])
-    return bpe.gather(flat, np.cumsum(size) - size, size, codes), np.bincount(own, size[codes], len(texts)).astype(np.int64)
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and each text's number."""
+        words = [bpe.words_of(t) for t in texts]
+        codes = self.words.codes([w for x in words for w in x])
+        return self.words.pieces(codes), bpe.sums(self.words.size[codes], [len(x) for x in words])
+
+
+@lru_cache(1)
+def encoder(spec: str) -> Encoder:
+    return Encoder(spec)
 
 
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -115,10 +133,10 @@ def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(spec.value)
+        coder = encoder(spec.value)
         task, number, held = TaskContext.get().partitionId(), 0, ([], [], [])
         for keys, texts in slices(batches):
-            ids, n = token_ids(coder, texts)
+            ids, n = coder.encode(texts)
             ends = np.cumsum(n)
             ids = np.insert(ids, ends, END)
             for x, y in zip(held, (keys, ids, n + 1), strict=True):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -16,7 +17,7 @@ from . import bpe
 from .common import table
 
 CHARS = 4_000_000  # characters handled at once in a task
-MEMO = 200_000  # words remembered in each half of a worker's memo
+WORDS = 400_000  # words that a worker remembers
 LIMIT = 2048
 
 
@@ -26,25 +27,72 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(2)
-def _coder(spec: str):
-    v = bpe.Vocabulary(spec)
-    merge = bpe.HeapMerger(v)
-    back = {c: b for b, c in enumerate(bpe.byte_letters())}
-    text = [b""] * v.width
-    for t, i in v.ids.items():
-        text[i] = bytes(back[c] for c in t)
-    for t, i in v.special.items():
-        text[i] = t.encode()
-    size = np.fromiter(map(len, text), np.int64, v.width)
-    strings = np.frombuffer(b"".join(text), np.uint8), np.cumsum(size) - size, size
-    return v, merge, strings, bpe.Memo(MEMO), bpe.Memo(MEMO)
+class Coder:
+    """Encoding and decoding with one vocabulary, in one worker."""
 
+    def __init__(self, spec: str):
+        self.v = v = bpe.Vocabulary(spec)
+        self.merge = bpe.HeapMerger(v)
+        self.pieces = bpe.Lexicon(self._merged, WORDS)
+        self.units = bpe.Lexicon(self._split, WORDS)
+        back = {c: b for b, c in enumerate(bpe.byte_letters())}
+        text = [b""] * v.width
+        for t, i in v.ids.items():
+            text[i] = bytes(back[c] for c in t)
+        for t, i in v.special.items():
+            text[i] = t.encode()
+        self.size = np.fromiter(map(len, text), np.int64, v.width)
+        self.bytes, self.start = np.frombuffer(b"".join(text), np.uint8), np.cumsum(self.size) - self.size
 
-@lru_cache(2)
-def _counter(spec: str):
-    v = bpe.Vocabulary(spec)
-    return v, bpe.RankMerger(v), bpe.Memo(MEMO)
+    def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [[self.v.special[p]] if p in self.v.special else self.merge(p.encode()) for p in pieces]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _split(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [[u] if u in self.v.special else bpe.byte_pieces(u) for u in units]
+        codes = self.pieces.codes([p for x in parts for p in x])
+        return self.pieces.pieces(codes), bpe.sums(self.pieces.size[codes], [len(x) for x in parts])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        units = [bpe.byte_units(self.v, t) for t in texts]
+        codes = self.units.codes([u for x in units for u in x])
+        n = bpe.sums(self.units.size[codes], [len(x) for x in units])
+        return np.split(self.units.pieces(codes), np.cumsum(n)[:-1])
+
+    def decode(self, ids: np.ndarray) -> str:
+        return bpe.gather(self.bytes, self.start, self.size, ids).tobytes().decode("utf-8", "replace")
+
+
+class Counter:
+    """Token counts with one vocabulary, in one worker."""
+
+    def __init__(self, spec: str):
+        self.v = bpe.Vocabulary(spec)
+        self.merger = bpe.RankMerger(self.v)
+        self.pieces = bpe.Lexicon(lambda new: (np.zeros(0, np.int32), self.merger.counts([p.encode() for p in new])), WORDS)
+        self.words = bpe.Lexicon(self._count, WORDS)
+
+    def _count(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = [bpe.word_pieces(self.v, w) for w in words]
+        pieces = [[p for p in x if isinstance(p, str)] for x in split]
+        codes = self.pieces.codes([p for x in pieces for p in x])
+        n = bpe.sums(self.pieces.size[codes], [len(x) for x in pieces])
+        return np.zeros(0, np.int32), n + np.array([len(x) - len(y) for x, y in zip(split, pieces, strict=True)], np.int64)
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        words = [bpe.words_of(t) for t in texts]
+        codes = self.words.codes([w for x in words for w in x])
+        return bpe.sums(self.words.size[codes], [len(x) for x in words])
+
+
+@lru_cache(1)
+def coder(spec: str) -> Coder:
+    return Coder(spec)
+
+
+@lru_cache(1)
+def counter(spec: str) -> Counter:
+    return Counter(spec)
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -59,47 +107,23 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
                 lo, chars, texts = i + 1, 0, []
 
 
-def encode_units(coder, units: list[str]) -> list[np.ndarray]:
-    """Token ids of each unit; pre-tokens that repeat are merged once."""
-    v, merge, _, _, pieces = coder
-    parts = [[u] if u in v.special else bpe.byte_pieces(u) for u in units]
-    names, codes = bpe.coded([p for x in parts for p in x])
-    ids = pieces.all(names, lambda new: ([v.special[p]] if p in v.special else merge(p.encode()) for p in new))
-    out, at = [], 0
-    for x in parts:
-        out.append(np.array([i for c in codes[at : at + len(x)] for i in ids[c]], np.int32))
-        at += len(x)
-    return out
-
-
-def encode_texts(coder, texts: list[str]) -> list[np.ndarray]:
-    units = [bpe.byte_units(coder[0], t) for t in texts]
-    names, codes = bpe.coded([u for x in units for u in x])
-    ids = coder[3].all(names, lambda new: encode_units(coder, new))
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-    every = bpe.gather(flat, np.cumsum(size) - size, size, codes)
-    ends = np.cumsum(np.r_[0, size[codes]])[np.cumsum([len(x) for x in units])[:-1]] if units else []
-    return np.split(every, ends)
-
-
 def encode_documents(docs: DataFrame, path: str, decode: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array of int) and decoded (string) of every row.
 
     Byte-level BPE of the file at ``path``: special strings in a text are found
     first, then pre-tokens; each distinct one is merged by a priority queue of
-    ranks over a doubly linked list, and remembered in a memo of bounded size
-    while the worker lives. Decoding joins the vocabulary's strings. Null and
+    ranks over a doubly linked list, and remembered in a bounded lexicon while the
+    worker lives. Decoding joins the vocabulary's strings. Null and
     empty texts give no ids and an empty text; repeated rows repeat; an empty
     table gives an empty result; further columns are ignored.
     """
     spec = docs.sparkSession.sparkContext.broadcast(Path(path).read_text())  # the vocabulary file, a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(spec.value)
+        c = coder(spec.value)
         for keys, texts in slices(batches):
-            ids = encode_texts(coder, texts)
-            back = [bpe.gather(*coder[2], x).tobytes().decode("utf-8", "replace") for x in ids] if decode else [None] * len(ids)
+            ids = c.encode(texts)
+            back = [c.decode(x) for x in ids] if decode else [None] * len(ids)
             size = np.cumsum([0, *map(len, ids)])
             lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([keys, lists, pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
@@ -123,17 +147,6 @@ def query_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.mapInArrow(digest_ids, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def count_words(counter, words: list[str]) -> list[int]:
-    v, merger, _ = counter
-    split = [bpe.word_pieces(v, w) for w in words]
-    names, codes = bpe.coded([p for _, x in split for p in x])
-    n = np.zeros(len(words), np.int64)
-    if names:
-        own = np.repeat(np.arange(len(words)), [len(x) for _, x in split])
-        n += np.bincount(own, merger.counts(names)[codes], len(words)).astype(np.int64)
-    return (n + np.array([s for s, _ in split])).tolist()
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row.
 
@@ -146,13 +159,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
     spec = docs.sparkSession.sparkContext.broadcast(Path(path).read_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(spec.value)
+        c = counter(spec.value)
         for keys, texts in slices(batches):
-            words = [bpe.words_of(t) for t in texts]
-            names, codes = bpe.coded([w for x in words for w in x])
-            n = np.array(counter[2].all(names, lambda new: count_words(counter, new)), np.int64)
-            own = np.repeat(np.arange(len(texts)), [len(x) for x in words])
-            total = np.bincount(own, n[codes], len(texts)).astype(np.int64) if names else np.zeros(len(texts), np.int64)
+            total = c.count(texts)
             size = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [keys, pa.array(size, pa.int64()), pa.array(total), pa.array(total > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]

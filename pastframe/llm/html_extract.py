@@ -18,7 +18,7 @@ from .url_filter import split_url
 
 MIN_PAGES = 3  # hosts with fewer pages use the template of all hosts
 SUPPORT = 0.9  # a template token stands once on this share of a host's pages
-MAIN = 0.95  # the main element is the innermost with this share of the text outside boilerplate
+MAIN = 0.9  # the main element is the innermost with this share of the text outside boilerplate
 BROADCAST = 100_000  # hosts
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)

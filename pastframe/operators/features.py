@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import calendar
 from . import pit
-from .pit import barrier, distinct_before, micros
+from .pit import barrier, distinct_before, entry_barrier
 
 METRICS = {"rating": "player_rating", "acs": "player_acs", "kda": "player_kda"}
 TEAM_CAP = KEY_CAP = 100
@@ -36,7 +36,7 @@ def player_history(df: DataFrame) -> DataFrame:
             "player_form_trend": pit.slope_of(F.col("_recent")),
             "player_history_sample_size": F.least("_n", F.lit(pit.HISTORY)).cast("double"),
             "player_cold_start": (F.col("_n") == 0).cast("double"),
-            "player_rest_days": F.greatest((micros("ts") - micros("_prev")) / (pit.DAY * 1e6), F.lit(0.0)),
+            "player_rest_days": pit.days_between("_prev", "ts"),
         }
     ).drop("_recent", "_n", "_prev")
     out = distinct_before(out, k, "match_id", "player_matches_played")
@@ -79,40 +79,41 @@ def context_history(df: DataFrame) -> DataFrame:
 
 
 def team_maps(df: DataFrame) -> DataFrame:
-    """One row per (match, map, team): mean metrics, whether it won, its roster. A group without any metric gives no row."""
+    """One row per (match, map, team): mean metrics, whether it won, its roster. A group without any metric, such as a future map, is no ``entry``."""
     won = F.when(F.col("map_winner") == F.col("team"), 1.0).when(F.col("map_winner") == F.col("opponent_team"), 0.0)
-    return (
-        df.where("team_id is not null")
-        .groupBy("match_id", "map", "team_id")
-        .agg(
-            F.min("ts").alias("ts"),
-            F.min("opponent_team_id").alias("opponent_team_id"),
-            *[F.avg(c).alias(c) for c in METRICS],
-            F.max(won).alias("won"),
-            F.array_sort(F.collect_set("player_id")).alias("roster"),
-        )
-        .where("coalesce(rating, acs, kda) is not null")
+    g = df.where("team_id is not null").groupBy("match_id", "map", "team_id")
+    t = g.agg(
+        F.min("ts").alias("ts"),
+        F.min("opponent_team_id").alias("opponent_team_id"),
+        *[F.avg(c).alias(c) for c in METRICS],
+        F.max(won).alias("won"),
+        F.array_sort(F.collect_set("player_id")).alias("roster"),
     )
+    t = t.withColumn("entry", F.expr("coalesce(rating, acs, kda) is not null"))
+    return t.withColumn("won", F.when(F.col("entry"), F.col("won")))
 
 
 def team_history(teams: DataFrame) -> DataFrame:
     """Team and (team, map) history on the table of ``team_maps``."""
-    t = barrier(
+    past = lambda c: F.max(F.when(F.col("entry"), F.col(c)))  # noqa: E731  of a single entry
+    t = entry_barrier(
         teams,
         ["team_id"],
+        "entry",
         {
             "team_rating_last_5": (F.avg("rating"), 5),
             "team_rating_last_10": (F.avg("rating"), 10),
             "team_acs_last_5": (F.avg("acs"), 5),
             "team_kda_last_5": (F.avg("kda"), 5),
-            "team_count": (F.count(F.lit(1)), TEAM_CAP),
-            "_before": (F.last("roster"), 1),
-            "_latest": (F.last("rating"), 1),
+            "team_count": (F.count(F.when(F.col("entry"), 1)), TEAM_CAP),
+            "_before": (past("roster"), 1),
+            "_latest": (past("rating"), 1),
         },
     )
-    t = barrier(
+    t = entry_barrier(
         t,
         ["team_id", "map"],
+        "entry",
         {"team_map_win_rate": (F.avg("won"), TEAM_CAP), "team_map_matches": (F.count("won"), TEAM_CAP), "team_map_rating_last_5": (F.avg("rating"), 5)},
     )
     kept = F.size(F.array_intersect("roster", "_before")) / F.size("roster")
@@ -122,8 +123,8 @@ def team_history(teams: DataFrame) -> DataFrame:
 def schedule_strength(teams: DataFrame) -> DataFrame:
     """team_strength_of_schedule: mean over the last 10 maps of the opponent's latest rating before each map (needs ``team_history``)."""
     other = teams.select("match_id", "map", F.col("team_id").alias("opponent_team_id"), F.col("_latest").alias("_faced"))
-    t = teams.join(other, ["match_id", "map", "opponent_team_id"], "left")
-    return barrier(t, ["team_id"], {"team_strength_of_schedule": (F.avg("_faced"), 10)}).drop("_faced")
+    t = teams.join(other, ["match_id", "map", "opponent_team_id"], "left").withColumn("_faced", F.when(F.col("entry"), F.col("_faced")))
+    return entry_barrier(t, ["team_id"], "entry", {"team_strength_of_schedule": (F.avg("_faced"), 10)}).drop("_faced")
 
 
 OWN = ["team_rating_last_5", "team_rating_last_10", "team_acs_last_5", "team_kda_last_5", "team_map_win_rate", "team_map_matches", "team_map_rating_last_5", "team_count", "lineup_continuity", "team_strength_of_schedule"]

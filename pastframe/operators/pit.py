@@ -60,10 +60,31 @@ def distinct_before(df: DataFrame, keys: list[str], what: str, name: str, ts: st
     return barrier(flagged, keys, {name: (F.sum("_new"), None)}, ts, order).drop("_new").fillna({name: 0})
 
 
+def entry_barrier(df: DataFrame, keys: list[str], entry: str, features: dict[str, tuple[Column, int]], ts: str = TS, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """``barrier`` where only rows marked ``entry`` are history and the others just ask.
+
+    Rows are placed by twice the running number of entries, askers one later; ranges
+    over that place then hold exactly the last n entries. Aggregates must
+    ignore askers, whose values are null.
+    """
+    upto = Window.partitionBy(*keys).orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
+    place = 2 * F.sum(F.col(entry).cast("long")).over(upto) + F.when(F.col(entry), 0).otherwise(1)
+    raw = df.withColumn("_place", place)
+    w = lambda n: Window.partitionBy(*keys).orderBy("_place").rangeBetween(-2 * n, -1)
+    raw = raw.withColumns({f"_{name}": agg.over(w(n)) for name, (agg, n) in features.items()})
+    first = batch(keys, ts, order)
+    return raw.withColumns({name: F.first(f"_{name}").over(first) for name in features}).drop("_place", *[f"_{name}" for name in features])
+
+
+def days_between(start: str, end: str) -> Column:
+    """Days from one timestamp to another, 0 at least; null if there is no start."""
+    gap = (micros(end) - micros(start)) / (DAY * 1e6)
+    return F.when(F.col(start).isNotNull(), F.greatest(gap, F.lit(0.0)))
+
+
 def rest_days(df: DataFrame, keys: list[str], name: str = "player_rest_days", ts: str = TS, order: tuple[str, ...] = ORDER) -> DataFrame:
     out = barrier(df, keys, {"_prev": (F.last(ts), 1)}, ts, order)
-    gap = (micros(ts) - micros("_prev")) / (DAY * 1e6)
-    return out.withColumn(name, F.greatest(gap, F.lit(0.0))).drop("_prev")
+    return out.withColumn(name, days_between("_prev", ts)).drop("_prev")
 
 
 def distinct_in_days(df: DataFrame, keys: list[str], what: str, days: list[int], prefix: str, ts: str = TS) -> DataFrame:

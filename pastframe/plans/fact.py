@@ -104,3 +104,11 @@ def barrier_sql(keys: str, features: dict[str, tuple[str, int | None]], source:
     )
     out = ", ".join(f"first_value(r_{name}) OVER (PARTITION BY {keys}, ts ORDER BY {order}) AS {name}" for name in features)
     return f"SELECT {keep}, {out} FROM (SELECT *, {raw} FROM {source})"
+
+
+def entry_sql(keys: str, features: dict[str, tuple[str, int]], source: str, keep: str, order: str = "match_id, map") -> str:
+    """The same where only rows marked entry are history: ranges over the running number of entries."""
+    placed = f"SELECT *, 2 * sum(entry::INT) OVER (PARTITION BY {keys} ORDER BY ts, {order} ROWS UNBOUNDED PRECEDING) + CASE WHEN entry THEN 0 ELSE 1 END AS place FROM {source}"
+    raw = ", ".join(f"{agg} OVER (PARTITION BY {keys} ORDER BY place RANGE BETWEEN {2 * n} PRECEDING AND 1 PRECEDING) AS r_{name}" for name, (agg, n) in features.items())
+    out = ", ".join(f"first_value(r_{name}) OVER (PARTITION BY {keys}, ts ORDER BY {order}) AS {name}" for name in features)
+    return f"SELECT {keep}, {out} FROM (SELECT *, {raw} FROM ({placed}))"

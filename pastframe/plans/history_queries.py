@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import calendar, stage_importance
 from ..operators import elo, features, pit, splits
-from .fact import barrier_sql, fact, with_fact
+from .fact import barrier_sql, entry_sql, fact, with_fact
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -120,7 +120,7 @@ def w9(spark, d):
     return features.player_history(fact(spark, d)).select(*KEY, "player_history_sample_size", "player_cold_start")
 
 
-@query("w10_rest_days", with_fact("SELECT player_id, match_id, map, round(greatest(epoch_us(ts) - epoch_us(p), 0) / 86400e6, 4) AS player_rest_days FROM (" + barrier_sql("player_id", {"p": ("last_value(ts)", 1)}, keep="player_id, match_id, map, ts") + ")"))
+@query("w10_rest_days", with_fact("SELECT player_id, match_id, map, CASE WHEN p IS NOT NULL THEN round(greatest(epoch_us(ts) - epoch_us(p), 0) / 86400e6, 4) END AS player_rest_days FROM (" + barrier_sql("player_id", {"p": ("last_value(ts)", 1)}, keep="player_id, match_id, map, ts") + ")"))
 def w10(spark, d):
     return rounded(pit.rest_days(fact(spark, d), ["player_id"]), KEY, ["player_rest_days"])
 
@@ -153,19 +153,20 @@ def w14(spark, d):
     return out.select(*KEY, *[F.round(c, 4).alias(c) for c in ROLE], "player_role_matches_played", F.round("player_role_share", 4).alias("player_role_share"))
 
 
-TEAMS = """teams AS (SELECT match_id, map, team_id, min(ts) AS ts, min(opponent_team_id) AS opponent_team_id, avg(rating) AS rating, avg(acs) AS acs, avg(kda) AS kda,
-  max(CASE WHEN map_winner = team THEN 1.0::DOUBLE WHEN map_winner = opponent_team THEN 0.0 END) AS won, list_sort(list(DISTINCT player_id)) AS roster
-  FROM fact WHERE team_id IS NOT NULL GROUP BY ALL HAVING coalesce(avg(rating), avg(acs), avg(kda)) IS NOT NULL)"""
+TEAMS = """teams AS (SELECT * REPLACE (CASE WHEN entry THEN won END AS won), CASE WHEN entry THEN roster END AS eroster FROM (
+  SELECT match_id, map, team_id, min(ts) AS ts, min(opponent_team_id) AS opponent_team_id, avg(rating) AS rating, avg(acs) AS acs, avg(kda) AS kda,
+  max(CASE WHEN map_winner = team THEN 1.0::DOUBLE WHEN map_winner = opponent_team THEN 0.0 END) AS won, list_sort(list(DISTINCT player_id)) AS roster,
+  coalesce(avg(rating), avg(acs), avg(kda)) IS NOT NULL AS entry FROM fact WHERE team_id IS NOT NULL GROUP BY match_id, map, team_id))"""
 TKEY = ["match_id", "map", "team_id"]
 T16 = ["team_rating_last_5", "team_rating_last_10", "team_acs_last_5", "team_kda_last_5"]
 T17 = ["team_map_win_rate", "team_map_matches", "team_map_rating_last_5"]
-TH = "th AS (" + barrier_sql("team_id", {"team_rating_last_5": ("avg(rating)", 5), "team_rating_last_10": ("avg(rating)", 10), "team_acs_last_5": ("avg(acs)", 5), "team_kda_last_5": ("avg(kda)", 5), "before": ("last_value(roster)", 1), "latest": ("last_value(rating)", 1), "n": ("count(*)", 100)}, "teams", "match_id, map, team_id, opponent_team_id, ts, roster") + ")"
-TM = "tm AS (" + barrier_sql("team_id, map", {"team_map_win_rate": ("avg(won)", 100), "team_map_matches": ("count(won)", 100), "team_map_rating_last_5": ("avg(rating)", 5)}, "teams", "match_id, map, team_id") + ")"
+TH = "th AS (" + entry_sql("team_id", {"team_rating_last_5": ("avg(rating)", 5), "team_rating_last_10": ("avg(rating)", 10), "team_acs_last_5": ("avg(acs)", 5), "team_kda_last_5": ("avg(kda)", 5), "before": ("max(eroster)", 1), "latest": ("max(rating)", 1), "n": ("sum(entry::INT)", 100)}, "teams", "match_id, map, team_id, opponent_team_id, ts, roster") + ")"
+TM = "tm AS (" + entry_sql("team_id, map", {"team_map_win_rate": ("avg(won)", 100), "team_map_matches": ("count(won)", 100), "team_map_rating_last_5": ("avg(rating)", 5)}, "teams", "match_id, map, team_id") + ")"
 
 
-@query("a1_team_maps", with_fact("SELECT match_id, map, team_id, round(rating, 4) AS rating, round(acs, 4) AS acs, round(kda, 4) AS kda, won, len(roster)::INT AS players FROM teams", TEAMS))
+@query("a1_team_maps", with_fact("SELECT match_id, map, team_id, round(rating, 4) AS rating, round(acs, 4) AS acs, round(kda, 4) AS kda, won, len(roster)::INT AS players FROM teams WHERE entry", TEAMS))
 def a1(spark, d):
-    t = features.team_maps(fact(spark, d))
+    t = features.team_maps(fact(spark, d)).where("entry")
     return t.select(*TKEY, *[F.round(c, 4).alias(c) for c in P], "won", F.size("roster").alias("players"))
 
 
@@ -197,8 +198,8 @@ def w17(spark, d):
 @query(
     "w19_schedule_strength",
     with_fact(
-        "SELECT match_id, map, team_id, round(s, 4) AS team_strength_of_schedule FROM (" + barrier_sql("team_id", {"s": ("avg(faced)", 10)}, "f2", "match_id, map, team_id") + ")",
-        TEAMS, TH, "f2 AS (SELECT t.*, o.latest AS faced FROM teams t LEFT JOIN th o ON o.match_id = t.match_id AND o.map = t.map AND o.team_id = t.opponent_team_id)",
+        "SELECT match_id, map, team_id, round(s, 4) AS team_strength_of_schedule FROM (" + entry_sql("team_id", {"s": ("avg(faced)", 10)}, "f2", "match_id, map, team_id") + ")",
+        TEAMS, TH, "f2 AS (SELECT t.*, CASE WHEN t.entry THEN o.latest END AS faced FROM teams t LEFT JOIN th o ON o.match_id = t.match_id AND o.map = t.map AND o.team_id = t.opponent_team_id)",
     ),
 )
 def w19(spark, d):
@@ -216,7 +217,7 @@ def w21(spark, d):
     return out.select(*KEY, F.round("role_matchup_rating_last_5", 4).alias("role_matchup_rating_last_5"), "role_matchup_matches_played")
 
 
-@query("w22_elo_confidence", with_fact("SELECT match_id, map, team_id, round(least(1.0, sqrt(n) / sqrt(10.0)), 4) AS team_elo_confidence FROM th", TEAMS, TH))
+@query("w22_elo_confidence", with_fact("SELECT match_id, map, team_id, round(least(1.0, sqrt(coalesce(n, 0)) / sqrt(10.0)), 4) AS team_elo_confidence FROM th", TEAMS, TH))
 def w22(spark, d):
     t = features.team_history(features.team_maps(fact(spark, d)))
     return rounded(t.withColumn("team_elo_confidence", F.least(F.lit(1.0), F.sqrt("team_count") / F.sqrt(F.lit(10.0)))), TKEY, ["team_elo_confidence"])

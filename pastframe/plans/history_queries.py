@@ -20,13 +20,17 @@ KEY = ["player_id", "match_id", "map"]
 INEXACT = ("_std", "_ewm_", "_gap", "_trend", "elo", "synergy", "schedule", "_share", "continuity")
 
 
+def digits(c: str) -> int:
+    return 1 if "acs" in c else 4  # acs is in hundredths, thus large
+
+
 def rounded(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
-    one = lambda c: F.round(F.col(c), 4) if any(x in c for x in INEXACT) else F.col(c).cast("double")
+    one = lambda c: F.round(F.col(c), digits(c)) if any(x in c for x in INEXACT) else F.col(c).cast("double")
     return df.select(*keep, *[one(c).alias(c) for c in columns])
 
 
 def _sql_rounded(inner: str, keep: list[str], columns: list[str], *more: str) -> str:
-    one = lambda c: f"round({c}, 4)" if any(x in c for x in INEXACT) else f"{c}::DOUBLE"
+    one = lambda c: f"round({c}, {digits(c)})" if any(x in c for x in INEXACT) else f"{c}::DOUBLE"
     cols = ", ".join([*keep, *[f"{one(c)} AS {c}" for c in columns]])
     return with_fact(f"SELECT {cols} FROM ({inner})", *more)
 
@@ -81,7 +85,7 @@ _fold = lambda c, s: f"list_reduce(list_filter(h_{c}, lambda x: x IS NOT NULL),
 @query(
     "w3_ewm_w7_form_gap",
     with_fact(
-        "SELECT player_id, match_id, map, " + ", ".join(f"round({e}, 4) AS {e}" for e in EWM) + ", " + ", ".join(f"round({p}_ewm_5 - {p}_lt, 4) AS {p}_form_gap" for p in P.values())
+        "SELECT player_id, match_id, map, " + ", ".join(f"round({e}, {digits(e)}) AS {e}" for e in EWM) + ", " + ", ".join(f"round({p}_ewm_5 - {p}_lt, {digits(p)}) AS {p}_form_gap" for p in P.values())
         + " FROM (SELECT *, " + ", ".join(f"CASE WHEN len(list_filter(h_{c}, lambda x: x IS NOT NULL)) > 0 THEN {_fold(c, s)} END AS {p}_ewm_{s}" for c, p in P.items() for s in (3, 5, 10)) + " FROM hist)",
         "hist AS (" + barrier_sql("player_id", {f"h_{c}": (f"list({c})", 500) for c in P} | {f"{p}_lt": (f"avg({c})", 500) for c, p in P.items()}) + ")",
     ),

@@ -66,7 +66,7 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("a") > F.col("b"), name("team_1_id")).when(F.col("b") > F.col("a"), name("team_2_id")).otherwise("Draw").alias("map_winner"),
         "agent",
         F.nullif("l_quantity", F.lit(50.0)).alias("rating"),
-        F.when(F.col("l_discount") != 0, F.round(F.col("l_extendedprice") * 100)).alias("acs"),
+        F.when(F.col("l_discount") != 0, F.round("l_extendedprice")).alias("acs"),
         F.round(100 * ratio(F.col("l_quantity") + F.round(F.col("l_discount") * 100), F.round(F.col("l_tax") * 100))).alias("kda"),
         F.col("o_orderpriority").alias("stage"),
     )
@@ -84,7 +84,7 @@ l3 AS (SELECT *, CASE WHEN side = 0 THEN team_1_id ELSE team_2_id END AS team_id
 fact AS (SELECT l_suppkey AS player_id, l_orderkey AS match_id, map, o_orderdate AS ts, side, team_1_id, team_2_id, team_id, opponent_team_id,
   'team' || team_id AS team, 'team' || opponent_team_id AS opponent_team,
   CASE WHEN sa > sb THEN 'team' || team_1_id WHEN sb > sa THEN 'team' || team_2_id ELSE 'Draw' END AS map_winner, agent,
-  nullif(l_quantity, 50.0) AS rating, CASE WHEN l_discount <> 0 THEN round(l_extendedprice * 100) END AS acs,
+  nullif(l_quantity, 50.0) AS rating, CASE WHEN l_discount <> 0 THEN round(l_extendedprice) END AS acs,
   round(100 * ((l_quantity + round(l_discount * 100)) / nullif(round(l_tax * 100), 0))) AS kda, o_orderpriority AS stage,
   CASE agent WHEN 'STANDARD' THEN 'Duelist' WHEN 'SMALL' THEN 'Initiator' WHEN 'MEDIUM' THEN 'Controller' WHEN 'LARGE' THEN 'Sentinel' WHEN 'ECONOMY' THEN 'Duelist' ELSE 'Flex/Unknown' END AS role,
   CASE agent WHEN 'STANDARD' THEN 0.98::DOUBLE WHEN 'SMALL' THEN 0.98 WHEN 'MEDIUM' THEN 0.95 WHEN 'LARGE' THEN 0.98 WHEN 'ECONOMY' THEN 0.95 ELSE 0.0 END AS role_confidence

@@ -32,22 +32,22 @@ def _sql_rounded(inner: str, keep: list[str], columns: list[str], *more: str) ->
 
 
 def simple(name: str, keys: list[str], feats: dict[str, tuple]) -> None:
-    """A query whose features are all frames of one key. feats: name to (Column, n, SQL)."""
-    QUERIES[name] = lambda spark, d: rounded(pit.barrier(fact(spark, d), keys, {k: (a, n) for k, (a, n, _) in feats.items()}), KEY, list(feats))
+    """A query whose features are all frames of one key. feats: name to (maker of the aggregate, n, SQL)."""
+    QUERIES[name] = lambda spark, d: rounded(pit.barrier(fact(spark, d), keys, {k: (a(), n) for k, (a, n, _) in feats.items()}), KEY, list(feats))
     ORACLE_SQL[name] = _sql_rounded(barrier_sql(", ".join(keys), {k: (s, n) for k, (_, n, s) in feats.items()}), KEY, list(feats))
 
 
 def mean(c: str, n: int) -> tuple:
-    return F.avg(c), n, f"avg({c})"
+    return lambda: F.avg(c), n, f"avg({c})"
 
 
 def count(n: int | None) -> tuple:
-    return F.count(F.lit(1)), n, "count(*)"
+    return lambda: F.count(F.lit(1)), n, "count(*)"
 
 
 P = {"rating": "player_rating", "acs": "player_acs", "kda": "player_kda"}
 simple("w2_last_n_means", ["player_id"], {f"{p}_last_{n}": mean(c, n) for c, p in P.items() for n in (3, 5, 10)})
-simple("w4_deviation_w6_long_term", ["player_id"], {"player_rating_std": (F.stddev_samp("rating"), 500, "stddev_samp(rating)")} | {f"{p}_long_term": mean(c, 500) for c, p in P.items()})
+simple("w4_deviation_w6_long_term", ["player_id"], {"player_rating_std": (lambda: F.stddev_samp("rating"), 500, "stddev_samp(rating)")} | {f"{p}_long_term": mean(c, 500) for c, p in P.items()})
 simple("w12_map_history", ["player_id", "map"], {"player_map_rating_last_3": mean("rating", 3), "player_map_acs_last_5": mean("acs", 5), "player_map_kda_last_5": mean("kda", 5), "player_map_matches_played": count(100)})
 simple("w13_agent_history", ["player_id", "agent"], {f"player_agent_{c}_last_5": mean(c, 5) for c in P} | {"player_agent_matches_played": count(100)})
 simple("w15_agent_map_history", ["player_id", "agent", "map"], {"player_agent_map_rating_last_5": mean("rating", 5)})

@@ -80,7 +80,7 @@ def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str,
     v = np.array([[{"j": 1.0, "g": 0.0, "-": np.nan}[c] for c in k] for k in keys]).reshape(len(keys), kinds)
     voted, junk = ~np.isnan(v), np.nan_to_num(v)
     rates = np.vstack([np.full(kinds, 0.001), np.where(np.eye(kinds), 0.9, 0.1)])
-    weight = np.r_[0.9, np.full(kinds, 0.1 / kinds)]
+    belief = weight = np.r_[0.9, np.full(kinds, 0.1 / kinds)]  # what a corpus without any vote is left with
     post = np.zeros((len(keys), kinds + 1))
     for _ in range(rounds if keys else 0):
         log = np.log(weight) + (voted * junk) @ np.log(rates).T + (voted * (1 - junk)) @ np.log(1 - rates).T
@@ -90,7 +90,7 @@ def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str,
         if done:
             break
         mass = n[:, None] * post
-        weight = (mass.sum(0) + 0.1) / (n.sum() + 0.1 * (kinds + 1))
+        weight = (mass.sum(0) + belief) / (n.sum() + 1)
         rates = np.clip((mass.T @ (voted * junk) + 0.1) / (mass.T @ voted + 0.2), 1e-6, 1 - 1e-6)
         rates[0] = np.minimum(rates[0], MOST_WRONG)
     bad = weight[1:] @ rates[1:] / weight[1:].sum()

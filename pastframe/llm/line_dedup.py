@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, table
+from .common import BLANKS, own_key, table
 
 MIN_SITES = 5  # a line on at least so many sites is cross-site boilerplate
 BAND = 0.5  # estimates within this share of the threshold are settled by exact counts
@@ -29,7 +29,8 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
     lo, hi = min_sites * (1 - BAND), min_sites * (1 + BAND)
     sure = est.where(F.col("est") > hi)
     near = est.where(F.col("est").between(lo, hi))
-    sites = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
+    # Distinct first: a hot line has a row per site then, not one per occurrence.
+    sites = lines.select("h1", "h2", "site").distinct().join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
     exact = sites.groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return sure.select("h1", "h2", "first").unionByName(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
 
@@ -57,7 +58,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_
         F.posexplode(F.split(text, "\n")).alias("pos", "line"),
     ).withColumn("line", F.trim("line", F.lit(BLANKS)))
     lines = every.where("line <> ''").select("doc_id", "_th", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    marked = lines.join(spread(lines, min_sites), ["h1", "h2"])
+    marked = lines.join(spread(lines, min_sites).withColumn("h1", own_key("h1")), ["h1", "h2"])
     gone = marked.where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).groupBy("doc_id", "_th")
     gone = gone.agg(F.collect_set("pos").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), "_gone")
     both = src.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left")

@@ -98,8 +98,8 @@ def ewm(df: DataFrame, key: str, metrics: dict[str, str], spans: list[int], ts:
     """Exponentially weighted means of the non-null values before each timestamp, from the first value on.
 
     ``metrics``: column to prefix; adds ``<prefix>_ewm_<span>``. A scan of each
-    key's rows in time order (Arrow batches of one key). The reference form stops
-    after 500 entries; the full recursion differs by under 1e-40.
+    key's rows in time order (Arrow batches of one key). A form over the
+    last 500 entries differs by under 1e-40.
     """
     names = [f"{p}_ewm_{s}" for p in metrics.values() for s in spans]
     schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])

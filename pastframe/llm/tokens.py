@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import table
 
-CHARS = 4_000_000  # characters handled at once in a task
-WORDS = 400_000  # words that a worker remembers
+CHARS = 2_000_000  # characters handled at once in a task
+WORDS = 300_000  # words that a worker remembers
 LIMIT = 2048
 
 

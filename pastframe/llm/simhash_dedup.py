@@ -1,8 +1,9 @@
-"""SimHash near-dedup: tiled exact comparison of fingerprints by exclusive-or and bit counts."""
+"""SimHash near-dedup: tiled exact comparison of fingerprints by exclusive-or and bit counts; near copies by exact similarity."""
 
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, durable, table
+from .common import components, durable, own_key, shared_folder, table
 
 SEED = 42
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -182,48 +183,189 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near duplicates of the pipeline ----------------------------------------
 
+SAMPLE = 10_000  # texts in which common shingles are looked for
+COMMON = 200_000  # shingles that are known as common, at most
+BLOCK = 2_000  # members of a token on each side of a comparison
+HOT = 1_000  # pairs of one text that are given one copy of it
+STARS = 4  # rounds of pairs with pivots before all remaining pairs
+CACHE = 1 << 22  # characters of texts whose shingles a worker remembers
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again. Unlike a checkpoint's, its size is the true one: estimates of joins multiply, round by round."""
+    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/near-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(word_shingles(text, k))], np.uint64))
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, s = [], []
+            for t in b.column(1):
+                h = shingle_set(t.as_py(), k)
+                n.append(len(h))
+                s.append(xxhash.xxh3_128_digest(h.tobytes()))
+            s = np.frombuffer(b"".join(s), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1])], ["id", "n", "s0", "s1"])
+
+    return run
+
+
+def _tokens(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), k).view(np.int64))], ["token"])
+
+    return run
+
+
+def _prefixes(least: float, k: int, common):
+    """The rarest shingles of each text, as many that two texts of similarity ``least`` can't but share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = common.value
+        for b in batches:
+            n, out = [], []
+            for t in b.column(1):
+                h = shingle_set(t.as_py(), k)
+                rank = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, often[at], 0)
+                n.append(len(h))
+                out.append(h[np.lexsort((h, rank))[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", "tokens"])
+
+    return run
+
 
 def _alike(least: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, np.ndarray] = {}
+        held = 0
+
+        def shingles(t: str) -> np.ndarray:
+            nonlocal held
+            if t not in seen:
+                if held > CACHE:
+                    seen.clear()
+                    held = 0
+                seen[t] = shingle_set(t, k)
+                held += len(t)
+            return seen[t]
+
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = set(word_shingles(x.as_py(), k)), set(word_shingles(y.as_py(), k))
-                keep.append(len(s & t) >= least * len(s | t))
+                s, t = shingles(x.as_py() or ""), shingles(y.as_py() or "")
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(both >= least * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 32, spans: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def common_shingles(texts: DataFrame, nodes: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in three or more of about SAMPLE texts, ascending, and in how many. They only set the order of shingles."""
+    share = min(1.0, SAMPLE / max(1, nodes.count()))
+    some = nodes.where(F.pmod(F.xxhash64(F.lit(3), "s0", "s1"), F.lit(1_000_000)) < int(1_000_000 * share)).select("id")
+    found = texts.join(F.broadcast(some), "id", "left_semi").mapInArrow(_tokens(k), "token long").groupBy("token").agg(F.count("*").alias("n"))
+    rows = found.where("n > 2").orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
+    known = rows["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], rows["n"].to_numpy(np.int64)[order]
+
+
+def _with_text(pairs: DataFrame, side: str, texts: DataFrame, name: str) -> DataFrame:
+    """Pairs with the text of one side; a text of many pairs is given out in several copies, each to a task of its own."""
+    hot = durable(pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count("*") / HOT).cast("int").alias("copies")).where("copies > 1"))
+    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot  # at most a thousandth of the pairs
+    copies = F.coalesce("copies", F.lit(1))
+    left = pairs.join(hot.withColumnRenamed("id", side), side, "left").withColumn("copy", F.pmod(F.xxhash64("a", "b"), copies).cast("int")).drop("copies")
+    right = texts.join(hot, "id", "left").select(F.col("id").alias(side), F.col("text").alias(name), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    return left.join(right, [side, "copy"]).drop("copy")
+
+
+def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame | None:
+    """Links (a, b) between ids of ``nodes``, each confirmed, that join all pairs at ``similarity`` or more; None for no link.
+
+    Texts whose shingle sets are that similar share one of their few rarest
+    shingles, by any common order of shingles (prefix filter), so only texts under
+    one token meet. First each is checked with one pivot of its token, which settles
+    groups of copies at a row a member and token; in the end every pair that shares a
+    token, fits in size and is neither joined by confirmed links nor rejected is checked.
+    """
+    common = nodes.sparkSession.sparkContext.broadcast(common_shingles(texts, nodes, k))
+    rare = texts.mapInArrow(_prefixes(similarity, k, common), "id long, n long, tokens array<long>")
+    rare = durable(rare.join(nodes.select("id", "n"), ["id", "n"], "left_semi").select("id", "n", F.explode("tokens").alias("token")))
+    often = rare.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    rare = settled(rare.join(often.withColumn("token", own_key("token")), "token").distinct())
+    # Of tokens with the same members one is enough.
+    sets = rare.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id", "n")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id", "n")).alias("y"))
+    one = sets.groupBy("m", "x", "y").agg(F.min("token").alias("token")).where("m > 1").select(own_key("token").alias("token"), "m")
+    rare = settled(rare.join(one, "token").withColumn("root", F.col("id")))
+
+    fits = lambda n, o: F.least(n, o) >= F.lit(similarity) * F.greatest(n, o)
+    ordered = lambda p, a, b: p.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    sure = checked = None
+    more, last = True, False
+    for i in range(STARS + 1):
+        per = rare.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("roots"))
+        per = durable(per.where("roots > 1"))
+        rows, cross = per.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")).cast("double") / 2)).first()
+        if not rows:
+            break
+        rare = rare.drop("m").join(per.select(own_key("token").alias("token"), "m"), "token")
+        last = i == STARS or not more or cross <= 4 * rows
+        if last:
+            blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+            part = F.pmod(F.xxhash64("id"), blocks).cast("int")
+            every = F.explode(F.sequence(F.lit(0), blocks - 1))
+            left = rare.select("token", part.alias("s"), every.alias("t"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+            right = rare.select("token", every.alias("s"), part.alias("t"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+            pairs = ordered(left.join(right, ["token", "s", "t"]).where("a < b and ra <> rb").where(fits(F.col("na"), F.col("nb"))), "a", "b")
+        else:
+            pivot = rare.groupBy("token").agg(F.min_by(F.struct("id", "n", "root"), F.xxhash64("id", F.lit(i))).alias("p"))
+            pairs = rare.join(pivot.withColumn("token", own_key("token")), "token").where("id <> p.id and root <> p.root")
+            pairs = ordered(pairs.where(fits(F.col("n"), F.col("p.n"))), "id", "p.id")
+        pairs = settled(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
+        checked = pairs if checked is None else checked.union(pairs)
+        held = _with_text(_with_text(pairs, "a", texts, "x"), "b", texts, "y")
+        new = settled(held.select("a", "b", "x", "y").mapInArrow(_alike(similarity, k), "a long, b long"))
+        more = not new.isEmpty()
+        sure = new if sure is None else sure.union(new)
+        if last:
+            break
+        if more:
+            roots = components(sure).select(F.col("node").alias("id"), F.col("root").alias("_root"))
+            rare = settled(rare.join(roots, "id", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root"))
+    return sure
+
+
+def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Keep of each group of near-duplicate documents the one with the smallest doc_id.
 
-    128-bit SimHashes over k-word shingles. Texts of a Jaccard similarity of 0.8
-    differ in 19 bits on average (0.15 of all), unrelated ones in 64 with a
-    deviation of 6, so a radius of 32 proposes links; each proposed link is then
-    confirmed by the exact Jaccard similarity of the shingle sets. In dense groups
-    not every pair is proposed but ``spans`` disjoint spanning forests of nearest
-    pairs, so a similar pair is missed only if each of as many nearer detours
-    holds a link that isn't confirmed. Tiles are bands
-    of shingle counts a factor 1/similarity wide: texts whose counts differ by
-    more can't be that similar, so only equal and next bands are compared. Texts
-    alike word for word (A-Z lower-cased) are one node.
+    Groups are the connected components of all pairs whose sets of k-word shingles
+    have a Jaccard similarity of ``similarity`` or more (A-Z lower-cased). Texts with
+    equal sets are one node; other pairs are found by ``near_links``, which misses none.
 
     Texts without words are one group. Rows with a null doc_id are kept as they
     are. Repeated rows of one doc_id that stays all stay. Returns the rows of
     ``docs`` unchanged.
     """
     have = docs.where(F.col(doc_id).isNotNull())
-    prints = durable(fingerprints(have, k, 2, doc_id, text))
-    nodes = durable(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("id"), F.min("n").alias("n")))
-    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
-    found = links(nodes.withColumn("tile", band), [1], radius, 2, spans)
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     texts = have.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    pairs = found.join(texts.withColumnsRenamed({"id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "y"}), "b")
-    sure = pairs.select("a", "b", "x", "y").mapInArrow(_alike(similarity, k), "a long, b long")
-    classes = components(sure)
-    lost = classes.where("node <> root").select(F.col("node").alias("id"))
-    stay = nodes.select("id").join(lost, "id", "left_anti")
+    prints = texts.mapInArrow(_sets(k), "id long, n long, s0 long, s1 long")
+    nodes = durable(prints.groupBy("s0", "s1", "n").agg(F.min("id").alias("id")))
+    sure = near_links(texts, nodes, k, similarity)
+    stay = nodes.select("id").distinct()
+    if sure is not None:
+        stay = stay.join(components(sure).where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
     keep = durable(stay.select(F.col("id").alias(doc_id)))
     return have.join(keep, doc_id, "left_semi").unionByName(docs.where(F.col(doc_id).isNull())).select(docs.columns)

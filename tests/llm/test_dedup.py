@@ -146,6 +146,38 @@ def test_near_copies_equal_brute_force(spark):
     assert kept == {sets.find(i) for i in s}
 
 
+def near_roots(rows):
+    sets, s = Sets([i for i, _ in rows]), {i: set(shingles(t, 5)) for i, t in rows}
+    for a in s:
+        for b in s:
+            if a < b and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]):
+                sets.join(a, b)
+    return {sets.find(i) for i in s}
+
+
+def kept_of(spark, rows):
+    return {r.doc_id for r in simhash_dedup.drop_near_copies(frame(spark, [(i, t, "s") for i, t in rows])).collect()}
+
+
+def test_near_copies_of_a_dense_group(spark):
+    """Several hundred edited copies of one text, most pairs under 0.8."""
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for p in r.sample(range(160), r.choice([3, 3, 4, 5])):
+            w[p] = f"x{r.random()}"
+        rows.append((i, " ".join(w)))
+        if i % 40 == 0:  # a true partner at just over 0.8
+            for p in (10, 90, 130):
+                w[p] = f"y{r.random()}"
+            rows.append((1000 + i, " ".join(w)))
+    want = near_roots(rows)
+    assert 40 < len(want) < len(rows)
+    assert kept_of(spark, rows) == want
+
+
 def test_near_copies_of_nulls_and_nothing(spark):
     rows = [(None, "a b c d e f", "s"), (1, None, "s"), (2, "", "s"), (3, "a b c d e f", "s")]
     out = simhash_dedup.drop_near_copies(frame(spark, rows))

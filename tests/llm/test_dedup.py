@@ -206,3 +206,14 @@ def test_forest_spans():
     for i in f:
         y.join(a[i], b[i])
     assert [x.find(i) for i in range(50)] == [y.find(i) for i in range(50)] and len(f) == 50 - len({x.find(i) for i in range(50)})
+
+
+def test_near_copies_with_repeats_and_of_few_words(spark):
+    """Repeats don't count in sets; 8 and 9 words have 4 and 5 shingles, Jaccard 0.8."""
+    words = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    part = words("p", 60)
+    rows = [(1, f"{words('h', 44)} {part}"), (2, f"{words('h', 44)} {part} {part} {part}")]
+    rows += [(i, words(f"s{i // 2}x", 8 + i % 2)) for i in range(10, 410)]
+    want = near_roots(rows)
+    assert want == {1, *range(10, 410, 2)}
+    assert kept_of(spark, rows) == want

@@ -217,3 +217,10 @@ def test_near_copies_with_repeats_and_of_few_words(spark):
     want = near_roots(rows)
     assert want == {1, *range(10, 410, 2)}
     assert kept_of(spark, rows) == want
+
+
+def test_near_copies_of_one_loud_shingle(spark):
+    """A shingle of over half of all sets the SimHash alone, but isn't the text."""
+    rows = [(1, "ha " * 8 + "red green blue"), (2, "ha " * 8 + "one two three"), (3, "Ha " * 8 + "one two three")]
+    assert near_roots(rows) == {1, 2}
+    assert kept_of(spark, rows) == {1, 2}

@@ -16,256 +16,363 @@ from pyspark.sql import functions as F
 from .common import durable, table
 from .url_filter import split_url
 
-MIN_PAGES = 3  # hosts with fewer pages use the template of all hosts
-SUPPORT = 0.9  # a template token stands once on this share of a host's pages
-MAIN = 0.9  # the main element is the innermost with this share of the text outside boilerplate
-BROADCAST = 100_000  # hosts
+MIN_PAGES = 3  # hosts with fewer pages use the template of all hosts, which has no texts
+SUPPORT = 0.9  # a token of the root class stands once on this share of a host's pages
+TAG_SHARE, TEXT_SHARE = 0.05, 0.5  # least share of pages for a tag and a text in a class
+SMALL = 2_000_000  # values of all templates together that are broadcast; beyond it pages are shuffled to them
+HELD = 1 << 16  # token sums that a task holds before it sends them on
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 NAMES = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 # Elements and names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg title".split())
+SCRIPTS = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style")}
+EMPTY = frozenset("script style noscript template textarea iframe svg title".split())
+INLINE = frozenset("a abbr b big cite code em font i kbd mark q s samp small span strike strong sub sup tt u var".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-APART = frozenset("head nav header footer aside form menu dialog button select".split())
+APART = EMPTY | frozenset("head nav footer aside form menu dialog button select".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-NAMED = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promotions banner cookie cookies consent gdpr notice notices alert "
-    "alerts sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer copyright comment comments disqus respond "
-    "reply replies share sharing social newsletter subscribe subscription signup login popup modal overlay related recommended widget widgets form search toolbar pagination pager skip".split()
+#: Names that label a slot anywhere, and those that label one outside the article, or in it if it belongs to a template class.
+STRICT = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors comment comments disqus respond reply replies cookie cookies consent gdpr newsletter".split())
+LOOSE = frozenset(
+    "promo promotion promotions banner notice notices alert alerts sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer "
+    "copyright share sharing social subscribe subscription signup login popup modal overlay related recommended widget widgets form search toolbar pagination pager skip".split()
 )
-COMMENTS = frozenset("comment comments reply replies respond disqus".split())
+#: Words after a name that say nothing, and words that make a name speak of something else.
+PLAIN = frozenset("list section area box wrapper wrap container block item items inner outer unit slot zone panel group holder bar left right top bottom".split())
+ABOUT = frozenset("has have with without no not is are show hide".split())
 
+_ids: dict[tuple[int, str], int] = {}
+_looks: dict[tuple[str, str], tuple[str, int]] = {}
 
-def _attributes(raw: str) -> dict[str, str]:
-    return {k.lower(): (v or "").strip("\"'") for k, v in NAMES.findall(raw)} if raw else {}
 
-
-def _apart(tag: str, attr: dict[str, str]) -> bool:
-    """Whether an element is boilerplate by its kind or what its author calls it."""
-    if tag in APART:
-        return True
-    if not attr or tag in ("html", "body"):
-        return False
-    if "hidden" in attr or attr.get("aria-hidden") == "true" or "display:none" in attr.get("style", "").replace(" ", ""):
-        return True
-    names = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attr.get('class', '')} {attr.get('id', '')}").lower()))
-    return bool(names & (COMMENTS if tag in ("article", "main") else NAMED)) or attr.get("role", "").lower() in ROLES
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text, seed) - (1 << 63)
 
 
-def _token(tag: str, attr: dict[str, str]) -> str:
-    name = attr.get("class", "").split()[:1] or attr.get("id", "").split()[:1]
-    return f"{tag}.{re.sub(r'\d+', '#', name[0].lower())}" if name else tag
+def _child(parent: int, name: str) -> int:
+    """Identifier of the path that runs from ``parent`` through ``name``: its size doesn't grow with depth."""
+    if (parent, name) not in _ids:
+        if len(_ids) > 1 << 18:
+            _ids.clear()
+        _ids[parent, name] = _hash(f"{parent}/{name}")
+    return _ids[parent, name]
 
 
-def events(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """(kind, tag, path, apart) of a page: ``open`` and ``close`` of elements, ``text`` with the text in place of the tag.
+def label(tag: str, attr: dict[str, str]) -> int:
+    """2: boilerplate wherever it stands; 1: boilerplate outside the article, or in it as part of a template; 0: not labelled.
 
-    The path tells tokens of one tag apart by where they stand; apart: in boilerplate.
-    Closing tags that HTML lets authors leave out are supplied, stray ones ignored.
+    What counts is the last telling word of a whole class or id: ``cookie-notice`` and
+    ``comments-list`` are labelled, ``header-text``, ``search-results`` and ``has-sidebar`` aren't.
+    """
+    if "hidden" in attr or attr.get("aria-hidden") == "true" or "display:none" in attr.get("style", "").replace(" ", ""):
+        return 2
+    if attr.get("role", "").lower() in ROLES:
+        return 2
+    found = 0
+    for name in f"{attr.get('class', '')} {attr.get('id', '')}".split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if ABOUT.isdisjoint(words):
+            while words and words[-1] in PLAIN:
+                words.pop()
+            if words:
+                found = max(found, 2 if words[-1] in STRICT or (words[-1] in LOOSE and not STRICT.isdisjoint(words)) else words[-1] in LOOSE)
+    return 0 if found == 1 and (tag in HEADINGS or tag in ("article", "main")) else int(found)
+
+
+def _look(tag: str, raw: str) -> tuple[str, int]:
+    """Name of an element in its path, and its label."""
+    if not raw.strip():
+        return tag, 0
+    if (tag, raw) not in _looks:
+        if len(_looks) > 1 << 14:
+            _looks.clear()
+        attr = {k.lower(): (v or "").strip("\"'") for k, v in NAMES.findall(raw)}
+        names = attr.get("class", "").split()[:1] or attr.get("id", "").split()[:1]
+        name = f"{tag}.{re.sub(r'\d+', '#', names[0].lower())}" if names else tag
+        _looks[tag, raw] = name, 0 if tag in ("html", "body") else label(tag, attr)
+    return _looks[tag, raw]
+
+
+def blocks(page: str, loose: frozenset[int] = frozenset(), menus: frozenset[int] = frozenset(), tags: dict[int, list] | None = None) -> list[tuple[int, str]]:
+    """(path, text) of each block of a page that no label sets apart, in order.
+
+    ``loose`` and ``menus``: paths in the article that template classes and a name label,
+    and paths of link lists. ``tags`` collects per path how often it stands, its first
+    place, its parent, name and kind (1: in the article with a loose name, 2: else in
+    the article, 0: outside). Closing tags that authors may leave out are supplied,
+    stray ones ignored; an element that never closes ends with its parent. Time and
+    memory are linear in the page, however deep it nests.
     """
-    stack: list[tuple[str, str, bool]] = []
-    at, n = 0, len(page)
-    path, apart = "", False
-    while at < n:
-        m = TAG.search(page, at)
+    out: list[tuple[int, str]] = []
+    part: list[str] = []
+    # Per open element: tag, path, set apart, in the article, path of the block it is in, blocks up to it.
+    stack: list[tuple[str, int, bool, bool, int, int]] = [("", 0, False, False, 0, 0)]
+    where: dict[str, list[int]] = defaultdict(list)
+    endless: set[str] = set()
+    at, n, last, place = 0, len(page), page.rfind(">") + 1, 0
+
+    def flush() -> None:
+        if part:
+            if words := " ".join("".join(part).split()):
+                out.append((stack[-1][4], words))
+            part.clear()
+
+    def cut(to: int) -> None:
+        while len(stack) > to:
+            where[stack.pop()[0]].pop()
+
+    while True:
+        m = TAG.search(page, at, last) if at < last else None
         end = m.start() if m else n
-        if end > at:
-            yield "text", page[at:end], path, apart
+        if end > at and not stack[-1][2]:
+            part.append(entities.unescape(page[at:end]))
         if not m:
             break
         at = m.end()
-        tag, raw = (m[1] or m[4] or "").lower(), m[2] or m[5] or ""
+        tag, raw = m[1] or m[4], m[2] or m[5] or ""
         if not tag:
+            if page.startswith("<!--", end) and not page.startswith("-->", at - 3):
+                break
             continue
-        if page[m.start() + 1] == "/":
-            if any(x[0] == tag for x in stack):
-                while True:
-                    gone = stack.pop()
-                    yield "close", gone[0], gone[1], gone[2]
-                    if gone[0] == tag:
-                        break
-                path, apart = stack[-1][1:] if stack else ("", False)
+        tag = tag.lower()
+        if page[end + 1] == "/":
+            if where[tag]:
+                to = where[tag][-1]
+                if tag in INLINE and stack[-1][5] > stack[to][5]:
+                    continue
+                if stack[-1][5] > stack[to - 1][5]:
+                    flush()
+                cut(to)
             elif tag in BLOCK:
-                yield "close", tag, "", apart
+                flush()
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
-            yield "open", tag, f"{path}/{tag}", True
-            yield "close", tag, f"{path}/{tag}", True
-            continue
-        if tag in VOID:
-            yield "open", tag, f"{path}/{tag}", apart
-            yield "close", tag, f"{path}/{tag}", apart
-            continue
-        over = CLOSES.get(tag, {"p"} if tag in BLOCK else ())
-        while stack and stack[-1][0] in over or (tag in BLOCK and len(stack) > 1 and stack[-1][0] in "bi" and stack[-2][0] == "p"):
-            gone = stack.pop()
-            yield "close", gone[0], gone[1], gone[2]
-        if stack:
-            path, apart = stack[-1][1:]
-        else:
-            path, apart = "", False
-        attr = _attributes(raw)
-        path, apart = f"{path}/{_token(tag, attr)}", apart or _apart(tag, attr)
-        stack.append((tag, path, apart))
-        yield "open", tag, path, apart
-    while stack:
-        gone = stack.pop()
-        yield "close", gone[0], gone[1], gone[2]
-
-
-def occurrences(page: str) -> dict[str, list]:
-    """Per token: how often it stands on the page, its first place, the length of text in it outside boilerplate."""
-    found: dict[str, list] = {}
-    held: list[int] = []
-    text = place = 0
-    for kind, tag, path, apart in events(page):
-        if kind == "open":
+        if tag in BLOCK:
+            flush()
+            for t in ("svg", "title", "head", "p"):
+                if where[t]:
+                    cut(where[t][-1])
+        if over := CLOSES.get(tag):
+            while stack[-1][0] in over:
+                cut(len(stack) - 1)
+        name, lab = _look(tag, raw)
+        _, up, apart, inside, home, deep = stack[-1]
+        path = _child(up, name)
+        if tags is not None:
             place += 1
-            x = found.setdefault(path, [0, place, 0, apart])
-            x[0] += 1
-            held.append(text)
-        elif kind == "close":
-            if path:
-                found[path][2] += text - held.pop()
-        elif not apart:
-            text += len(tag.strip())
-    return found
-
-
-def main_text(page: str, main: str | None) -> str:
-    """Blocks of the element at the path ``main``, without boilerplate in it; without such an element those of
-    ``article`` or ``main`` elements, else of the whole page."""
-    inside, blocks, part, found = 0, [], [], 0
-    seen = []
-    fallback = {"article": 0, "main": 0}
-    for kind, tag, path, apart in events(page):
-        if kind == "text":
-            if not apart:
-                seen.append((tag, inside > 0, fallback["article"] > 0, fallback["main"] > 0))
+            if path in tags:
+                tags[path][0] += 1
+            else:
+                tags[path] = [1, place, up, name, (1 if lab == 1 else 2) if inside else 0]
+        if tag in VOID or (tag in EMPTY and raw.endswith("/")):
             continue
-        if tag in BLOCK:
-            seen.append(None)
-        step = 1 if kind == "open" else -1
-        if path and path == main and not apart:
-            inside += step
-            found += step > 0
-        if tag in fallback and path and not apart:
-            fallback[tag] += step
-    which = 1 if found else next((k for k in (2, 3) if any(x and x[k] for x in seen)), 0)
-    for x in [*seen, None]:
-        if x is None:
-            if words := " ".join("".join(part).split()):
-                blocks.append(words)
-            part = []
-        elif not which or x[which]:
-            part.append(entities.unescape(x[0]))
-    return " ".join(blocks)
+        if tag in SCRIPTS and tag not in endless:
+            if done := SCRIPTS[tag].search(page, at):
+                at = done.end()
+                continue
+            endless.add(tag)
+        apart = apart or tag in APART or lab == 2 or (lab == 1 and (not inside or path in loose)) or (tag == "header" and not inside) or path in menus
+        where[tag].append(len(stack))
+        block = tag in BLOCK
+        stack.append((tag, path, apart, inside or tag == "article" or tag == "main", path if block else home, deep + block))
+    flush()
+    return out
+
+
+def text_token(path: int, text: str) -> int:
+    """A text token: a whole block at its path."""
+    return _hash(text, path & 0xFFFFFFFFFFFFFFFF)
+
+
+def main_text(page: str, loose: frozenset[int] = frozenset(), menus: frozenset[int] = frozenset(), texts: frozenset[int] = frozenset()) -> str:
+    """What the slots of the template hold: the unlabelled blocks of a page but for template texts.
+
+    A page whose unlabelled text is for the greater part in the template is a copy of
+    its neighbours and no filled template: it keeps all of it.
+    """
+    found = blocks(page, loose, menus)
+    if texts:
+        slots = [b for b in found if text_token(*b) not in texts]
+        if 2 * sum(len(t) for _, t in slots) >= sum(len(t) for _, t in found):
+            found = slots
+    return " ".join(t for _, t in found)
+
+
+PRIME = (1 << 61) - 1
+_SUMS = "site long, token long, parent long, name string, kind int, pages long, once long, times long, vector long, place long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["host", "token", "pages", "once", "hi", "lo", "place", "text"]
+    """Sums per (site, token); the vector is the sum of count times page hash, which stands for the token's occurrences on all pages."""
+    names = [f.split()[0] for f in _SUMS.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 5]
+    sums: dict[tuple, list] = {}
+
+    def add(key: tuple, first: tuple, n: int, h: int, place: int) -> None:
+        s = sums.get(key)
+        if s is None:
+            s = sums[key] = [*first, 0, 0, 0, 0, 0]
+        s[3] += 1
+        s[4] += n == 1
+        s[5] += n
+        s[6] = (s[6] + n * h) % PRIME
+        s[7] += place
+
+    def sent() -> pa.RecordBatch:
+        rows = [(*k, *v) for k, v in sums.items()]
+        sums.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
     for b in batches:
-        sums: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0] * 6)
-        for host, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for site, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             page = page.as_py()
-            h = xxhash.xxh64_intdigest(page or "")
-            for token, (n, place, text, apart) in occurrences(page or "").items():
-                for key in ((host, token), (None, token)):
-                    s = sums[key]
-                    for i, v in enumerate((1, n == 1, n * (h >> 32), n * (h & 0xFFFFFFFF), place, 0 if apart else text)):
-                        s[i] += v
-        keys = list(sums)
-        cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string())]
-        yield pa.RecordBatch.from_arrays([*cols, *(pa.array([sums[k][i] for k in keys], pa.int64()) for i in range(6))], names)
-
-
-def deduce(tokens: pd.DataFrame) -> tuple[str, str] | None:
-    """The template of one host and the path of its main element.
-
-    ``tokens`` has a row per frequent token with sums over the pages. Tokens with
-    equal occurrence vectors (equal sums of count times page hash) are one class.
-    The root class stands once on the pages; further classes nest in the innermost
-    root token that their path runs through. The slot that is kept is the innermost
-    root element that holds nearly all of the text outside boilerplate, an
-    ``article`` or ``main`` element if one holds most of it.
+            h, tags, words = xxhash.xxh64_intdigest(page) % PRIME, {}, defaultdict(int)
+            for path, text in blocks(page, tags=tags):
+                words[path, text_token(path, text)] += 1
+            for token, (n, place, up, name, kind) in tags.items():
+                add((site, token), (up, name, kind), n, h, place)
+                add((None, token), (up, name, kind), n, h, place)
+            for (path, token), n in words.items():
+                add((site, token), (path, None, None), n, h, 0)
+            if len(sums) > HELD:
+                yield sent()
+    if sums:
+        yield sent()
+
+
+def deduce(tokens: pd.DataFrame) -> tuple[str, list[int], list[int], list[int]] | None:
+    """Template of one host: its description, the loosely named paths in the article, the link lists, the template texts.
+
+    ``tokens`` has a row per frequent token with sums over the host's ``n`` pages.
+    Tokens of one occurrence vector are one class. The root class stands once on
+    nearly all pages. Another class is valid if all its tokens nest in one slot, that
+    is, have the same innermost root element. Tags in the article that an author named
+    loosely and whose class is valid are no article text; neither are texts of the root
+    class, and of a valid class of tags and texts on half of the pages. A list outside
+    the article whose items and links share a vector is a menu.
     """
-    n = tokens.pages.max()
-    root = tokens[tokens.once >= SUPPORT * n].sort_values(["place", "token"])
-    if root.empty:
+    n = int(tokens.n.iloc[0])
+    tag, text = tokens[tokens.name.notna()], tokens[tokens.name.isna()]
+    root = {int(t) for t in tag.token[tag.once >= SUPPORT * n]}
+    if not root:
         return None
-    rows = []
-    names = set(root.token)
-    for _, c in tokens[~tokens.token.isin(names)].groupby(["hi", "lo"]):
-        above = {max((r for r in names if t.startswith(r + "/")), key=len, default="") for t in c.token}
-        if len(above) == 1:  # valid: all its tokens nest in one slot
-            rows.append(f"{above.pop()} > {' '.join(sorted(c.token))}")
-    template = "\n".join([*root.token, *sorted(rows)])
-    held = root[root.text > 0]
-    if held.empty:
-        return template, ""
-    leaf = held.token.str.rsplit("/", n=1).str[-1].str.split(".").str[0]
-    most = held.text.max()
-    named = held[leaf.isin(["article", "main"]) & (held.text >= most / 2)]
-    pick = held[held.text >= MAIN * most] if named.empty else named
-    return template, pick.token[pick.token.str.count("/").idxmax()]
+    up = dict(zip(tag.token.tolist(), tag.parent.tolist(), strict=True))
+    known: dict[int, int] = {}
+
+    def slot(path: int) -> int:
+        run = []
+        while path in up and path not in root and path not in known:
+            run.append(path)
+            path = up[path]
+        found = known.get(path, path)
+        known.update(dict.fromkeys(run, found))
+        return found
+
+    vector = dict(zip(tag.token.tolist(), tag.vector.tolist(), strict=True))
+    classes = defaultdict(lambda: ([], []))
+    for t, v in vector.items():
+        if t not in root:
+            classes[v][0].append(t)
+    for t, p, v in zip(text.token.tolist(), text.parent.tolist(), text.vector.tolist(), strict=True):
+        classes[v][1].append((t, p))
+    name, kind, place = (dict(zip(tag.token.tolist(), tag[c].tolist(), strict=True)) for c in ("name", "kind", "place"))
+    loose = [t for t in root if kind[t] == 1]
+    texts = text.token[text.once >= SUPPORT * n].tolist()
+    nested = defaultdict(list)
+    for tags, words in classes.values():
+        if tags and len({slot(up[t]) for t in tags} | {slot(p) for _, p in words}) == 1:
+            nested[slot(up[tags[0]])].append(" ".join(sorted(name[t] for t in tags)) + f" + {len(words)} texts" * bool(words))
+            loose += [t for t in tags if kind[t] == 1]
+            texts += [t for t, _ in words]
+    many = tag[tag.times >= 2 * tag.pages].set_index("token")
+    menus = {
+        up[up[t]]
+        for t in many.index
+        if name[t].split(".")[0] == "a" and kind[t] == 0 and name.get(up[t], "").split(".")[0] == "li" and vector[t] == vector[up[t]] and up[up[t]] in up
+    }
+    lines = [f"{name[t]}: {'; '.join(sorted(nested[t])) or '-'}" for t in sorted(root, key=lambda t: (place[t], t))]
+    return "\n".join(lines), sorted(set(loose)), sorted(menus), sorted(set(texts))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, template, main for hosts with enough pages, and for all pages (host null). ``pages``: host, html."""
-    sums = pages.where("html <> ''").select("host", "html").mapInArrow(
-        _count, "host string, token string, pages long, once long, hi long, lo long, place long, text long"
+    """site (hash of the host; null: all hosts), template, loose, menus, texts. ``pages``: site, html.
+
+    Token sums are combined in the tasks and before the shuffle, so a host with a third of
+    all pages is spread by its tokens; one task of ``deduce`` sees the tokens of one host
+    that stand on a share of its pages, at most 20 times the tokens of a page.
+    """
+    full = pages.where("html <> ''")
+    per = full.select("site", "html").mapInArrow(_count, _SUMS).groupBy("site", "token").agg(
+        *[F.first(c).alias(c) for c in ("parent", "name", "kind")],
+        *[F.sum(c).alias(c) for c in ("pages", "once", "times")],
+        F.expr(f"cast(sum(cast(vector as decimal(38,0))) % {PRIME} as long)").alias("vector"),
+        (F.sum(F.col("place").cast("decimal(38,0)")).cast("double") / F.sum("pages")).alias("place"),
     )
-    per = sums.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("pages", "once", "hi", "lo", "place", "text")])
-    per = durable(per.withColumn("place", F.col("place") / F.col("pages")))
-    size = per.groupBy("host").agg(F.max("pages").alias("n"))
-    often = per.join(size.where(F.col("n") >= MIN_PAGES), per.host.eqNullSafe(size.host)).where("2 * pages >= n").select(per["*"])
+    per = per.where(F.col("pages") >= MIN_PAGES)
+    size = full.groupBy("site").agg(F.count("*").alias("n"))
+    size = size.union(size.select(F.lit(None).cast("long"), F.sum("n"))).where(F.col("n") >= MIN_PAGES).select(F.col("site").alias("_site"), "n")
+    share = F.when(F.col("name").isNull(), TEXT_SHARE).otherwise(TAG_SHARE)
+    often = per.join(size, per.site.eqNullSafe(size._site)).where(F.col("pages") >= share * F.col("n")).drop("_site")
 
     def run(tokens: pd.DataFrame) -> pd.DataFrame:
-        got = deduce(tokens)
-        return pd.DataFrame([(tokens.host.iloc[0], *got)] if got else [], columns=["host", "template", "main"])
+        site, got = tokens.site.iloc[0], deduce(tokens)
+        rows = [(None if pd.isna(site) else int(site), *got)] if got else []
+        return pd.DataFrame(rows, columns=["site", "template", "loose", "menus", "texts"]).astype({"site": "Int64"})
 
-    return often.groupBy("host").applyInPandas(run, "host string, template string, main string")
+    return often.groupBy("site").applyInPandas(run, "site long, template string, loose array<long>, menus array<long>, texts array<long>")
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [main_text(p.as_py() or "", m) for p, m in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
-        cols = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
+def _extract(default: tuple):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        for b in batches:
+            texts = []
+            for i, (site, page) in enumerate(zip(b.column(3).to_pylist(), b.column(2), strict=True)):
+                if site not in held:
+                    if len(held) > 10_000:
+                        held.clear()
+                    held[site] = tuple(frozenset(b.column(k)[i].as_py()) for k in (4, 5, 6)) if b.column(4)[i].is_valid else tuple(map(frozenset, default))
+                texts.append(main_text(page.as_py() or "", *held[site]))
+            cols = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
-def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", small: int = SMALL) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``.
 
-    Token sums per host are combined in tasks before the shuffle, so a host with a
-    third of all pages sends few rows; only tokens on half of a host's pages take
-    part in its template. Hosts with under 3 pages, and hosts whose pages share no
-    template, use that of all pages. Null and empty html give an empty text;
-    null urls are one host of their own; repeated rows repeat; an empty table gives
-    an empty result; further columns are ignored.
+    Tag tokens are paths of elements, text tokens whole blocks. ``deduce`` groups a
+    host's tokens by occurrence vector into classes and nests the valid ones into a
+    template; each page keeps what its slots hold. Names of elements only label a slot
+    as boilerplate; an unlabelled slot is kept whole. Hosts of fewer than 3 pages, or
+    whose pages share no template, use the labels that the pages of all hosts give and
+    no template texts. Templates that hold ``small`` values or fewer together are
+    broadcast; beyond it pages and templates are shuffled by host, salted.
+
+    Null and empty html give an empty text; null urls are one host of their own;
+    repeated rows repeat; an empty table gives an empty result; further columns are
+    ignored.
     """
-    src = pages.select(
-        F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), split_url(F.col(url))[0].alias("host")
-    )
-    found = durable(templates(src).select("host", "main"))
-    default = found.where("host is null").first()
-    found = found.where("host is not null")
-    if found.count() <= BROADCAST:
-        joined = src.join(F.broadcast(found), "host", "left")
-    else:  # salted, for hosts with very many pages
+    src = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), F.xxhash64(split_url(F.col(url))[0]).alias("site"))
+    found = durable(templates(src.select("site", "html")).drop("template"))
+    default = found.where("site is null").first()
+    found = found.where("site is not null")
+    values = found.agg(F.sum(F.size("loose") + F.size("menus") + F.size("texts") + 4)).first()[0]
+    if (values or 0) <= small:
+        joined = src.join(F.broadcast(found), "site", "left")
+    else:
         salts = 64
         many = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = src.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(many, ["host", "salt"], "left")
-    main = F.coalesce("main", F.lit(default.main if default else None).cast("string"))
-    return joined.select("page_id", "url", "html", main.alias("main")).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+        joined = src.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(many, ["site", "salt"], "left")
+    rest = (default.loose, default.menus, []) if default else ([], [], [])
+    return joined.select("page_id", "url", "html", "site", "loose", "menus", "texts").mapInArrow(_extract(rest), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import hashlib
 import random
+import time
 
 import pytest
 from pastframe.llm import fingerprint, html_extract, url_filter
+from pyspark.sql import functions as F
 
 RULES = "verdict string, host string, path string"
 
@@ -54,34 +56,119 @@ PAGE = (
 
 @pytest.mark.parametrize(
     ("page", "text"),
-    [(PAGE, "T & é ab c d e x y 1 2"), ("just <b>text</b> &lt;x&gt; a < b", "just text <x> a < b"), ("<p>un<script>x", "un"), ("", ""), ("<!-- a --> b &nbsp; c<br>d", "b c d"), ("<p title='a>b'>q</p></div>r", "q r")],
+    [
+        (PAGE, "T & é ab c d e x y 1 2"),
+        ("just <b>text</b> &lt;x&gt; a < b", "just text <x> a < b"),
+        ("<p>un<script>x", "un"),
+        ("", ""),
+        ("<!-- a --> b &nbsp; c<br>d", "b c d"),
+        ("a<!-- x > y", "a"),
+        ("<p title='a>b'>q</p></div>r", "q r"),
+        ("<article><p>one</p><svg/><p>two</p></article>", "one two"),
+        ("<article><p>one</p><noscript>no</article><p>three", "one three"),
+        ("<article><p>one</p><svg><path d=x><p>two</p></article>", "one two"),
+        ("<head><title>t<body><article>a</article>", "a"),
+        ("<article><header><h1>Head</h1></header><p class='header-text'>k</p><div class='search-results'>m</div><div class='notice'>q</div></article>", "Head k m q"),
+        ("<article><p>a</p><div class='comment-list'>z</div><div class='ad-slot'>y</div></article><div class='notice'>x</div><h1 class='header'>b</h1>", "a b"),
+    ],
 )
 def test_main_text_of_one_page(page, text):
-    assert html_extract.main_text(page, None) == text
+    assert html_extract.main_text(page) == text
+
+
+def test_deep_and_broken_pages_in_linear_time():
+    start = time.perf_counter()
+    assert html_extract.main_text("<div>" * 100_000 + "x") == "x"
+    assert html_extract.main_text("<b>" * 100_000 + "x" + "<p>y</b>" * 50_000).count("y") == 50_000
+    assert html_extract.main_text("<a " * 200_000 + "<script>" * 50_000) is not None
+    assert time.perf_counter() - start < 20
 
 
 def site(host, n, seed=0):
+    """Pages of one template: a list of links, an article of blocks, a sentence that all articles hold, an optional box with one text."""
     r = random.Random(f"{host}{seed}")
     word = lambda: "".join(r.choices("abcdef", k=5))
     for i in range(n):
-        blocks = [" ".join(word() for _ in range(r.randint(3, 30))) for _ in range(r.randint(1, 5))]
-        menu = "".join(f"<li><a href='/{j}'>{word()}</a></li>" for j in range(r.randint(2, 6)))
-        html = f"<html><body><div class='top-{i}'>{word()}</div><ul class='menu'>{menu}</ul><div class='story'>{''.join(f'<p>{b}</p>' for b in blocks)}</div><div class='box'>{word()} {word()}</div></body></html>"
-        yield f"http://{host}/{i}", html, " ".join(blocks)
+        kept = [" ".join(word() for _ in range(r.randint(3, 30))) for _ in range(r.randint(2, 6))]
+        links = "".join(f"<li><a href='/{j}'>{word()}</a></li>" for j in range(r.randint(2, 6)))
+        box = "<p class='by'>Written by our staff</p>" if r.random() < 0.7 else ""
+        story = "".join(f"<p>{b}</p>" for b in kept[1:])
+        html = f"<html><body><ul class='links'>{links}</ul><div class='story'><h1>{kept[0]}</h1>{box}{story}<p>All rights of {host} are kept.</p></div></body></html>"
+        yield f"http://{host}/{i}", html, " ".join(kept)
+
 
+PAGES = "page_id long, url string, html string, text string"
 
-def test_template_finds_a_slot_without_telling_names(spark):
-    pages = list(enumerate(site("a.example", 40)))
-    df = spark.createDataFrame([(i, u, h, "clash") for i, (u, h, _) in pages], "page_id long, url string, html string, text string")
-    got = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+
+@pytest.mark.parametrize("small", [html_extract.SMALL, 0])
+def test_slots_of_a_template_without_telling_names(spark, small):
+    """Texts and link lists of template classes go, by a broadcast and by a shuffle of templates alike."""
+    pages = list(enumerate([*site("a.example", 40), *site("b.example", 12)]))
+    df = spark.createDataFrame([(i, u, h, "clash") for i, (u, h, _) in pages], PAGES).repartition(4)
+    got = {r.page_id: r.text for r in html_extract.extract_pages(df, small=small).collect()}
     assert all(got[i] == t for i, (_, _, t) in pages)
 
 
+def plain_template(htmls):
+    """The same deduction over full occurrence vectors: (link lists, template texts)."""
+    n, tags, texts, info = len(htmls), {}, {}, {}
+    for k, h in enumerate(htmls):
+        seen = {}
+        for path, text in html_extract.blocks(h, tags=seen):
+            texts.setdefault((path, html_extract.text_token(path, text)), [0] * n)[k] += 1
+        for path, (count, _, up, name, _) in seen.items():
+            tags.setdefault(path, [0] * n)[k] = count
+            info[path] = (up, name)
+    on = lambda v: sum(x > 0 for x in v)
+    tags = {t: v for t, v in tags.items() if on(v) >= max(3, 0.05 * n)}
+    texts = {t: v for t, v in texts.items() if on(v) >= max(3, 0.5 * n)}
+    root = {t for t, v in tags.items() if sum(x == 1 for x in v) >= 0.9 * n}
+
+    def slot(t):
+        while t in info and t not in root:
+            t = info[t][0]
+        return t
+
+    out = {t[1] for t, v in texts.items() if sum(x == 1 for x in v) >= 0.9 * n}
+    for (path, token), v in texts.items():
+        same = [t for t, w in tags.items() if w == v and t not in root]
+        others = [p for (p, _), w in texts.items() if w == v]
+        if same and len({slot(info[t][0]) for t in same} | {slot(p) for p in others}) == 1:
+            out.add(token)
+    menus = {info[info[t][0]][0] for t, v in tags.items() if info[t][1] == "a" and sum(v) >= 2 * on(v) and info[info[t][0]][1] == "li" and tags[info[t][0]] == v}
+    return menus, out
+
+
+def test_templates_equal_brute_force(spark):
+    hosts = {h: [x[1] for x in site(h, n)] for h, n in (("a.example", 40), ("b.example", 9), ("c.example", 3), ("d.example", 2))}
+    df = spark.createDataFrame([(h, p) for h, pages in hosts.items() for p in pages], "host string, html string").repartition(5)
+    df = df.select(F.xxhash64("host").alias("site"), "host", "html")
+    ids = {r.site: r.host for r in df.select("site", "host").distinct().collect()}
+    got = {ids[r.site]: (set(r.menus), set(r.texts)) for r in html_extract.templates(df.select("site", "html")).collect() if r.site is not None}
+    assert set(got) == {"a.example", "b.example", "c.example"}
+    for h, found in got.items():
+        assert found == plain_template(hosts[h])
+        assert found[1]
+
+
+def test_named_boxes_in_an_article_need_a_template(spark):
+    """A promo box on many pages of a host is no article text; on one page it is, and so is an article that copies share."""
+    word = lambda i: f"text{i} " * 9
+    rows = [(i, f"http://h/{i}", f"<article><p>{word(i)}</p><div class='promo'>buy {i}</div></article>") for i in range(6)]
+    rows += [(10 + i, f"http://g/{i}", f"<article><p>{word(i)}</p></article>" + "<article><div class='promo'>own</div></article>" * (i == 0)) for i in range(40)]
+    rows += [(100 + i, f"http://copies/{i}", f"<article><p>{word(1)}</p><p>{word(2)}</p><p>{i}</p></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == word(i).strip() for i in range(6))
+    assert got[10] == word(0).strip() + " own"
+    assert all(got[100 + i] == f"{word(1)}{word(2)}{i}" for i in range(5))
+
+
 def test_extract_edges(spark):
     schema = "page_id long, url string, html string"
-    df = spark.createDataFrame([(1, None, None), (2, "http://a/", ""), (3, "http://a/", "<p>" + "w " * 50_000), (3, "http://a/", "<p>x")], schema)
-    got = sorted((r.page_id, r.n_chars) for r in html_extract.extract_pages(df).collect())
-    assert got == [(1, 0), (2, 0), (3, 1), (3, 99_999)]
+    rows = [(1, None, None), (2, "http://a/", ""), (3, "http://a/", "<p>" + "w " * 50_000), (3, "http://a/", "<p>x")]
+    rows += [(9, None, f"<p>{i}</p><p>same</p>") for i in range(30)]
+    got = sorted((r.page_id, r.n_chars) for r in html_extract.extract_pages(spark.createDataFrame(rows, schema)).collect())
+    assert got[:4] == [(1, 0), (2, 0), (3, 1), (3, 99_999)] and len(got) == 34
     assert html_extract.extract_pages(spark.createDataFrame([], schema)).count() == 0
 
 

@@ -187,8 +187,10 @@ SAMPLE = 10_000  # texts in which common shingles are looked for
 COMMON = 200_000  # shingles that are known as common, at most
 BLOCK = 2_000  # members of a token on each side of a comparison
 HOT = 1_000  # pairs of one text that are given one copy of it
+FEW = 1_000_000  # ids that are broadcast, at most
 STARS = 4  # rounds of pairs with pivots before all remaining pairs
-CACHE = 1 << 22  # characters of texts whose shingles a worker remembers
+CACHE = 1 << 20  # shingles of texts that a worker remembers
+SKETCH = 256  # bits of parities
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -197,21 +199,58 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class _Words(dict):
+    """Hashes of words, remembered; emptied when it holds many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+_words = _Words()
+STEP, STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Hashes of the distinct shingles, ascending."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in set(word_shingles(text, k))], np.uint64))
+    """Hashes of the distinct k-word shingles (all words if there are fewer), ascending; from hashes of the words."""
+    words = (text or "").encode().translate(LOWER).split()
+    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(w) - k + 1)
+    h = np.full(n if len(w) else 0, min(len(w), k), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(min(k, len(w))):
+            h = h * STEP + w[j : j + n]
+        h ^= h >> np.uint64(31)
+        h *= STIR
+        h ^= h >> np.uint64(29)
+    h.sort()
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH bits, each the parity of the hashes that fall on it. Two sets' sketches differ in no more bits than the sets in elements."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+PRINT = ", ".join(f"p{j} long" for j in range(SKETCH // 64))
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, s = [], []
+            n, s, p = [], [], []
             for t in b.column(1):
                 h = shingle_set(t.as_py(), k)
                 n.append(len(h))
                 s.append(xxhash.xxh3_128_digest(h.tobytes()))
+                p.append(sketch(h))
             s = np.frombuffer(b"".join(s), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s[:, 0]), pa.array(s[:, 1])], ["id", "n", "s0", "s1"])
+            p = np.array(p, np.int64).reshape(-1, SKETCH // 64)
+            cols = [pa.array(x) for x in (s[:, 0], s[:, 1], *(np.ascontiguousarray(c) for c in p.T))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *cols], ["id", "n", "s0", "s1", *(f"p{j}" for j in range(SKETCH // 64))])
 
     return run
 
@@ -247,23 +286,24 @@ def _prefixes(least: float, k: int, common):
 
 def _alike(least: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
+        seen: dict[bytes, np.ndarray] = {}
         held = 0
 
-        def shingles(t: str) -> np.ndarray:
+        def shingles(text: pa.Scalar) -> np.ndarray:
             nonlocal held
-            if t not in seen:
+            key = xxhash.xxh3_128_digest(text.as_buffer())
+            if key not in seen:
                 if held > CACHE:
                     seen.clear()
                     held = 0
-                seen[t] = shingle_set(t, k)
-                held += len(t)
-            return seen[t]
+                seen[key] = shingle_set(text.as_py(), k)
+                held += len(seen[key])
+            return seen[key]
 
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = shingles(x.as_py() or ""), shingles(y.as_py() or "")
+                s, t = shingles(x), shingles(y)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(both >= least * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -284,11 +324,14 @@ def common_shingles(texts: DataFrame, nodes: DataFrame, k: int) -> tuple[np.ndar
 
 def _with_text(pairs: DataFrame, side: str, texts: DataFrame, name: str) -> DataFrame:
     """Pairs with the text of one side; a text of many pairs is given out in several copies, each to a task of its own."""
-    hot = durable(pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count("*") / HOT).cast("int").alias("copies")).where("copies > 1"))
-    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot  # at most a thousandth of the pairs
+    want = durable(pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count("*") / HOT).cast("int").alias("copies")))
+    hot = want.where("copies > 1")
+    few = want.count() <= FEW
+    hot = F.broadcast(hot) if few or hot.count() <= FEW else hot
     copies = F.coalesce("copies", F.lit(1))
     left = pairs.join(hot.withColumnRenamed("id", side), side, "left").withColumn("copy", F.pmod(F.xxhash64("a", "b"), copies).cast("int")).drop("copies")
-    right = texts.join(hot, "id", "left").select(F.col("id").alias(side), F.col("text").alias(name), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    right = texts.join(F.broadcast(want) if few else want, "id")
+    right = right.select(F.col("id").alias(side), F.coalesce("text", F.lit("")).alias(name), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
     return left.join(right, [side, "copy"]).drop("copy")
 
 
@@ -309,9 +352,17 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
     # Of tokens with the same members one is enough.
     sets = rare.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id", "n")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id", "n")).alias("y"))
     one = sets.groupBy("m", "x", "y").agg(F.min("token").alias("token")).where("m > 1").select(own_key("token").alias("token"), "m")
-    rare = settled(rare.join(one, "token").withColumn("root", F.col("id")))
+    rare = settled(rare.join(one, "token").join(nodes.drop("s0", "s1"), ["id", "n"]).withColumn("root", F.col("id")))
+
+    prints = [f"p{j}" for j in range(SKETCH // 64)]
+    apart = (1 - similarity) / (1 + similarity)  # share of both sets' elements that may be in one of them only
+
+    def fits(x, y):
+        """Whether sizes and sketches allow two sets to be alike; what it refuses can't be."""
+        bits = sum((F.bit_count(F.col(x + p).bitwiseXOR(F.col(y + p))) for p in prints), F.lit(0))
+        n, o = F.col(x + "n"), F.col(y + "n")
+        return (F.least(n, o) >= F.lit(similarity) * F.greatest(n, o)) & (bits <= F.lit(apart) * (n + o) + 1e-6)
 
-    fits = lambda n, o: F.least(n, o) >= F.lit(similarity) * F.greatest(n, o)
     ordered = lambda p, a, b: p.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     sure = checked = None
     more, last = True, False
@@ -327,13 +378,13 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
             blocks = F.ceil(F.col("m") / BLOCK).cast("int")
             part = F.pmod(F.xxhash64("id"), blocks).cast("int")
             every = F.explode(F.sequence(F.lit(0), blocks - 1))
-            left = rare.select("token", part.alias("s"), every.alias("t"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            right = rare.select("token", every.alias("s"), part.alias("t"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = ordered(left.join(right, ["token", "s", "t"]).where("a < b and ra <> rb").where(fits(F.col("na"), F.col("nb"))), "a", "b")
+            own = lambda x: F.struct("id", "n", "root", *prints).alias(x)
+            left, right = rare.select("token", part.alias("s"), every.alias("t"), own("x")), rare.select("token", every.alias("s"), part.alias("t"), own("y"))
+            pairs = ordered(left.join(right, ["token", "s", "t"]).where("x.id < y.id and x.root <> y.root").where(fits("x.", "y.")), "x.id", "y.id")
         else:
-            pivot = rare.groupBy("token").agg(F.min_by(F.struct("id", "n", "root"), F.xxhash64("id", F.lit(i))).alias("p"))
+            pivot = rare.groupBy("token").agg(F.min_by(F.struct("id", "n", "root", *prints), F.xxhash64("id", F.lit(i))).alias("p"))
             pairs = rare.join(pivot.withColumn("token", own_key("token")), "token").where("id <> p.id and root <> p.root")
-            pairs = ordered(pairs.where(fits(F.col("n"), F.col("p.n"))), "id", "p.id")
+            pairs = ordered(pairs.where(fits("", "p.")), "id", "p.id")
         pairs = settled(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
         checked = pairs if checked is None else checked.union(pairs)
         held = _with_text(_with_text(pairs, "a", texts, "x"), "b", texts, "y")
@@ -361,8 +412,9 @@ def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_i
     """
     have = docs.where(F.col(doc_id).isNotNull())
     texts = have.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    prints = texts.mapInArrow(_sets(k), "id long, n long, s0 long, s1 long")
-    nodes = durable(prints.groupBy("s0", "s1", "n").agg(F.min("id").alias("id")))
+    prints = texts.mapInArrow(_sets(k), f"id long, n long, s0 long, s1 long, {PRINT}")
+    bits = [F.first(f"p{j}").alias(f"p{j}") for j in range(SKETCH // 64)]  # equal in a group
+    nodes = durable(prints.groupBy("s0", "s1", "n").agg(F.min("id").alias("id"), *bits))
     sure = near_links(texts, nodes, k, similarity)
     stay = nodes.select("id").distinct()
     if sure is not None:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space as the contracts name it: blank and tab to carriage return.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
+BATCH = 1_000  # rows of an Arrow batch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,15 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary folder is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's spark.checkpoint.dir. Where that is unset, one machine takes a temporary folder and a cluster is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ckpt-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def mapped(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` in batches of BATCH rows, where the session sets no size: a batch of whole texts is held by the JVM and by the worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

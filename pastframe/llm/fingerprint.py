@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 
 WINDOW = 7  # bytes of the rolling hash
 LEAST = 3  # the smallest block size; others are this times a power of two
@@ -189,8 +189,10 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     dealt = src.select(F.explode(F.array_compact(F.array(here, before))).alias("to"), "key", "doc_id", "text")
     dealt = dealt.repartitionById(last + 1, "to.b").sortWithinPartitions("to.b", "to.ahead", "key", "text")
-    return dealt.select("to.ahead", "doc_id", "text").mapInArrow(
-        _in_order, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return mapped(
+        dealt.select("to.ahead", "doc_id", "text"),
+        _in_order,
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     )
 
 

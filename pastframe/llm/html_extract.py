@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, mapped, table
 from .url_filter import split_url
 
 MIN_PAGES = 3  # hosts with fewer pages use the template of all hosts, which has no texts
@@ -308,7 +308,7 @@ def templates(pages: DataFrame) -> DataFrame:
     that stand on a share of its pages, at most 20 times the tokens of a page.
     """
     full = pages.where("html <> ''")
-    per = full.select("site", "html").mapInArrow(_count, _SUMS).groupBy("site", "token").agg(
+    per = mapped(full.select("site", "html"), _count, _SUMS).groupBy("site", "token").agg(
         *[F.first(c).alias(c) for c in ("parent", "name", "kind")],
         *[F.sum(c).alias(c) for c in ("pages", "once", "times")],
         F.expr(f"cast(sum(cast(vector as decimal(38,0))) % {PRIME} as long)").alias("vector"),
@@ -372,7 +372,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         many = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = src.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(many, ["site", "salt"], "left")
     rest = (default.loose, default.menus, []) if default else ([], [], [])
-    return joined.select("page_id", "url", "html", "site", "loose", "menus", "texts").mapInArrow(_extract(rest), "page_id long, url string, text string, n_chars long")
+    return mapped(joined.select("page_id", "url", "html", "site", "loose", "menus", "texts"), _extract(rest), "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import table
+from .common import mapped, table
 from .tokens import WORDS, slices, vocabulary_path
 
 WINDOW = 4096
@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
             yield block(task, number, *held)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_id long"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mapped, table
 from .tokens import slices
 
-SAMPLE = 4000  # documents that the scorer is trained on
+SAMPLE = 4000  # distinct texts, about, that train the scorer
 BITS = 14  # hashed features: 2^14
 ROUNDS = 200
-MOST_WRONG = 0.005  # of good texts, the share that a labeller may call junk
+START = (0.05, 0.5)  # rates of junk votes before the first round: of all texts, of the kind that is a labeller's own
+PRIOR = (1.0, 1.0)  # of a Beta distribution for each rate: one vote of each kind
+CHARS = 1 << 20  # bytes hashed at once
 
 #: Per labeller: a statistic, then the bounds of a good vote and of a junk vote, and the least words for a vote.
 LABELLERS = [
@@ -26,6 +30,8 @@ LABELLERS = [
     ("fresh", ">=", 0.60, "<=", 0.35, 40),  # distinct among pairs of neighbouring words
     ("bars", "<=", 0.02, ">=", 0.15, 8),  # vertical bars a word
     ("shouts", "<=", 0.10, ">=", 0.40, 8),  # exclamation marks a word
+    ("marks", "<=", 0.02, ">=", 0.15, 8),  # symbols at the end of a word, a word
+    ("returns", "<=", 0.08, ">=", 0.20, 20),  # words equal to the one two places before
 ]
 NAMES = [x[0] for x in LABELLERS]
 #: Edges of the buckets in which the scorer sees the statistics.
@@ -34,7 +40,9 @@ STATS = len(LABELLERS) * (len(EDGES) + 1)
 WIDTH = (1 << BITS) + STATS
 
 _COMMON = frozenset(b".,;:!?'\"()-+@/=_")
-_KIND = np.array([2 if 65 <= b <= 90 else 1 if 97 <= b <= 122 else 0 if b > 127 or b in b" \t\n\r\x0b\x0c0123456789" or b in _COMMON else 3 for b in range(256)])
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+_KIND = np.array([2 if 65 <= b <= 90 else 1 if 97 <= b <= 122 else 0 if b > 127 or _BLANK[b] or b in b"0123456789" or b in _COMMON else 3 for b in range(256)], np.uint8)
 
 
 def statistics(text: str) -> tuple[int, list[float]]:
@@ -42,17 +50,19 @@ def statistics(text: str) -> tuple[int, list[float]]:
     data = np.frombuffer(text.encode(), np.uint8)
     seen = np.bincount(data, minlength=256)
     kinds = np.bincount(_KIND, seen, minlength=4)
+    ends = np.count_nonzero((_KIND[data[:-1]] == 3) & _BLANK[data[1:]]) + int(len(data) > 0 and _KIND[data[-1]] == 3)
     words = text.split()
-    n = len(words)
-    pairs = list(zip(words, words[1:]))
+    n, after = len(words), words[1:]
     share = lambda a, b: float(a) / b if b else 0.0
     return n, [
         share(kinds[3], len(text)),
         share(kinds[2], kinds[1] + kinds[2]),
-        share(sum(a == b for a, b in pairs), n),
-        share(len(set(pairs)), len(pairs)) if pairs else 1.0,
+        share(sum(map(eq, words, after)), n),
+        share(len(set(zip(words, after))), n - 1) if n > 1 else 1.0,
         share(seen[124], n),
         share(seen[33], n),
+        share(ends, n),
+        share(sum(map(eq, words, words[2:])), n),
     ]
 
 
@@ -65,59 +75,66 @@ def votes(words: int, stats: list[float]) -> str:
     return out
 
 
-def estimate(patterns: dict[str, int], rounds: int = ROUNDS) -> tuple[dict[str, float], np.ndarray, float]:
+def estimate(patterns: dict[str, int], rounds: int = 1000) -> tuple[dict[str, float], np.ndarray, float]:
     """Posterior of junk by vote pattern, each labeller's (junk votes of junk, junk votes of good) rates, the share of junk.
 
-    Expectation-maximisation over the counts of patterns, of which there are at
-    most 3^labellers whatever the corpus; no vote says nothing. Labellers vote
-    independently given the kind of text: good, or one kind of junk that each was
-    made for. Counts alone can't tell a labeller that is often wrong about good
-    text from a kind of junk that only it sees, so the share of junk votes on
-    good text is held at MOST_WRONG or less.
+    Expectation-maximisation over the counts of patterns, of which there are at most
+    3^labellers whatever the corpus. A text is good or one of as many kinds of junk as
+    there are labellers; labellers vote independently given that, and no vote says
+    nothing. All rates and shares are estimated: labellers that overlap tell each other's
+    accuracies, since votes that fall together more often than chance need a kind of
+    junk. The start is alike for all labellers and only says which kind is whose.
     """
-    keys, kinds = list(patterns), len(LABELLERS)
-    n = np.array([patterns[k] for k in keys], float)
-    v = np.array([[{"j": 1.0, "g": 0.0, "-": np.nan}[c] for c in k] for k in keys]).reshape(len(keys), kinds)
-    voted, junk = ~np.isnan(v), np.nan_to_num(v)
-    rates = np.vstack([np.full(kinds, 0.001), np.where(np.eye(kinds), 0.9, 0.1)])
-    belief = weight = np.r_[0.9, np.full(kinds, 0.1 / kinds)]  # what a corpus without any vote is left with
-    post = np.zeros((len(keys), kinds + 1))
+    keys, k = list(patterns), len(LABELLERS)
+    n = np.array([patterns[x] for x in keys], float)
+    v = np.array([[{"j": 1.0, "g": 0.0, "-": np.nan}[c] for c in x] for x in keys]).reshape(len(keys), k)
+    voted, junk = (~np.isnan(v)).astype(float), np.nan_to_num(v)
+    rates = np.vstack([np.full(k, START[0]), np.where(np.eye(k), START[1], START[0])])
+    first = weight = np.r_[0.9, np.full(k, 0.1 / k)]  # what a corpus without any vote is left with
+    post = np.zeros((len(keys), k + 1))
     for _ in range(rounds if keys else 0):
-        log = np.log(weight) + (voted * junk) @ np.log(rates).T + (voted * (1 - junk)) @ np.log(1 - rates).T
+        log = np.log(weight) + junk @ np.log(rates).T + (voted - junk) @ np.log(1 - rates).T
         new = np.exp(log - log.max(axis=1, keepdims=True))
         new /= new.sum(axis=1, keepdims=True)
         done, post = np.abs(new - post).max() < 1e-9, new
         if done:
             break
-        mass = n[:, None] * post
-        weight = (mass.sum(0) + belief) / (n.sum() + 1)
-        rates = np.clip((mass.T @ (voted * junk) + 0.1) / (mass.T @ voted + 0.2), 1e-6, 1 - 1e-6)
-        rates[0] = np.minimum(rates[0], MOST_WRONG)
+        mass = (n[:, None] * post).T
+        weight = (mass.sum(1) + first) / (n.sum() + 1)
+        rates = (mass @ junk + PRIOR[0]) / (mass @ voted + sum(PRIOR))
     bad = weight[1:] @ rates[1:] / weight[1:].sum()
     return dict(zip(keys, (1 - post[:, 0]).tolist(), strict=True)), np.stack([bad, rates[0]], axis=1), float(1 - weight[0])
 
 
-def hashed(data: np.ndarray) -> np.ndarray:
-    """Feature numbers of a text's byte triples."""
-    x = data.astype(np.uint32)
-    return ((x[:-2] * np.uint32(0x9E3779B1) ^ x[1:-1] * np.uint32(0x85EBCA77) ^ x[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)).astype(np.int64)
+def hashed(text: str) -> Iterator[np.ndarray]:
+    """Feature numbers of a text's byte triples, a bounded number at once."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    for lo in range(0, len(data) - 2, CHARS):
+        x = data[lo : lo + CHARS + 2].astype(np.uint32)
+        yield ((x[:-2] * np.uint32(0x9E3779B1) ^ x[1:-1] * np.uint32(0x85EBCA77) ^ x[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)).astype(np.int64)
+
+
+def junk_score(text: str, stats: list[float], w: np.ndarray, bias: float) -> float:
+    """The scorer's sum: mean weight of the byte triples, weights of the buckets, bias."""
+    total = size = 0
+    for at in hashed(text):
+        total, size = total + w[at].sum(), size + len(at)
+    return float(bias + w[buckets(stats)].sum() + (total / size if size else 0.0))
 
 
 def buckets(stats: list[float]) -> np.ndarray:
     return (1 << BITS) + np.arange(len(stats)) * (len(EDGES) + 1) + np.searchsorted(EDGES, stats)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer of junk from (features, values, posterior) rows, by Adagrad steps."""
+def train(own: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, many: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer of junk, by Adagrad steps. ``own``, ``at``, ``x``: text, feature, value; ``y``, ``many``: posterior, weight of a text."""
     w, bias = np.zeros(WIDTH), -2.0
-    if not rows:
+    if not len(y):
         return w, bias
-    own = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    at, x, y = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.array([r[2] for r in rows])
     sq, sq0 = np.full(WIDTH, 1e-8), 1e-8
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(own, w[at] * x, len(rows)) + bias, -50, 50)))
-        e = (p - y) / len(rows)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(own, w[at] * x, len(y)) + bias, -50, 50)))
+        e = many * (p - y) / many.sum()
         g = np.bincount(at, e[own] * x, WIDTH) + 1e-6 * w
         sq += g * g
         sq0 += e.sum() ** 2
@@ -134,27 +151,36 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in slices(batches):
+    for many, texts in slices(batches):
         out = []
         for t in texts:
             n, stats = statistics(t)
-            at, many = np.unique(hashed(np.frombuffer(t.encode(), np.uint8)), return_counts=True) if t else (np.zeros(0, int), np.zeros(0))
-            x = many / max(1, many.sum())
-            out.append((np.r_[at, buckets(stats)].tolist(), np.r_[x, np.ones(len(stats))].tolist(), votes(n, stats)))
+            count = sum((np.bincount(at, minlength=1 << BITS) for at in hashed(t)), np.zeros(1 << BITS, np.int64))
+            at = np.flatnonzero(count)
+            x = count[at] / max(1, count.sum())
+            out.append((np.r_[at, buckets(stats)].astype(np.int32), np.r_[x, np.ones(len(stats))].astype(np.float32), votes(n, stats)))
         cols = [pa.array([r[0] for r in out], pa.list_(pa.int32())), pa.array([r[1] for r in out], pa.list_(pa.float32())), pa.array([r[2] for r in out], pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, ["at", "x", "votes"])
+        yield pa.RecordBatch.from_arrays([many, *cols], ["n", "at", "x", "votes"])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> tuple[np.ndarray, float, dict[str, float], np.ndarray]:
-    """Weights, bias, posteriors by pattern and labeller rates. Votes are counted over all rows; about ``sample`` rows train the scorer."""
-    src = docs.select(F.lit(0).alias("none"), F.col(text).alias("text"))
-    counted = src.mapInArrow(_patterns, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    """Weights, bias, posteriors by pattern and labeller rates. Votes are counted over all rows.
+
+    The scorer is trained on about ``sample`` distinct texts, picked by a hash; a text
+    that n rows have weighs 1 + log2(n), so that copies don't drown the others.
+    """
+    src = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    counted = mapped(src.select(F.lit(0).alias("none"), "text"), _patterns, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
     patterns = {r.votes: r.n for r in counted.collect()}
     post, rates, _ = estimate(patterns)
-    share = min(1.0, sample / max(1, sum(patterns.values())))
-    part = F.pmod(F.xxhash64(F.lit(7), F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < int(1_000_000 * share)
-    rows = src.where(part).mapInArrow(_features, "at array<int>, x array<float>, votes string").limit(2 * sample).toPandas()
-    w, bias = train([(np.asarray(a, np.int64), np.asarray(x, float), post.get(v, 0.0)) for a, x, v in zip(rows["at"], rows["x"], rows["votes"], strict=True)])
+    share = min(1.0, sample / max(1, src.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]))
+    part = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(1 << 40)) < int((1 << 40) * share)
+    some = src.where(part).groupBy(F.sha2("text", 256).alias("s")).agg(F.count("*").alias("n"), F.first("text").alias("text")).orderBy("s")
+    rows = mapped(some.select("n", "text"), _features, "n long, at array<int>, x array<float>, votes string").toArrow().combine_chunks()
+    flat = lambda c: rows[c].combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0, np.int32)
+    own = np.repeat(np.arange(rows.num_rows, dtype=np.int32), pc.list_value_length(rows["at"]).to_numpy() if rows.num_rows else 0)
+    y = np.array([post.get(v, 0.0) for v in rows["votes"].to_pylist()])
+    w, bias = train(own, flat("at"), flat("x"), y, 1 + np.log2(np.array(rows["n"].to_pylist(), float)))
     return w, bias, post, rates
 
 
@@ -168,7 +194,7 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id
     further columns are ignored.
     """
     w, bias, post, _ = fit(docs, sample, text)
-    model = docs.sparkSession.sparkContext.broadcast((w, bias, post))  # 2^14 weights and at most 3^6 patterns
+    model = docs.sparkSession.sparkContext.broadcast((w, bias, post))  # 2^14 weights and at most 3^labellers patterns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias, post = model.value
@@ -177,19 +203,16 @@ def score_documents(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id
             for t in texts:
                 n, stats = statistics(t)
                 said.append(votes(n, stats))
-                at = hashed(np.frombuffer(t.encode(), np.uint8)) if t else np.zeros(0, int)
-                s = bias + w[buckets(stats)].sum() + (w[at].mean() if len(at) else 0.0)
-                junk.append(float(1 / (1 + np.exp(-np.clip(s, -50, 50)))))
+                junk.append(float(1 / (1 + np.exp(-np.clip(junk_score(t, stats, w, bias), -50, 50)))))
             weak = [post.get(v, 0.0) for v in said]
             cols = [keys, pa.array(said, pa.string()), pa.array(weak, pa.float64()), pa.array(junk, pa.float64()), pa.array([j < 0.5 for j in junk], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "votes", "weak_junk", "junk", "kept"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, votes string, weak_junk double, junk double, kept boolean"
-    )
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return mapped(src, run, "doc_id long, votes string, weak_junk double, junk double, kept boolean")
 
 
-def keep_good(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, that the scorer keeps; rows with a null doc_id are judged by their texts like others."""
     w, bias, _, _ = fit(docs, sample, text)
     model = docs.sparkSession.sparkContext.broadcast((w, bias))
@@ -199,14 +222,10 @@ def keep_good(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = model.value
         for b in batches:
-            keep = []
-            for t in b.column(at_text):
-                t = t.as_py() or ""
-                at = hashed(np.frombuffer(t.encode(), np.uint8)) if t else np.zeros(0, int)
-                keep.append(bool(bias + w[buckets(statistics(t)[1])].sum() + (w[at].mean() if len(at) else 0.0) < 0))
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            texts = (t.as_py() or "" for t in b.column(at_text))
+            yield b.filter(pa.array([junk_score(t, statistics(t)[1], w, bias) < 0 for t in texts], pa.bool_()))
+
+    return mapped(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

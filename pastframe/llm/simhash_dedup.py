@@ -12,9 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, durable, own_key, shared_folder, table
+from .common import components, durable, mapped, own_key, shared_folder, table
 
 SEED = 42
+WORDS = 100_000  # words whose hashes a worker remembers
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HOME, VISITORS = 1 << 14, 1 << 17  # rows of the two sides of a comparison task
 PAIRS = 1 << 22  # pairs compared at once
@@ -57,7 +58,7 @@ def fingerprints(docs: DataFrame, k: int, parts: int = 1, doc_id: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *prints], ["doc_id", "n", *(f"f{j}" for j in range(parts))])
 
     schema = "doc_id long, n long, " + ", ".join(f"f{j} long" for j in range(parts))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return mapped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, schema)
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -203,7 +204,7 @@ class _Words(dict):
     """Hashes of words, remembered; emptied when it holds many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > WORDS:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, SEED)
         return h
@@ -315,7 +316,7 @@ def common_shingles(texts: DataFrame, nodes: DataFrame, k: int) -> tuple[np.ndar
     """Shingles that stand in three or more of about SAMPLE texts, ascending, and in how many. They only set the order of shingles."""
     share = min(1.0, SAMPLE / max(1, nodes.count()))
     some = nodes.where(F.pmod(F.xxhash64(F.lit(3), "s0", "s1"), F.lit(1_000_000)) < int(1_000_000 * share)).select("id")
-    found = texts.join(F.broadcast(some), "id", "left_semi").mapInArrow(_tokens(k), "token long").groupBy("token").agg(F.count("*").alias("n"))
+    found = mapped(texts.join(F.broadcast(some), "id", "left_semi"), _tokens(k), "token long").groupBy("token").agg(F.count("*").alias("n"))
     rows = found.where("n > 2").orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
     known = rows["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
@@ -345,7 +346,7 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
     token, fits in size and is neither joined by confirmed links nor rejected is checked.
     """
     common = nodes.sparkSession.sparkContext.broadcast(common_shingles(texts, nodes, k))
-    rare = texts.mapInArrow(_prefixes(similarity, k, common), "id long, n long, tokens array<long>")
+    rare = mapped(texts, _prefixes(similarity, k, common), "id long, n long, tokens array<long>")
     rare = durable(rare.join(nodes.select("id", "n"), ["id", "n"], "left_semi").select("id", "n", F.explode("tokens").alias("token")))
     often = rare.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     rare = settled(rare.join(often.withColumn("token", own_key("token")), "token").distinct())
@@ -388,7 +389,7 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
         pairs = settled(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
         checked = pairs if checked is None else checked.union(pairs)
         held = _with_text(_with_text(pairs, "a", texts, "x"), "b", texts, "y")
-        new = settled(held.select("a", "b", "x", "y").mapInArrow(_alike(similarity, k), "a long, b long"))
+        new = settled(mapped(held.select("a", "b", "x", "y"), _alike(similarity, k), "a long, b long"))
         more = not new.isEmpty()
         sure = new if sure is None else sure.union(new)
         if last:
@@ -412,7 +413,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_i
     """
     have = docs.where(F.col(doc_id).isNotNull())
     texts = have.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    prints = texts.mapInArrow(_sets(k), f"id long, n long, s0 long, s1 long, {PRINT}")
+    prints = mapped(texts, _sets(k), f"id long, n long, s0 long, s1 long, {PRINT}")
     bits = [F.first(f"p{j}").alias(f"p{j}") for j in range(SKETCH // 64)]  # equal in a group
     nodes = durable(prints.groupBy("s0", "s1", "n").agg(F.min("id").alias("id"), *bits))
     sure = near_links(texts, nodes, k, similarity)

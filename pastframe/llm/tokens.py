@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import table
+from .common import mapped, table
 
 CHARS = 2_000_000  # characters handled at once in a task
 WORDS = 300_000  # words that a worker remembers
@@ -128,7 +128,7 @@ def encode_documents(docs: DataFrame, path: str, decode: bool = True, doc_id: st
             lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([keys, lists, pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return mapped(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, ids array<int>, decoded string")
 
 
 def digest_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def digest_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def query_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_documents(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
-    return out.mapInArrow(digest_ids, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(out, digest_ids, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,8 +167,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, doc_id: str = "
                 [keys, pa.array(size, pa.int64()), pa.array(total), pa.array(total > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+    return mapped(
+        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )
 
 

@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, own_key, table
+from .common import BLANKS, durable, own_key, table
 
 MIN_SITES = 5  # a line on at least so many sites is cross-site boilerplate
 BAND = 0.5  # estimates within this share of the threshold are settled by exact counts
+FEW = 1_000_000  # line hashes that are broadcast, at most
 LG_K = 8  # 256 registers: standard error 6.5 %, far inside the band
 
 
-def _tag(i):
-    return F.lpad(i.cast("string"), 12, "0")
-
-
 def spread(lines: DataFrame, min_sites: int) -> DataFrame:
     """Hashes of boilerplate lines with their first occurrence.
 
@@ -25,14 +22,19 @@ def spread(lines: DataFrame, min_sites: int) -> DataFrame:
     sketch = lines.groupBy("h1", "h2").agg(
         F.hll_sketch_agg("site", LG_K).alias("sk"), F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")
     )
-    est = sketch.where(F.col("n") >= min_sites).select("h1", "h2", "first", F.hll_sketch_estimate("sk").alias("est"))
     lo, hi = min_sites * (1 - BAND), min_sites * (1 + BAND)
-    sure = est.where(F.col("est") > hi)
-    near = est.where(F.col("est").between(lo, hi))
+    est = sketch.where(F.col("n") >= min_sites).select("h1", "h2", "first", F.hll_sketch_estimate("sk").alias("est"))
+    est = durable(est.where(F.col("est") >= lo))
+    sure, near = est.where(F.col("est") > hi), est.where(F.col("est") <= hi)
     # Distinct first: a hot line has a row per site then, not one per occurrence.
-    sites = lines.select("h1", "h2", "site").distinct().join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    sites = lines.select("h1", "h2", "site").join(_few(near.select("h1", "h2")), ["h1", "h2"], "left_semi").distinct()
     exact = sites.groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
-    return sure.select("h1", "h2", "first").unionByName(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
+    return durable(sure.select("h1", "h2", "first").unionByName(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first")))
+
+
+def _few(lines: DataFrame) -> DataFrame:
+    """For a broadcast if they are FEW or fewer; else shuffled on a key of their own, so that a hot line's rows can be split."""
+    return F.broadcast(lines) if lines.count() <= FEW else lines.withColumn("h1", own_key("h1"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_id", text: str = "text", site: str = "source") -> DataFrame:
@@ -45,36 +47,36 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, doc_id: str = "doc_
     columns of ``docs`` with the new text, n_chars set anew where it exists, and
     lines_total, lines_removed.
 
-    Null text stays null with no lines; a null site counts as one site of its
-    own; null doc_id sorts first. Repeated rows are the same occurrence: all keep
-    or all lose a line. Empty table: empty result. Columns of ``docs`` named
-    lines_total or lines_removed are replaced.
+    Null text stays null with no lines; a null site counts as the empty one; null
+    doc_id sorts first. Repeated rows are the same occurrence: all keep or all lose
+    a line. Empty table: empty result. Columns of ``docs`` named lines_total or
+    lines_removed are replaced; no other name can clash.
     """
-    src = docs.drop("lines_total", "lines_removed").withColumn("_th", F.xxhash64(text))
-    every = src.select(
+    docs = docs.drop("lines_total", "lines_removed")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    src = docs.select(row, F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
+    every = docs.select(
         F.col(doc_id).alias("doc_id"),
-        "_th",
+        F.xxhash64(text).alias("h"),
         F.coalesce(F.col(site), F.lit("")).alias("site"),
         F.posexplode(F.split(text, "\n")).alias("pos", "line"),
     ).withColumn("line", F.trim("line", F.lit(BLANKS)))
-    lines = every.where("line <> ''").select("doc_id", "_th", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    marked = lines.join(spread(lines, min_sites).withColumn("h1", own_key("h1")), ["h1", "h2"])
-    gone = marked.where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).groupBy("doc_id", "_th")
-    gone = gone.agg(F.collect_set("pos").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), "_gone")
-    both = src.join(gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left")
-    parts = F.split(text, "\n")
-    tagged = F.transform(parts, lambda x, i: F.concat(_tag(i), x))
-    dropped = F.transform("_gone", lambda i: F.concat(_tag(i), F.get(parts, i)))
-    kept = F.transform(F.array_except(tagged, dropped), lambda x: F.substr(x, F.lit(13)))
-    clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = both.withColumns(
-        {
-            text: clean,
-            "lines_total": F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long"),
-            "lines_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
-        }
-    ).drop("_th", "_id", "_h", "_gone")
-    return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out
+    lines = every.where("line <> ''").select("doc_id", "h", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    marked = lines.join(_few(spread(lines, min_sites)), ["h1", "h2"])
+    gone = marked.where(~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).groupBy("doc_id", "h").agg(F.collect_set("pos").alias("gone"))
+    both = src.join(gone, src.id.eqNullSafe(gone.doc_id) & (src.h == gone.h), "left").select("row", "gone")
+    old = F.col(f"row.`{text}`")
+    # The parts are bound once, as the lambda's variable, and kept positions found by hash: linear in the lines.
+    kept = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "gone")
+    clean = F.transform(F.array(F.split(old, "\n")), lambda p: F.array_join(F.transform(kept(p), lambda i: F.get(p, i)), "\n"))[0]
+    new = F.when(F.col("gone").isNull(), old).otherwise(clean)
+    out = both.select("row", "gone", new.alias("new"))
+    values = {text: F.col("new")} | ({"n_chars": F.length("new").cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(
+        *[values.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns],
+        F.when(old.isNull(), 0).otherwise(F.size(F.split(old, "\n"))).cast("long").alias("lines_total"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("lines_removed"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, own_key, table
 
-PREFIX = 8  # hex digits of the digest that the first join compares
+PREFIX = 8  # hex digits of the digest that the join compares
+FEW = 100_000  # rules that are broadcast, at most
 
 #: The rules of the contract: verdict, host, path.
 RULES = [
@@ -33,7 +34,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     equally long ones the longer host, then ``block``. Rows that no rule fits
     get a null rule and ``default``. Each distinct (host, path) is expanded only
     into suffixes and prefixes of lengths that occur in the rules, joined with
-    them on the first digits of a digest, and confirmed on the whole digest.
+    them on the first digits of a digest, and confirmed on the whole digest. The
+    verdicts go back to the rows on a computed key, so that Spark may split the
+    rows of a hot url, such as all null ones.
 
     Null or malformed urls: empty host and path, thus ``default``. Repeated rows
     stay repeated; an empty ``pages`` gives an empty result; columns of
@@ -50,22 +53,27 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     )
     r = r.withColumn("short", F.substring("full", 1, PREFIX))
     # How many labels and characters rules have: two short lists of integers, however many rules there are.
-    sizes = r.agg(F.sort_array(F.collect_set("labels")), F.sort_array(F.collect_set("pl"))).first()
+    sizes = r.agg(F.sort_array(F.collect_set("labels")), F.sort_array(F.collect_set("pl")), F.count("*")).first()
+    r = F.broadcast(r) if sizes[2] <= FEW else r
     host, path = split_url(F.col(url))
     kept = pages.drop("host", "path", "rule", "verdict")
-    kept = kept.withColumns({"host": host, "path": path})
+    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
     suffixes = [F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in sizes[0]]
     prefixes = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sizes[1]]
     texts = F.array(*[digest(s, p) for s in suffixes for p in prefixes]) if sizes[0] else F.array().cast("array<string>")
-    asked = kept.select("host", "path").distinct()
+    asked = rows.select("host", "path").distinct()
     tried = asked.select("host", "path", F.explode(F.array_compact(texts)).alias("digest"))
-    tried = tried.withColumn("short", F.substring("digest", 1, PREFIX))
-    hit = tried.join(r, "short").where("digest = full")
-    order = F.struct(F.length("rule"), F.col("hl"), (F.col("verdict") == "block").cast("int"))
-    best = hit.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best"))
-    return kept.join(best, ["host", "path"], "left").select(
-        *[F.col(f"`{c}`") for c in kept.columns],
+    near = tried.withColumn("short", F.substring("digest", 1, PREFIX)).join(r, "short")
+    # The whole digest is confirmed here: a rule that only shares the prefix has no order and can't be the best.
+    order = F.when(F.col("digest") == F.col("full"), F.struct(F.length("rule"), F.col("hl"), (F.col("verdict") == "block").cast("int")))
+    best = near.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best")).where("best is not null")
+    best = best.withColumn("k", own_key(F.xxhash64("host", "path")))
+    found = rows.withColumn("k", F.xxhash64("host", "path")).join(best, ["k", "host", "path"], "left")
+    return found.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in kept.columns],
+        "host",
+        "path",
         F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )

@@ -31,7 +31,9 @@ def test_urls_of_the_contract(spark):
     ]
 
 
-def test_urls_equal_brute_force(spark):
+@pytest.mark.parametrize("prefix", [url_filter.PREFIX, 1])
+def test_urls_equal_brute_force(spark, monkeypatch, prefix):
+    monkeypatch.setattr(url_filter, "PREFIX", prefix)  # a short one lets rules meet that only the whole digest tells apart
     r = random.Random(3)
     part = lambda k: r.choice("ab") * r.randint(1, k)
     rules = list({(h, p): (r.choice(["allow", "block"]), h, p) for h, p in ((".".join(part(2) for _ in range(r.randint(1, 3))), "/" + part(2) * r.randint(0, 1)) for _ in range(25))}.values())
@@ -42,6 +44,17 @@ def test_urls_equal_brute_force(spark):
         assert (rule, verdict) == want, u
 
 
+def test_urls_of_a_hot_key_and_clashing_names(spark):
+    """Half of the rows have no url; the grouped side has an exchange of its own, so the hot key can be split, and the join is on digest prefixes."""
+    rows = [(i, None if i % 2 else f"http://h{i}.example.com/en/{i}", i, i, i) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, best long, k long, row long")
+    out = url_filter.judge_urls(pages, spark.createDataFrame(url_filter.RULES, RULES))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "short" in plan and "(digest" not in "".join(x for x in plan.split("\n") if "Join" in x)
+    got = out.collect()
+    assert all((r.best, r.verdict) == (r.page_id, "allow" if r.page_id % 2 else "block") for r in got) and len(got) == 400
+
+
 def test_urls_without_rules_or_rows(spark):
     assert judge(spark, ["http://a.com/"], []) == [("a.com", "/", None, "allow")]
     assert judge(spark, []) == []

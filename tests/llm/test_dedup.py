@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -63,6 +64,50 @@ def test_exact_cuts_long_texts_and_survives_ties(spark):
     assert exact_dedup.dedup_exact(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("letters", ["абвгдежзиклмнопрстуфхцчшщыэюя", "aeioutnsrhl", "一丁七万丈三上下不与丐丑专且世丘丙业丛东"])
+def test_exact_chunks_of_any_script(spark, letters):
+    """No chunk is over 4096 bytes, chunks join to the text, and most outlive an insertion at the front."""
+    text = "".join(random.Random(3).choices(letters, k=60_000))
+    rows = spark.createDataFrame([(1, text), (2, "+" + text)], "i long, t string").select("i", exact_dedup.chunks(exact_dedup.F.col("t")).alias("c"))
+    a, b = (r.c for r in rows.orderBy("i").collect())
+    assert "".join(a).encode("latin-1").decode() == text
+    assert max(map(len, a)) <= 4096 and len(a) >= 14
+    if letters[0] != "a":  # a text without any cut letter is cut by length alone
+        assert len(set(a) & set(b)) >= 0.8 * len(a)
+
+
+def test_exact_ids_at_the_ends_of_long(spark):
+    rows = [(-(2**63), "a b", "s"), (2**63 - 1, "a  b", "s"), (None, "ab", "s"), (5, "x y", "s"), (None, "xy ", "s")]
+    got = {(r.doc_id, r.keep_id) for r in exact_dedup.dedup_exact(frame(spark, rows)).collect()}
+    assert got == {(-(2**63), 2**63 - 1), (2**63 - 1, 2**63 - 1), (None, 2**63 - 1), (5, 5), (None, 5)}
+
+
+def test_lines_beside_clashing_names(spark):
+    names = ["_id", "_gone", "_th", "_h", "gone", "row", "h", "new", "pos", "line"]
+    rows = [(i, "same\nown %d" % i, f"s{i}", *range(len(names))) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    out = line_dedup.dedup_lines(df, min_sites=3)
+    assert out.columns == [*df.columns, "lines_total", "lines_removed"]
+    assert [(r.text, r._gone, r.h) for r in out.orderBy("doc_id").collect()] == [("same\nown 0", 1, 6), ("own 1", 1, 6), ("own 2", 1, 6)]
+
+
+def test_lines_in_linear_time(spark):
+    rows = [(i, "\n".join(f"line {j}" for j in range(100_000)), f"s{i}") for i in range(3)]
+    start = time.perf_counter()
+    out = line_dedup.dedup_lines(frame(spark, rows), min_sites=3).select("doc_id", "text", "lines_removed").orderBy("doc_id").collect()
+    assert [r.lines_removed for r in out] == [0, 100_000, 100_000] and out[1].text == "" and out[0].text == rows[0][1]
+    assert time.perf_counter() - start < 60
+
+
+def test_lines_by_shuffle_equal_lines_by_broadcast(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(i, "\n".join(r.choices([f"shared {j}" for j in range(9)], k=5)), f"s{r.randint(0, 9)}") for i in range(60)]
+    run = lambda: sorted((x.doc_id, x.text) for x in line_dedup.dedup_lines(frame(spark, rows), min_sites=8).collect())
+    want = run()
+    monkeypatch.setattr(line_dedup, "FEW", 0)
+    assert run() == want
+
+
 def test_lines_equal_brute_force(spark):
     r = random.Random(7)
     pool = [f"shared line {i}" for i in range(12)] + ["", "  ", "tail "]

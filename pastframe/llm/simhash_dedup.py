@@ -189,9 +189,9 @@ COMMON = 200_000  # shingles that are known as common, at most
 BLOCK = 2_000  # members of a token on each side of a comparison
 HOT = 1_000  # pairs of one text that are given one copy of it
 FEW = 1_000_000  # ids that are broadcast, at most
-STARS = 4  # rounds of pairs with pivots before all remaining pairs
+STARS = 1  # rounds of pairs with pivots before all remaining pairs; further ones confirm few
 CACHE = 1 << 20  # shingles of texts that a worker remembers
-SKETCH = 256  # bits of parities
+SKETCH = 512  # bits of parities
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -366,7 +366,6 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
 
     ordered = lambda p, a, b: p.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     sure = checked = None
-    more, last = True, False
     for i in range(STARS + 1):
         per = rare.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("roots"))
         per = durable(per.where("roots > 1"))
@@ -374,7 +373,7 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
         if not rows:
             break
         rare = rare.drop("m").join(per.select(own_key("token").alias("token"), "m"), "token")
-        last = i == STARS or not more or cross <= 4 * rows
+        last = i == STARS or cross <= 4 * rows
         if last:
             blocks = F.ceil(F.col("m") / BLOCK).cast("int")
             part = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -390,11 +389,10 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
         checked = pairs if checked is None else checked.union(pairs)
         held = _with_text(_with_text(pairs, "a", texts, "x"), "b", texts, "y")
         new = settled(mapped(held.select("a", "b", "x", "y"), _alike(similarity, k), "a long, b long"))
-        more = not new.isEmpty()
         sure = new if sure is None else sure.union(new)
         if last:
             break
-        if more:
+        if not new.isEmpty():
             roots = components(sure).select(F.col("node").alias("id"), F.col("root").alias("_root"))
             rare = settled(rare.join(roots, "id", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root"))
     return sure

@@ -191,7 +191,7 @@ HOT = 1_000  # pairs of one text that are given one copy of it
 FEW = 1_000_000  # ids that are broadcast, at most
 STARS = 1  # rounds of pairs with pivots before all remaining pairs; further ones confirm few
 CACHE = 1 << 20  # shingles of texts that a worker remembers
-SKETCH = 512  # bits of parities
+SKETCH = 256  # bits of parities that go with every token
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -230,57 +230,72 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """SKETCH bits, each the parity of the hashes that fall on it. Two sets' sketches differ in no more bits than the sets in elements."""
-    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def sketch(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` parities, each of the hashes that fall on it. Two sets' sketches differ in no more bits than the sets in elements."""
+    odd = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def wide_bits(n: int) -> int:
+    """Bits of the second sketch of a set: at least twice its elements, a power of two."""
+    return 1 << max(0, 2 * n - 1).bit_length()
 
 
 PRINT = ", ".join(f"p{j} long" for j in range(SKETCH // 64))
 
 
-def _sets(k: int):
+def _sets(least: float, k: int, common):
+    """Of each text its shingle set's size, identity, sketches and rarest shingles, as many that two sets of similarity ``least`` can't but share one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = common.value
         for b in batches:
-            n, s, p = [], [], []
+            n, s, p, wide, tokens = [], [], [], [], []
             for t in b.column(1):
                 h = shingle_set(t.as_py(), k)
                 n.append(len(h))
                 s.append(xxhash.xxh3_128_digest(h.tobytes()))
-                p.append(sketch(h))
+                p.append(sketch(h, SKETCH).view(np.int64))
+                wide.append(sketch(h, wide_bits(len(h))).tobytes() if 2 * len(h) > SKETCH else None)
+                rank = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, often[at], 0)
+                tokens.append(h[np.lexsort((h, rank))[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]].view(np.int64))
             s = np.frombuffer(b"".join(s), np.int64).reshape(-1, 2)
             p = np.array(p, np.int64).reshape(-1, SKETCH // 64)
             cols = [pa.array(x) for x in (s[:, 0], s[:, 1], *(np.ascontiguousarray(c) for c in p.T))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *cols], ["id", "n", "s0", "s1", *(f"p{j}" for j in range(SKETCH // 64))])
+            cols += [pa.array(wide, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *cols], ["id", "n", "s0", "s1", *(f"p{j}" for j in range(SKETCH // 64)), "wide", "tokens"])
 
     return run
 
 
-def _tokens(k: int):
+def _possible(apart: float):
+    """Pairs whose wide sketches allow them to be alike; the wider one of two is folded."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(1):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), k).view(np.int64))], ["token"])
+            keep = []
+            for n, x, y in zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
+                if x.is_valid and y.is_valid:
+                    x, y = (np.frombuffer(z.as_buffer(), np.uint8) for z in (x, y))
+                    while len(x) != len(y):
+                        x, y = sorted((x, y), key=len)
+                        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                    keep.append(int(np.bitwise_count(x ^ y).sum()) <= apart * n + 1e-6)
+                else:
+                    keep.append(True)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _prefixes(least: float, k: int, common):
-    """The rarest shingles of each text, as many that two texts of similarity ``least`` can't but share one."""
-
+def _tokens(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = common.value
         for b in batches:
-            n, out = [], []
             for t in b.column(1):
-                h = shingle_set(t.as_py(), k)
-                rank = np.zeros(len(h), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    rank = np.where(known[at] == h, often[at], 0)
-                n.append(len(h))
-                out.append(h[np.lexsort((h, rank))[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), k).view(np.int64))], ["token"])
 
     return run
 
@@ -312,11 +327,12 @@ def _alike(least: float, k: int):
     return run
 
 
-def common_shingles(texts: DataFrame, nodes: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in three or more of about SAMPLE texts, ascending, and in how many. They only set the order of shingles."""
-    share = min(1.0, SAMPLE / max(1, nodes.count()))
-    some = nodes.where(F.pmod(F.xxhash64(F.lit(3), "s0", "s1"), F.lit(1_000_000)) < int(1_000_000 * share)).select("id")
-    found = mapped(texts.join(F.broadcast(some), "id", "left_semi"), _tokens(k), "token long").groupBy("token").agg(F.count("*").alias("n"))
+def common_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in three or more of about SAMPLE distinct texts, ascending, and in how many. They only set the order of shingles."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 40)) < int((1 << 40) * share))
+    some = some.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    found = mapped(some, _tokens(k), "token long").groupBy("token").agg(F.count("*").alias("n"))
     rows = found.where("n > 2").orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
     known = rows["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
@@ -345,15 +361,15 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
     groups of copies at a row a member and token; in the end every pair that shares a
     token, fits in size and is neither joined by confirmed links nor rejected is checked.
     """
-    common = nodes.sparkSession.sparkContext.broadcast(common_shingles(texts, nodes, k))
-    rare = mapped(texts, _prefixes(similarity, k, common), "id long, n long, tokens array<long>")
-    rare = durable(rare.join(nodes.select("id", "n"), ["id", "n"], "left_semi").select("id", "n", F.explode("tokens").alias("token")))
-    often = rare.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    rare = settled(rare.join(often.withColumn("token", own_key("token")), "token").distinct())
+    rare = nodes.select("id", F.explode("tokens").alias("token"))
+    # Counted by 32 bits of a token: who shares them by chance is found out below.
+    bucket = F.hash("token")
+    often = rare.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("m")).where("m > 1").select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("bucket"))
+    rare = settled(rare.withColumn("bucket", bucket).join(often, "bucket", "left_semi").select("id", "token"))
     # Of tokens with the same members one is enough.
-    sets = rare.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id", "n")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id", "n")).alias("y"))
+    sets = rare.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
     one = sets.groupBy("m", "x", "y").agg(F.min("token").alias("token")).where("m > 1").select(own_key("token").alias("token"), "m")
-    rare = settled(rare.join(one, "token").join(nodes.drop("s0", "s1"), ["id", "n"]).withColumn("root", F.col("id")))
+    rare = settled(rare.join(one, "token").join(nodes.drop("s0", "s1", "wide", "tokens"), "id").withColumn("root", F.col("id")))
 
     prints = [f"p{j}" for j in range(SKETCH // 64)]
     apart = (1 - similarity) / (1 + similarity)  # share of both sets' elements that may be in one of them only
@@ -386,6 +402,10 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
             pairs = rare.join(pivot.withColumn("token", own_key("token")), "token").where("id <> p.id and root <> p.root")
             pairs = ordered(pairs.where(fits("", "p.")), "id", "p.id")
         pairs = settled(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
+        wide = nodes.select("id", "n", "wide")
+        for side, x in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(wide.select(F.col("id").alias(side), F.col("n").alias(f"n{x}"), F.col("wide").alias(x)), side)
+        pairs = settled(mapped(pairs.select("a", "b", F.expr("nx + ny"), "x", "y"), _possible(apart), "a long, b long").distinct())
         checked = pairs if checked is None else checked.union(pairs)
         held = _with_text(_with_text(pairs, "a", texts, "x"), "b", texts, "y")
         new = settled(mapped(held.select("a", "b", "x", "y"), _alike(similarity, k), "a long, b long"))
@@ -411,9 +431,10 @@ def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_i
     """
     have = docs.where(F.col(doc_id).isNotNull())
     texts = have.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    prints = mapped(texts, _sets(k), f"id long, n long, s0 long, s1 long, {PRINT}")
-    bits = [F.first(f"p{j}").alias(f"p{j}") for j in range(SKETCH // 64)]  # equal in a group
-    nodes = durable(prints.groupBy("s0", "s1", "n").agg(F.min("id").alias("id"), *bits))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, k))
+    prints = mapped(texts, _sets(similarity, k, common), f"id long, n long, s0 long, s1 long, {PRINT}, wide binary, tokens array<long>")
+    equal = [F.first(c).alias(c) for c in prints.columns[4:]]  # in a group of one identity
+    nodes = durable(prints.groupBy("s0", "s1", "n").agg(F.min("id").alias("id"), *equal))
     sure = near_links(texts, nodes, k, similarity)
     stay = nodes.select("id").distinct()
     if sure is not None:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -30,12 +32,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: What a worker remembers between tasks, by operator: functions that forget it.
+REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
 def mapped(df: DataFrame, run, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` in batches of BATCH rows, where the session sets no size: a batch of whole texts is held by the JVM and by the worker."""
+    """``mapInArrow`` in batches of BATCH rows, where the session sets no size: a batch of whole texts is held by the JVM and by the worker.
+
+    Workers live on from stage to stage; one that comes to another operator forgets
+    what the last one remembered.
+    """
+    owner = run.__module__
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, forget in REMEMBERED.items():
+            if name != owner:
+                forget()
+        yield from run(batches)
+
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(key, None) is None:
         conf.set(key, str(BATCH))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task, schema)
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, mapped, table
+from .common import REMEMBERED, durable, mapped, table
 from .url_filter import split_url
 
 MIN_PAGES = 3  # hosts with fewer pages use the template of all hosts, which has no texts
@@ -50,6 +50,7 @@ ABOUT = frozenset("has have with without no not is are show hide".split())
 
 _ids: dict[tuple[int, str], int] = {}
 _looks: dict[tuple[str, str], tuple[str, int]] = {}
+REMEMBERED[__name__] = _ids.clear
 
 
 def _hash(text: str, seed: int = 0) -> int:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import mapped, table
+from .common import REMEMBERED, mapped, table
 from .tokens import WORDS, slices, vocabulary_path
 
 WINDOW = 4096
@@ -63,6 +63,9 @@ def encoder(spec: str) -> Encoder:
     return Encoder(spec)
 
 
+REMEMBERED[__name__] = encoder.cache_clear
+
+
 def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Windows as (size, pieces), a piece as (document, start, length).
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, durable, mapped, own_key, shared_folder, table
+from .common import REMEMBERED, components, durable, mapped, own_key, shared_folder, table
 
 SEED = 42
 WORDS = 100_000  # words whose hashes a worker remembers
@@ -187,9 +187,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAMPLE = 10_000  # texts in which common shingles are looked for
 COMMON = 200_000  # shingles that are known as common, at most
 BLOCK = 2_000  # members of a token on each side of a comparison
+PIVOTS = 4  # members of a token that all others are compared with first
 HOT = 1_000  # pairs of one text that are given one copy of it
 FEW = 1_000_000  # ids that are broadcast, at most
-STARS = 1  # rounds of pairs with pivots before all remaining pairs; further ones confirm few
 CACHE = 1 << 20  # shingles of texts that a worker remembers
 SKETCH = 256  # bits of parities that go with every token
 
@@ -211,6 +211,7 @@ class _Words(dict):
 
 
 _words = _Words()
+REMEMBERED[__name__] = _words.clear
 STEP, STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -357,8 +358,8 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
 
     Texts whose shingle sets are that similar share one of their few rarest
     shingles, by any common order of shingles (prefix filter), so only texts under
-    one token meet. First each is checked with one pivot of its token, which settles
-    groups of copies at a row a member and token; in the end every pair that shares a
+    one token meet. First each is checked with a few pivots of its token, which settles
+    groups of copies at some rows a member and token; in the end every pair that shares a
     token, fits in size and is neither joined by confirmed links nor rejected is checked.
     """
     rare = nodes.select("id", F.explode("tokens").alias("token"))
@@ -382,15 +383,11 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
 
     ordered = lambda p, a, b: p.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
     sure = checked = None
-    for i in range(STARS + 1):
-        per = rare.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("roots"))
-        per = durable(per.where("roots > 1"))
-        rows, cross = per.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")).cast("double") / 2)).first()
-        if not rows:
-            break
-        rare = rare.drop("m").join(per.select(own_key("token").alias("token"), "m"), "token")
-        last = i == STARS or cross <= 4 * rows
+    for last in (False, True):
         if last:
+            # Only tokens whose texts aren't all joined yet.
+            per = rare.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("roots"))
+            rare = rare.join(per.where("roots > 1").withColumn("token", own_key("token")), "token", "left_semi")
             blocks = F.ceil(F.col("m") / BLOCK).cast("int")
             part = F.pmod(F.xxhash64("id"), blocks).cast("int")
             every = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -398,8 +395,9 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
             left, right = rare.select("token", part.alias("s"), every.alias("t"), own("x")), rare.select("token", every.alias("s"), part.alias("t"), own("y"))
             pairs = ordered(left.join(right, ["token", "s", "t"]).where("x.id < y.id and x.root <> y.root").where(fits("x.", "y.")), "x.id", "y.id")
         else:
-            pivot = rare.groupBy("token").agg(F.min_by(F.struct("id", "n", "root", *prints), F.xxhash64("id", F.lit(i))).alias("p"))
-            pairs = rare.join(pivot.withColumn("token", own_key("token")), "token").where("id <> p.id and root <> p.root")
+            ps = F.array(*[F.min_by(F.struct("id", "n", *prints), F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)])
+            pivots = rare.groupBy("token").agg(ps.alias("ps")).withColumn("token", own_key("token"))
+            pairs = rare.join(pivots, "token").withColumn("p", F.explode("ps")).where("id <> p.id")
             pairs = ordered(pairs.where(fits("", "p.")), "id", "p.id")
         pairs = settled(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
         wide = nodes.select("id", "n", "wide")
@@ -410,9 +408,7 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
         held = _with_text(_with_text(pairs, "a", texts, "x"), "b", texts, "y")
         new = settled(mapped(held.select("a", "b", "x", "y"), _alike(similarity, k), "a long, b long"))
         sure = new if sure is None else sure.union(new)
-        if last:
-            break
-        if not new.isEmpty():
+        if not last and not new.isEmpty():
             roots = components(sure).select(F.col("node").alias("id"), F.col("root").alias("_root"))
             rare = settled(rare.join(roots, "id", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root"))
     return sure

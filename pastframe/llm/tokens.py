@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import mapped, table
+from .common import REMEMBERED, mapped, table
 
 CHARS = 2_000_000  # characters handled at once in a task
 WORDS = 300_000  # words that a worker remembers
@@ -95,6 +95,14 @@ def counter(spec: str) -> Counter:
     return Counter(spec)
 
 
+def _forget() -> None:
+    coder.cache_clear()
+    counter.cache_clear()
+
+
+REMEMBERED[__name__] = _forget
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
     """Ids and texts (null: empty) of a bounded number of characters at once."""
     for b in batches:

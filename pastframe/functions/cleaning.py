@@ -103,13 +103,14 @@ def simple_role(agent: Column | str) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(k), F.lit(r)) for k, r in pairs.items()))[key_text(agent)]
 
 
-def stage_importance(stage: Column | str) -> Column:
-    """Playoffs over finals over groups: the order in which the words decide."""
-    s = F.lower(F.coalesce(_col(stage), F.lit("")))
+def stage_importance(stage: Column | str, round_name: Column | str | None = None) -> Column:
+    """Weight of a match by the words of its stage and round: groups before playoffs before finals decide, else 0.5."""
+    parts = [F.coalesce(_col(c).cast("string"), F.lit("")) for c in (stage, round_name) if c is not None]
+    s = F.lower(F.concat_ws(" ", *parts))
     return (
-        F.when(s.rlike("final|championship") & ~s.rlike("semi|playoff|upper|lower"), 1.0)
+        F.when(s.rlike("group|regular|swiss"), 0.4)
         .when(s.rlike("semi|playoff|upper|lower"), 0.8)
-        .when(s.rlike("group|regular|swiss"), 0.4)
+        .when(s.rlike("final|championship"), 1.0)
         .otherwise(0.5)
     )
 

@@ -31,11 +31,9 @@ def key_report(df: DataFrame, keys: list[str], targets: list[str] = (), ts: str
 
 
 def gate(report: DataFrame, targets: list[str], max_missing: float = 0.05) -> DataFrame:
-    """``passed``: no duplicate keys and no target missing too often."""
-    good = F.col("duplicate_keys") == 0
-    for t in targets:
-        good = good & (F.col(f"{t}_missing") <= max_missing)
-    return report.withColumn("passed", good)
+    """``passed``: no duplicate keys and at least one row with all targets; ``warnings``: targets missing in more than ``max_missing`` of the rows, which don't fail it."""
+    often = [(F.col(f"{t}_missing") > max_missing).cast("long") for t in targets]
+    return report.withColumns({"warnings": reduce(Column.__add__, often), "passed": (F.col("duplicate_keys") == 0) & (F.col("complete_targets") > 0)})
 
 
 def orphan_counts(children: dict[str, DataFrame], parents: DataFrame, key: str) -> DataFrame:

@@ -38,23 +38,23 @@ def time_periods(df: DataFrame, order: list[str], q: int = 4) -> DataFrame:
 
 
 def match_order(df: DataFrame, match: str = "match_id", ts: str = "ts") -> DataFrame:
-    """(match, ts, match_idx): whole matches in time order."""
-    return numbered(df.groupBy(match).agg(F.min(ts).alias(ts)).where(F.col(ts).isNotNull()), [ts, match], "match_idx")
+    """(match, ts, match_idx): whole matches in time order. Raises if a row has no match or no timestamp: it has no place in time."""
+    lost = df.where(F.col(match).isNull() | F.col(ts).isNull()).count()
+    if lost:
+        raise ValueError(f"{lost} rows without {match} or {ts}")
+    return numbered(df.groupBy(match).agg(F.min(ts).alias(ts)), [ts, match], "match_idx")
 
 
 def bounds(n: int, train: float = 0.70, valid: float = 0.15) -> tuple[int, int]:
-    """How many matches end the training part and the validation part."""
+    """How many of ``n`` matches end the training part and the validation part; no part is empty if there are three or more."""
+    if not (0 < train < 1 and 0 <= valid < 1 and train + valid < 1):
+        raise ValueError("the shares of training and validation leave some for the test")
     a = max(1, int(n * train))
-    b = max(a + 1, int(n * (train + valid)))
-    if n > 2:
-        b = min(b, n - 1)
-        if b <= a:
-            b = a + 1
-    return a, b
+    return a, max(a + 1, min(int(n * (train + valid)), n - 1))
 
 
 def chronological_split(df: DataFrame, train: float = 0.70, valid: float = 0.15, match: str = "match_id", ts: str = "ts") -> DataFrame:
-    """``df`` with split (train, validation, test); a match is never divided."""
+    """``df`` with split (train, validation, test); a match is never divided. Rows without a timestamp are an error."""
     order = checkpointed(match_order(df, match, ts))
     a, b = bounds(order.count(), train, valid)
     part = F.when(F.col("match_idx") < a, "train").when(F.col("match_idx") < b, "validation").otherwise("test")
@@ -62,11 +62,14 @@ def chronological_split(df: DataFrame, train: float = 0.70, valid: float = 0.15,
 
 
 def window_starts(n: int, k: int = 3, first: float = 0.45, horizon: float = 0.10, last: float = 0.85) -> list[tuple[int, int]]:
-    """(start, end) of the validation part of each expanding window, as numbers of matches."""
+    """(start, end) of the validation part of each expanding window, as numbers of matches; at least one match on each side."""
+    if k < 1 or horizon <= 0 or not 0 < first < last <= 1 or first + horizon > last:
+        raise ValueError("the windows don't fit before the test")
     h = max(1, int(n * horizon))
-    lo, hi = int(n * first), int(n * last) - h
-    points = sorted({int(lo + (hi - lo) * i / (k - 1)) for i in range(k)}) if k > 1 else [lo]
-    return [(s, s + h) for s in points if s > 0]
+    lo = max(1, int(n * first))
+    hi = max(lo, int(n * last) - h)
+    points = {lo + int((hi - lo) * i / (k - 1)) for i in range(k)} if k > 1 else {lo}
+    return [(s, min(s + h, n)) for s in sorted(points) if s < n]
 
 
 def rolling_splits(df: DataFrame, k: int = 3, match: str = "match_id", ts: str = "ts") -> list[tuple[DataFrame, DataFrame]]:

@@ -63,6 +63,13 @@ def test_winner_and_score(spark):
     assert values(df, c.round_score([F.col("a"), F.col("a")], [F.col("b")])) == ["CT/T 26-9", "CT/T 2-0", "CT/T 10-5", "CT/T 0-0", "CT/T 4-3"]
 
 
+def test_importance_of_stages_and_rounds(spark):
+    """Groups win over playoffs, playoffs over finals."""
+    rows = [("Group Stage Upper Final", None), ("group final", ""), ("Swiss", "semi"), ("Playoffs", "Grand Final"), ("Final", None), ("World", "Championship"), (None, "Lower"), (None, None), ("Show", "Regular")]
+    df = one(spark, "s string, r string", *rows)
+    assert values(df, c.stage_importance("s", "r")) == [0.4, 0.4, 0.4, 0.8, 1.0, 1.0, 0.8, 0.5, 0.4]
+
+
 def test_texts_and_labels(spark):
     df = one(spark, "t string", " Alpha ", "TBD", "", None, "__unknown__")
     assert values(df, c.known_text("t")) == ["Alpha", None, None, None, None]

@@ -155,6 +155,26 @@ def test_splits(spark):
     assert periods == [0, 0, 0, 1, 1, 2, 2, 3, 3, 3]
 
 
+def test_splits_of_few_matches_and_bad_rows(spark):
+    assert splits.window_starts(2) == [(1, 2)] and splits.bounds(2) == (1, 2) and splits.bounds(3) == (2, 3)
+    lost = matches(spark, 4).unionByName(spark.createDataFrame([(9, 1, None)], "match_id long, player_id long, ts timestamp"))
+    for f in (splits.chronological_split, splits.rolling_splits):
+        with pytest.raises(ValueError, match="without"):
+            f(lost)
+    with pytest.raises(ValueError):
+        splits.bounds(10, 0.9, 0.2)
+    with pytest.raises(ValueError):
+        splits.window_starts(10, first=0.9)
+
+
+def test_gate_warns_of_missing_targets(spark):
+    from pastframe.operators import audit
+
+    check = lambda *rows: audit.gate(audit.key_report(spark.createDataFrame(list(rows), "k int, a double, b double"), ["k"], ["a", "b"]), ["a", "b"]).first()
+    assert (check((1, None, 1.0), (2, 1.0, 1.0)).passed, check((1, None, 1.0), (2, 1.0, 1.0)).warnings) == (True, 1)
+    assert not check((1, None, 1.0), (2, 1.0, None)).passed and not check((1, 1.0, 1.0), (1, 1.0, 1.0)).passed
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("a", 2.0, 4.0), ("b", None, None)], "c string, x double, y double")
     assert {r.column: r.missing for r in profile.null_counts(df).collect()} == {"c": 0, "x": 1, "y": 2}

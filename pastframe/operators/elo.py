@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
+from .scan import in_order
 
 START, K = 1500.0, 32.0
 
@@ -24,29 +27,33 @@ def rate_maps(maps: DataFrame, pool: str | None = None, start: float = START, k:
     without both ids give no row.
 
     The work is sequential between teams that meet, so each pool of teams is one
-    group: ``pool``, or the connected component of who played whom. A pool streams
-    in batches; its state is one number a team.
+    ordered scan in one task: ``pool``, or the connected component of who played whom.
+    The scan streams; what it remembers is one number for each team of the pool.
     """
     m = maps.where("team_1_id is not null and team_2_id is not null and ts is not null")
     if pool is None:
         m = graph.with_component(m, "team_1_id", "team_2_id", "pool")
         pool = "pool"
-    m = m.select(pool, "ts", "match_id", "map", "team_1_id", "team_2_id", F.col("result").cast("double").alias("result"))
+    m = m.select(F.col(pool).alias("pool"), "ts", "match_id", "map", "team_1_id", "team_2_id", F.col("result").cast("double").alias("result"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rating: dict = {}
-        out = []
-        g = group.sort_values(["ts", "match_id", "map"], kind="stable")
-        for mid, name, a, b, r in g[["match_id", "map", "team_1_id", "team_2_id", "result"]].itertuples(index=False):
-            x, y = rating.get(a, start), rating.get(b, start)
-            out.append((mid, name, x, y))
-            if r == r and r is not None:
-                move = k * (r - expected(x, y))
-                rating[a], rating[b] = x + move, y - move
-        return pd.DataFrame(out, columns=["match_id", "map", "elo_1", "elo_2"])
+        current: object = rating  # equals no pool
+        for b in batches:
+            one, two = [], []
+            for p, x, y, r in zip(*(b.column(i).to_pylist() for i in (0, 4, 5, 6)), strict=True):
+                if p != current:
+                    rating, current = {}, p
+                e, f = rating.get(x, start), rating.get(y, start)
+                one.append(e)
+                two.append(f)
+                if r is not None and r == r:
+                    move = k * (r - expected(e, f))
+                    rating[x], rating[y] = e + move, f - move
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(one, pa.float64()), pa.array(two, pa.float64())], ["match_id", "map", "elo_1", "elo_2"])
 
     schema = ", ".join(f"{c} {t}" for c, t in m.select("match_id", "map").dtypes) + ", elo_1 double, elo_2 double"
-    return m.groupBy(pool).applyInPandas(run, schema)
+    return in_order(m, ["pool"], ["ts", "match_id", "map"], run, schema)
 
 
 def add_elo(df: DataFrame, ratings: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import calendar
 from . import pit
+from .graph import checkpointed
+from .joins import check_unique
 from .pit import barrier, distinct_before, entry_barrier
 
 METRICS = {"rating": "player_rating", "acs": "player_acs", "kda": "player_kda"}
@@ -140,9 +142,12 @@ OTHER = {
 
 
 def add_team_features(df: DataFrame, teams: DataFrame | None = None) -> DataFrame:
-    """Own and opponent team history; the opponent's is read from its own row of the same map."""
-    t = schedule_strength(team_history(team_maps(df) if teams is None else teams))
-    own = t.select("match_id", "map", "team_id", *OWN)
+    """Own and opponent team history; the opponent's is read from its own row of the same map.
+
+    ``teams``: a table of ``team_history`` already made, with or without the strength of schedule.
+    """
+    t = schedule_strength(team_history(team_maps(df))) if teams is None else teams
+    own = t.select("match_id", "map", "team_id", *[c for c in OWN if c in t.columns])
     other = t.select("match_id", "map", F.col("team_id").alias("opponent_team_id"), *[F.col(a).alias(b) for a, b in OTHER.items()])
     out = df.join(own, ["match_id", "map", "team_id"], "left").join(other, ["match_id", "map", "opponent_team_id"], "left")
     sure = F.least(F.lit(1.0), F.sqrt(F.coalesce("team_count", F.lit(0))) / F.sqrt(F.lit(10.0)))
@@ -165,25 +170,38 @@ def add_roster_features(df: DataFrame) -> DataFrame:
 def add_role_matchup(df: DataFrame, opponent_role: str = "opponent_role") -> DataFrame:
     """Last-5 mean and capped count per (role, opponent role): few keys with very many rows.
 
-    Entries are reduced to the last five and a count per (roles, timestamp) first,
-    so that the window over a pair of roles handles one row per timestamp.
+    Entries are reduced to the last five (by a rank limit, which already cuts before
+    the shuffle) and a count per (roles, timestamp). Windows then run within each day
+    of a pair of roles and over its days, so no task orders all of a pair's rows.
     """
     if opponent_role not in df.columns:
         df = df.withColumn(opponent_role, F.lit("Flex/Unknown"))
     k = ["role", opponent_role]
-    e = F.struct("match_id", "map", "player_id", F.col("rating").alias("x"))
-    per = df.groupBy(*k, "ts").agg(F.array_sort(F.collect_list(e)).alias("tail"), F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("tail", F.transform(F.reverse(F.slice(F.reverse("tail"), 1, 5)), lambda s: s["x"]))
-    w = Window.partitionBy(*k).orderBy("ts")
-    prev = per.withColumns(
+    place = ["match_id", "map", "player_id"]
+    latest = Window.partitionBy(*k, "ts").orderBy(*[F.col(c).desc() for c in place])
+    entries = checkpointed(df.select(*k, "ts", *place, "rating"))  # read twice
+    tail = entries.withColumn("_r", F.row_number().over(latest)).where("_r <= 5")
+    tail = tail.groupBy(*k, "ts").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), "rating"))), lambda s: s["rating"]).alias("tail"))
+    per = entries.groupBy(*k, "ts").agg(F.count(F.lit(1)).alias("n")).join(tail, [*k, "ts"]).withColumn("day", F.to_date("ts"))
+    last_five = lambda x: F.slice(x, F.greatest(F.lit(1), F.size(x) - 4), 5)
+    before = lambda by, order, n: Window.partitionBy(*by).orderBy(order).rowsBetween(n, -1)
+    day, first = [*k, "day"], Window.unboundedPreceding
+    per = per.withColumns(
         {
-            "_n": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-            "_t": F.flatten(F.collect_list("tail").over(w.rowsBetween(-5, -1))),
+            "_n": F.coalesce(F.sum("n").over(before(day, "ts", first)), F.lit(0)),
+            "_t": F.flatten(F.collect_list("tail").over(before(day, "ts", -5))),
         }
     )
-    five = F.array_compact(F.reverse(F.slice(F.reverse("_t"), 1, 5)))
+    days = per.groupBy(*day).agg(F.sum("n").alias("n"), F.max_by(last_five(F.concat("_t", "tail")), "ts").alias("tail"))
+    days = days.select(
+        *day,
+        F.coalesce(F.sum("n").over(before(k, "day", first)), F.lit(0)).alias("_days_n"),
+        F.flatten(F.collect_list("tail").over(before(k, "day", -5))).alias("_days_t"),
+    )
+    five = F.array_compact(last_five(F.concat("_days_t", "_t")))
     mean = F.when(F.size(five) > 0, F.aggregate(five, F.lit(0.0), lambda a, x: a + x) / F.size(five))
-    got = prev.select(*k, "ts", mean.alias("role_matchup_rating_last_5"), F.least(F.coalesce("_n", F.lit(0)), F.lit(KEY_CAP)).alias("role_matchup_matches_played"))
+    seen = F.least(F.col("_days_n") + F.col("_n"), F.lit(KEY_CAP))
+    got = per.join(days, day).select(*k, "ts", mean.alias("role_matchup_rating_last_5"), seen.alias("role_matchup_matches_played"))
     return df.join(got, [*k, "ts"], "left")
 
 
@@ -200,8 +218,20 @@ def add_fallback(df: DataFrame) -> DataFrame:
     return df.withColumns(out | {"form_fallback_level": named})
 
 
-def build_features(df: DataFrame) -> DataFrame:
-    """All of the above on a cleaned fact table; rows keep their key."""
+ENTRY = ["player_id", "match_id", "map"]
+
+
+def check_entries(df: DataFrame) -> None:
+    """Raise if a key has two rows or a row has no timestamp: neither has a place in a history."""
+    check_unique(df, ENTRY)
+    if lost := df.where("ts is null").count():
+        raise ValueError(f"{lost} rows without a timestamp")
+
+
+def build_features(df: DataFrame, check: bool = True) -> DataFrame:
+    """All of the above on a cleaned fact table; rows keep their key. Repeated keys and missing timestamps are an error."""
+    if check:
+        check_entries(df)
     out = form(player_history(df.repartition("player_id")))
     out = context_history(out)
     out = add_fallback(add_role_matchup(add_roster_features(add_team_features(out))))

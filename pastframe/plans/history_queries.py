@@ -179,7 +179,8 @@ def a1(spark, d):
     ),
 )
 def w16(spark, d):
-    out = features.add_team_features(fact(spark, d))
+    f = fact(spark, d)
+    out = features.add_team_features(f, features.team_history(features.team_maps(f)))
     return rounded(out, KEY, [*T16, *[c.replace("team_", "opponent_") for c in T16]])
 
 
@@ -192,7 +193,8 @@ def w16(spark, d):
     ),
 )
 def w17(spark, d):
-    return rounded(features.add_team_features(fact(spark, d)), KEY, [*T17, "opponent_map_win_rate", "opponent_map_matches", "opponent_map_strength"])
+    f = fact(spark, d)
+    return rounded(features.add_team_features(f, features.team_history(features.team_maps(f))), KEY, [*T17, "opponent_map_win_rate", "opponent_map_matches", "opponent_map_strength"])
 
 
 @query(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import experience_bucket
 from .graph import checkpointed
+from .splits import time_periods
 
 
 def _clean(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -13,7 +15,8 @@ def _clean(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def _aggregates(y: str, p: str, rank_y: str, rank_p: str) -> list[Column]:
-    e, r = F.col(y) - F.col(p), F.corr(rank_y, rank_p)
+    e = F.col(y) - F.col(p)
+    r = F.try_divide(F.covar_pop(rank_y, rank_p), F.stddev_pop(rank_y) * F.stddev_pop(rank_p))  # null for constants, where corr fails
     sse = F.sum(e * e)
     sst = F.var_pop(y) * F.count(F.lit(1))
     return [
@@ -21,28 +24,26 @@ def _aggregates(y: str, p: str, rank_y: str, rank_p: str) -> list[Column]:
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.when(sst > 0, 1 - sse / F.when(sst > 0, sst)).alias("r2"),
-        F.when(~F.isnan(r), r).alias("spearman"),
+        r.alias("spearman"),
     ]
 
 
 def average_ranks(df: DataFrame, c: str, name: str, by: list[str] | None = None) -> DataFrame:
     """Average rank of ``c`` (within ``by``): counts per distinct value, running sums over values only.
 
-    Without ``by`` the distinct values are dealt by range and each range adds the
-    offset of those before it, so no task sees all rows.
+    The distinct values are dealt by ranges of (by, c), and each range adds what its
+    slice has in the ranges before it, so no task sees all rows of a slice.
     """
     by = by or []
-    if by:
-        n = df.groupBy(*by, c).agg(F.count(F.lit(1)).alias("_n"))
-        below = F.sum("_n").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        ranks = n.select(*by, c, (F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
-        return df.join(ranks, [*by, c])
-    n = checkpointed(df.groupBy(c).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(c).withColumn("_part", F.spark_partition_id()))
-    parts = n.groupBy("_part").agg(F.sum("_n").alias("_s"))
-    start = parts.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = n.join(F.broadcast(start), "_part").select(c, (F.col("_start") + below + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, c)
+    n = df.groupBy(*by, c).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(*by, c)
+    n = checkpointed(n.withColumn("_part", F.spark_partition_id()))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    start = n.groupBy(*by, "_part").agg(F.sum("_n").alias("_s"))  # a row for each slice of a range
+    start = start.select(*by, "_part", F.coalesce(F.sum("_s").over(before(by, "_part")), F.lit(0)).alias("_start"))
+    below = F.coalesce(F.sum("_n").over(before([*by, "_part"], c)), F.lit(0))
+    start = start if by else F.broadcast(start)
+    ranks = n.join(start, [*by, "_part"]).select(*by, c, (F.col("_start") + below + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranks, [*by, c])
 
 
 def metrics(df: DataFrame, y: str = "actual", p: str = "prediction") -> DataFrame:
@@ -59,6 +60,33 @@ def sliced_metrics(df: DataFrame, by: str, y: str = "actual", p: str = "predicti
     return d.groupBy(by).agg(*_aggregates(y, p, "_ry", "_rp"))
 
 
+def slice_columns(df: DataFrame) -> DataFrame:
+    """Scored feature rows with the slices made of them: experience_bucket, role_experience, known_opponent, known_map, roster_stability, time_period."""
+    label = lambda when, yes, no: F.when(F.coalesce(when, F.lit(False)), yes).otherwise(no)
+    out = df.withColumns(
+        {
+            "experience_bucket": experience_bucket("player_matches_played"),
+            "role_experience": experience_bucket("player_role_matches_played"),
+            "known_opponent": label(F.col("opponent_rating_last_5").isNotNull(), "known", "unknown"),
+            "known_map": label(F.col("player_map_matches_played") > 0, "known", "unknown"),
+            "roster_stability": label(F.col("lineup_continuity") >= 0.8, "stable", "changed_or_unknown"),
+        }
+    )
+    return time_periods(out, ["ts", "match_id", "map", "player_id"])
+
+
+SLICES = ["map", "agent", "role", "experience_bucket", "time_period", "known_opponent", "known_map", "roster_stability", "role_experience"]
+
+
+def slice_report(df: DataFrame, slices: list[str] | None = None, y: str = "actual", p: str = "prediction") -> DataFrame:
+    """slice, value and the metrics of each value of each slice that ``df`` has; ranks within it."""
+    names = [c for c in slices or SLICES if c in df.columns]
+    pairs = [F.struct(F.lit(c).alias("slice"), F.coalesce(F.col(c).cast("string"), F.lit("__unknown__")).alias("value")) for c in names]
+    d = _clean(df.select(F.col(y).alias("_y"), F.col(p).alias("_p"), F.explode(F.array(*pairs)).alias("_s")), "_y", "_p").select("_s.*", "_y", "_p")
+    d = average_ranks(average_ranks(d, "_y", "_ry", ["slice", "value"]), "_p", "_rp", ["slice", "value"])
+    return d.groupBy("slice", "value").agg(*_aggregates("_y", "_p", "_ry", "_rp"))
+
+
 def with_constants(df: DataFrame, train: DataFrame, target: str) -> DataFrame:
     """Train-only mean and median as columns of every row."""
     one = train.agg(F.avg(target).alias("train_mean"), F.median(target).alias("train_median"))

@@ -21,6 +21,13 @@ def null_counts(df: DataFrame) -> DataFrame:
     return out.select("column", "missing", F.when(F.col("_n") > 0, F.col("missing") * 100.0 / F.col("_n")).alias("percent"))
 
 
+def deletion_cost(df: DataFrame) -> DataFrame:
+    """What requiring each column would delete: column, missing, percent, rows_deleted, rows_retained."""
+    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
+    out = null_counts(df).join(F.broadcast(rows))  # one row
+    return out.select("column", "missing", "percent", F.col("missing").alias("rows_deleted"), (F.col("_rows") - F.col("missing")).alias("rows_retained"))
+
+
 def nulls_per_row(df: DataFrame) -> DataFrame:
     """How many rows have how many nulls."""
     n = reduce(lambda a, b: a + b, [F.col(f"`{c}`").isNull().cast("int") for c in df.columns])

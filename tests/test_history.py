@@ -174,3 +174,25 @@ def test_elo_is_sequential(spark):
     df = spark.createDataFrame([*maps, (900, "x", datetime(2024, 1, 1), None, 1, 1.0)], "match_id long, map string, ts timestamp, team_1_id long, team_2_id long, result double")
     got = {x.match_id: (x.elo_1, x.elo_2) for x in elo.rate_maps(df).collect()}
     assert got.keys() == want.keys() and all(got[m] == pytest.approx(want[m]) for m in want)
+
+
+def test_features_refuse_repeated_keys_and_missing_times(spark):
+    one = row(1, 1, "x", 0)
+    with pytest.raises(ValueError, match="more than one row"):
+        features.build_features(table(spark, [one, one]))
+    with pytest.raises(ValueError, match="without a timestamp"):
+        features.build_features(table(spark, [one, (*row(1, 2, "x", 0)[:3], None, *row(1, 2, "x", 0)[4:])]))
+
+
+@pytest.mark.parametrize("size", ["3", "10000"])
+def test_means_don_t_depend_on_batches(spark, size):
+    """A key over many batches and a timestamp across two of them."""
+    rows = [row(p, i, "x", i // 4, rating=None if i % 5 == 0 else float(i * 7 % 11)) for p in (1, 2, None) for i in range(20)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = {(r.player_id, r.match_id): r.e_ewm_3 for r in pit.ewm(table(spark, rows), "player_id", {"rating": "e"}, [3]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 60
+    for (_, i), v in got.items():
+        assert v == fold([r[12] for r in rows[:20] if r[1] // 4 < i // 4], 3) or v == pytest.approx(fold([r[12] for r in rows[:20] if r[1] // 4 < i // 4], 3))

@@ -201,3 +201,61 @@ def test_models_score_sparse_and_unseen_rows(spark, tmp_path):
 
 def test_roles_of_new_rows(spark):
     assert cleaning.add_roles(spark.createDataFrame([(1,)], "k int")).first().role == "Flex/Unknown"
+
+
+def test_null_category_is_the_most_frequent(spark):
+    df = spark.createDataFrame([(float(x), m, y) for x, m, y in [(1, "a", 5.0), (2, "a", 5.0), (3, "a", 5.0), (4, "b", 1.0), (5, "b", 1.0)]], "x double, map string, y double")
+    model = ml.fit(df, "ridge", "y", ["x"], ["map"], regParam=0.0)
+    got = {r.map: r.prediction for r in model.predict(spark.createDataFrame([(2.0, "a"), (2.0, None), (2.0, "new")], "x double, map string")).collect()}
+    assert got[None] == pytest.approx(got["a"]) and got["new"] != pytest.approx(got["a"])
+
+
+def test_saved_models_are_evaluated_on_the_test_part(spark, tmp_path):
+    rows = [(i, i % 5, datetime(2024, 1, 1 + i), float(i), 2.0 * i) for i in range(20)]
+    df = spark.createDataFrame(rows, "match_id long, player_id long, ts timestamp, x double, y double").withColumn("map", ml.F.lit("m"))
+    ml.fit(df, "ridge", "y", ["x"], ["map"], regParam=0.0).save(f"{tmp_path}/m")
+    (r,) = ml.reevaluate(df, {"line": f"{tmp_path}/m"}).collect()
+    assert (r.model, r.target, r.split, r.n) == ("line", "y", "test", 3) and r.mae < 1e-6
+
+
+def test_baseline_lines_fill_with_train_medians(spark):
+    train = spark.createDataFrame([(1.0, 10.0, 8.0, 0.0), (3.0, 20.0, 9.0, 10.0), (5.0, None, 7.0, 20.0)], "y double, team_rating_last_5 double, opponent_rating_last_5 double, elo_gap double")
+    out = ml.baseline_lines(train, spark.createDataFrame([(None, None, None, 5.0), (None, None, None, None)], train.schema), "y").collect()
+    assert [r.elo_only for r in out] == [pytest.approx(2.0), pytest.approx(3.0)] and all(r.team_opponent_historical is not None for r in out)
+
+
+def test_slices_of_scored_rows(spark):
+    day = lambda i: datetime(2024, 1, 1 + i)
+    rows = [(1, i, "m", day(i), n, n, o, k, c, 1.0 * i, 2.0) for i, (n, o, k, c) in enumerate([(0, None, 0, None), (5, 1.0, 1, 0.8), (20, 1.0, 2, 0.79), (21, None, 3, 1.0)])]
+    df = spark.createDataFrame(rows, "player_id long, match_id long, map string, ts timestamp, player_matches_played long, player_role_matches_played long, opponent_rating_last_5 double, player_map_matches_played long, lineup_continuity double, actual double, prediction double")
+    got = {(r.slice, r.value): (r.n, r.mae) for r in metrics.slice_report(metrics.slice_columns(df)).collect()}
+    assert got[("experience_bucket", "cold_start")] == (1, 2.0) and got[("role_experience", "21+")] == (1, 1.0)
+    assert got[("known_opponent", "known")] == (2, 0.5) and got[("known_map", "unknown")] == (1, 2.0)
+    assert got[("roster_stability", "stable")] == (2, 1.0) and got[("map", "m")] == (4, 1.0)
+    assert {v for s, v in got if s == "time_period"} == {"0", "1", "2"} or {v for s, v in got if s == "time_period"} == {"0", "1", "2", "3"}
+
+
+def test_deletion_cost(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None)], "c string, x double")
+    assert {r.column: (r.missing, r.rows_deleted, r.rows_retained) for r in profile.deletion_cost(df).collect()} == {"c": (0, 0, 2), "x": (1, 1, 1)}
+
+
+def test_dataset_from_raw_tables(spark):
+    from pastframe.operators.dataset import build_dataset
+
+    p = spark.createDataFrame(
+        [(1, "ann", "7", "70", "jett", "ascent", "1", "1.2", "200", "10", "5", "3", "75%"), (2, "ann", "7", "70", "jett", "ascent", "1", "1.5", "210", "12", "5", "3", "80%"),
+         (3, "bob", "8", "80", "sage", "ascent", "1", "0.9", "150", "8", "0", "3", "60%"), (4, "cat", "9", "70", "omen", "bind", "2", None, "150", "8", "1", "3", "60%"),
+         (5, "ann", "7", "70", "jett", "bind", "2", "1.0", "150", "8", "4", "4", "x"), (6, "dan", "6", None, "jett", "bind", "2", "1.0", "150", "8", "4", "4", "x")],
+        "n int, name string, player_id string, team_id string, agent string, map string, match_id string, rating2_all string, acs_all string, kills_all string, deaths_all string, assists_all string, kast_all string",
+    )
+    m = spark.createDataFrame([(1, "2024-05-01", "Group Stage", "Final", None), (1, "2024-05-02", "Group Stage", "Final", None), (2, "2024-05-03", "Playoffs", "", "0.9")], "match_id long, match_date string, stage string, round string, match_importance string")
+    t = spark.createDataFrame([("1", "ascent", 70, 80, "A", "B", "A"), ("1", "ascent", 70, 80, "A", "B", "B"), ("2", "bind", 80, 70, "B", "A", "draw")], "match_id string, map_name string, team_1_id int, team_2_id int, team_1 string, team_2 string, map_winner string")
+    out = build_dataset(p, m, t, {"players": ["n"], "matches": ["match_date"], "maps": ["map_winner"]})
+    got = {(r.player_id, r.match_id): r for r in out.collect()}
+    assert set(got) == {(7, 1), (8, 1), (7, 2)}
+    a, b, c = got[(7, 1)], got[(8, 1)], got[(7, 2)]
+    assert (a.rating2_all, a.kda_all, a.kast_all, a.player_name, a.role) == (1.5, 3.0, pytest.approx(0.8), "ann", "Duelist") and b.kda_all is None
+    assert (a.opponent_team_id, a.opponent_team, b.opponent_team_id, c.opponent_team_id) == (80, "B", 70, 80)
+    assert (a.match_importance, c.match_importance, str(a.match_date), a.map_winner) == (0.4, 0.9, "2024-05-02", "B")
+    assert (a.team_elo, a.opponent_elo, b.elo_gap) == (1500.0, 1500.0, 0.0) and (c.team_elo, c.opponent_elo, c.elo_gap) == (1484.0, 1516.0, -32.0)

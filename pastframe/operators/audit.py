@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import semantic_region
+from ..functions.cleaning import match_timestamp, semantic_region
 
 
 def key_report(df: DataFrame, keys: list[str], targets: list[str] = (), ts: str | None = None) -> DataFrame:
@@ -36,6 +36,56 @@ def gate(report: DataFrame, targets: list[str], max_missing: float = 0.05) -> Da
     return report.withColumns({"warnings": reduce(Column.__add__, often), "passed": (F.col("duplicate_keys") == 0) & (F.col("complete_targets") > 0)})
 
 
+# The columns that the raw tables must have, and the targets.
+RAW_COLUMNS = {
+    "matches": ["region", "match_id", "match_url", "event_id", "match_date"],
+    "players_stat": ["region", "player_id", "team_id", "agent", "map", "match_id", "rating2_all", "acs_all", "kills_all", "deaths_all"],
+    "match_maps_stat": ["region", "match_id", "map_name", "team_1_id", "team_2_id", "team_pick", "map_winner"],
+}
+RAW_TARGETS = ["rating2_all", "acs_all", "kills_all", "deaths_all"]
+RAW_KEYS = {"matches": ["match_id"], "players_stat": ["player_id", "match_id", "map"], "match_maps_stat": ["match_id", "map_name"]}
+
+
+def gate_findings(tables: dict[str, DataFrame], max_missing: float = 0.05) -> DataFrame:
+    """table, finding, level (error or warning), n: what is wrong with the three raw tables, named as in RAW_COLUMNS; no row if nothing is.
+
+    Errors: missing columns, rows without a region, no region at all, repeated keys
+    (nulls are equal), ids without a match, no row with all targets. Warnings: a target
+    missing in over ``max_missing`` of the rows, dates that can't be read.
+    """
+    ids = tables["matches"].select(F.col("match_id").cast("string").alias("match_id")).where("match_id is not null").distinct() if "match_id" in tables["matches"].columns else None
+    parts = []
+    for name, df in tables.items():
+        have, rows = set(df.columns), F.count(F.lit(1))
+        counted = {("missing_columns", "error"): F.lit(len(set(RAW_COLUMNS[name]) - have)).cast("long")}
+        if "region" in have:
+            counted[("missing_region", "error")] = rows - F.count("region")
+            counted[("no_region", "error")] = (F.count("region") == 0).cast("long")
+        if set(RAW_KEYS[name]) <= have:
+            counted[("duplicate_keys", "error")] = rows - F.count_distinct(F.struct(*RAW_KEYS[name]))
+        if name == "matches" and "match_date" in have:
+            counted[("unreadable_dates", "warning")] = rows - F.count(match_timestamp("match_date"))
+        if name == "players_stat" and set(RAW_KEYS[name]) <= have:
+            value = {t: F.col(t) if t in have else F.lit(None) for t in RAW_TARGETS}
+            for t, v in value.items():
+                counted[(f"missing_{t}", "warning")] = F.when(F.avg(v.isNull().cast("double")) > max_missing, F.sum(v.isNull().cast("long"))).otherwise(0)
+            whole = reduce(lambda a, b: a & b, [v.isNotNull() for v in value.values()])
+            counted[("no_complete_targets", "error")] = (F.coalesce(F.sum(whole.cast("long")), F.lit(0)) == 0).cast("long")
+        one = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(counted.values())])
+        found = F.array(*[F.struct(F.lit(k[0]).alias("finding"), F.lit(k[1]).alias("level"), F.col(f"c{i}").alias("n")) for i, k in enumerate(counted)])
+        parts.append(one.select(F.lit(name).alias("table"), F.explode(found).alias("f")).select("table", "f.*"))
+        if name != "matches" and ids is not None and "match_id" in have:
+            lost = df.select(F.col("match_id").cast("string").alias("match_id")).where("match_id is not null").join(ids, "match_id", "left_anti")
+            parts.append(lost.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), F.lit("orphan_rows").alias("finding"), F.lit("error").alias("level"), "n"))
+    return reduce(DataFrame.unionByName, parts).where("n > 0")
+
+
+def gate_status(findings: DataFrame) -> DataFrame:
+    """status, errors, warnings: failed if there is an error."""
+    kinds = [F.count(F.when(F.col("level") == k, 1)).alias(f"{k}s") for k in ("error", "warning")]
+    return findings.agg(*kinds).select(F.when(F.col("errors") > 0, "failed").otherwise("passed").alias("status"), "errors", "warnings")
+
+
 def orphan_counts(children: dict[str, DataFrame], parents: DataFrame, key: str) -> DataFrame:
     """table, orphan_rows, orphan_keys: child rows whose key has no parent."""
     parts = []

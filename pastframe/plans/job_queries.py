@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dataset, elo, features, graph, metrics, ml, pit, profile, splits, views
+from ..operators import audit, dataset, elo, features, graph, metrics, ml, pit, profile, splits, views
 from .fact import ORDER, barrier_sql, fact, table, with_fact
 from .history_queries import TEAMS, TH
 from .ml_queries import CATEGORIES, NUMERIC
@@ -85,6 +85,36 @@ def j7(spark, d):
     return dataset.build_dataset(*_raw(spark, d), ORDERS).select(*KEY, *[F.round(c, 4).alias(c) for c in ("team_elo", "opponent_elo", "elo_gap")])
 
 
+@query(
+    "a5_gate_findings",
+    """WITH m AS (SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey END AS id, CASE WHEN o_custkey % 100 <> 7 THEN o_orderpriority END AS region, o_custkey % 40 = 3 AS bad FROM orders),
+l AS (SELECT *, 'map' || (l_linenumber % 3) AS map FROM lineitem),
+f AS (SELECT 'matches' AS "table", 'missing_region' AS finding, 'error' AS level, count(*) - count(region) AS n FROM m
+UNION ALL SELECT 'matches', 'duplicate_keys', 'error', count(*) - count(DISTINCT coalesce(id, -1)) FROM m
+UNION ALL SELECT 'matches', 'unreadable_dates', 'warning', count(*) FILTER (bad) FROM m
+UNION ALL SELECT 'players_stat', 'duplicate_keys', 'error', count(*) - count(DISTINCT (l_suppkey, l_orderkey, map)) FROM l
+UNION ALL SELECT 'players_stat', 'missing_acs_all', 'warning', CASE WHEN avg((l_discount = 0)::INT) > 0.05 THEN count(*) FILTER (l_discount = 0) ELSE 0 END FROM l
+UNION ALL SELECT 'players_stat', 'missing_rating2_all', 'warning', CASE WHEN avg((l_quantity = 50)::INT) > 0.05 THEN count(*) FILTER (l_quantity = 50) ELSE 0 END FROM l
+UNION ALL SELECT 'players_stat', 'orphan_rows', 'error', count(*) FROM l WHERE l_orderkey NOT IN (SELECT id FROM m WHERE id IS NOT NULL)
+UNION ALL SELECT 'match_maps_stat', 'missing_columns', 'error', 1
+UNION ALL SELECT 'match_maps_stat', 'duplicate_keys', 'error', count(*) - count(DISTINCT (l_orderkey, map)) FROM l
+UNION ALL SELECT 'match_maps_stat', 'orphan_rows', 'error', count(*) FROM l WHERE l_orderkey NOT IN (SELECT id FROM m WHERE id IS NOT NULL))
+SELECT * FROM f WHERE n > 0""",
+)
+def a5(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("map", F.expr("concat('map', l_linenumber % 3)"))
+    matches = table(spark, d, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey END AS match_id", "CASE WHEN o_custkey % 100 <> 7 THEN o_orderpriority END AS region", "o_orderstatus AS match_url",
+        "o_custkey AS event_id", "CASE WHEN o_custkey % 40 = 3 THEN 'soon' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END AS match_date",
+    )
+    players = lines.selectExpr(
+        "l_returnflag AS region", "l_suppkey AS player_id", "l_partkey AS team_id", "l_linestatus AS agent", "map", "l_orderkey AS match_id",
+        "nullif(l_quantity, 50.0D) AS rating2_all", "CASE WHEN l_discount <> 0 THEN l_extendedprice END AS acs_all", "l_quantity AS kills_all", "l_tax AS deaths_all",
+    )
+    maps = lines.selectExpr("l_returnflag AS region", "l_orderkey AS match_id", "map AS map_name", "l_suppkey AS team_1_id", "l_partkey AS team_2_id", "l_linestatus AS map_winner")
+    return audit.gate_findings({"matches": matches, "players_stat": players, "match_maps_stat": maps})
+
+
 # --- profile, slices, manifest ------------------------------------------------------
 
 

@@ -255,10 +255,10 @@ def a2(spark, d):
     return o.select("l_partkey", F.concat(F.lit("["), F.array_join("regions", ", "), F.lit("]")).alias("regions"))
 
 
-@query("a3_shared_events", "SELECT p_size AS event_id FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2 AND count(DISTINCT CASE WHEN p_size % 2 = 0 THEN 'open ' || p_size ELSE lower(trim(p_type)) END) = 1")
+@query("a3_shared_events", "SELECT o_custkey AS event_id FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) >= 2 AND count(DISTINCT CASE WHEN o_custkey % 3 = 0 THEN 'open' ELSE lower(o_orderstatus) END) = 1")
 def a3(spark, d):
-    title = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" Open "), "p_size")).otherwise(F.col("p_type"))
-    return audit.shared_events(table(spark, d, "part").select(F.col("p_size").alias("event_id"), title.alias("title"), F.col("p_brand").alias("region")))
+    title = F.when(F.col("o_custkey") % 3 == 0, F.when(F.col("o_orderkey") % 2 == 0, " Open ").otherwise("OPEN")).otherwise(F.col("o_orderstatus"))
+    return audit.shared_events(table(spark, d, "orders").select(F.col("o_custkey").alias("event_id"), title.alias("title"), F.col("o_orderpriority").alias("region")))
 
 
 @query(

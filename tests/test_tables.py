@@ -259,3 +259,19 @@ def test_dataset_from_raw_tables(spark):
     assert (a.opponent_team_id, a.opponent_team, b.opponent_team_id, c.opponent_team_id) == (80, "B", 70, 80)
     assert (a.match_importance, c.match_importance, str(a.match_date), a.map_winner) == (0.4, 0.9, "2024-05-02", "B")
     assert (a.team_elo, a.opponent_elo, b.elo_gap) == (1500.0, 1500.0, 0.0) and (c.team_elo, c.opponent_elo, c.elo_gap) == (1484.0, 1516.0, -32.0)
+
+
+def test_gate_findings(spark):
+    from pastframe.operators import audit
+
+    m = spark.createDataFrame([("A", 1, "u", 1, "2024-01-01"), (None, 1, "u", 1, "soon")], "region string, match_id long, match_url string, event_id long, match_date string")
+    p = spark.createDataFrame([("A", 1, 1, "jett", "x", 1, 1.0, None, 1, 1), ("A", 1, 1, "jett", "x", 9, None, 1.0, 1, 1)], "region string, player_id long, team_id long, agent string, map string, match_id long, rating2_all double, acs_all double, kills_all int, deaths_all int")
+    t = spark.createDataFrame([(None, 1, "x")], "region string, match_id long, map_name string")
+    found = audit.gate_findings({"matches": m, "players_stat": p, "match_maps_stat": t})
+    assert {(r.table, r.finding, r.level): r.n for r in found.collect()} == {
+        ("matches", "missing_region", "error"): 1, ("matches", "duplicate_keys", "error"): 1, ("matches", "unreadable_dates", "warning"): 1,
+        ("players_stat", "missing_rating2_all", "warning"): 1, ("players_stat", "missing_acs_all", "warning"): 1, ("players_stat", "no_complete_targets", "error"): 1, ("players_stat", "orphan_rows", "error"): 1,
+        ("match_maps_stat", "missing_columns", "error"): 4, ("match_maps_stat", "missing_region", "error"): 1, ("match_maps_stat", "no_region", "error"): 1,
+    }
+    assert tuple(audit.gate_status(found).first()) == ("failed", 7, 3)
+    assert tuple(audit.gate_status(found.where("level = 'warning'")).first()) == ("passed", 0, 3)

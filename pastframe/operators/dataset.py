@@ -89,3 +89,8 @@ def build_dataset(players: DataFrame, matches: DataFrame, maps: DataFrame, order
         df = add_elo(df, rate_maps(map_results(df), pool))
     kept = [c for c in [*KEPT, *NUMBERS, *SHARES, "kda_all"] if c in df.columns]
     return df.dropna(subset=REQUIRED).select(kept)
+
+
+def as_fact(df: DataFrame) -> DataFrame:
+    """The dataset with the short metric names that the features use."""
+    return df.withColumnsRenamed({"rating2_all": "rating", "acs_all": "acs", "kda_all": "kda"})

@@ -1,6 +1,6 @@
 """The queries of this folder by name, and their SQL where SQL can say it."""
 
-from . import exact_dedup, fingerprint, html_extract, line_dedup, packing, quality, simhash_dedup, tokens, url_filter
+from . import exact_dedup, fingerprint, html_extract, line_dedup, packing, prefix_trie, quality, simhash_dedup, tokens, url_filter, vector_codes, vector_search
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
@@ -11,6 +11,9 @@ _MODULES = {
     "op7_packing": packing,
     "op8_exact_dedup": exact_dedup,
     "op10_quality": quality,
+    "op11_nearest_vectors": vector_search,
+    "op12_conversation_trie": prefix_trie,
+    "op13_vector_codes": vector_codes,
 }
 
 QUERIES = {name: m.query for name, m in _MODULES.items()} | {

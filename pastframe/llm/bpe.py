@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
 
@@ -36,6 +38,7 @@ class Vocabulary:
     """What a tokenizer file says: token ids, merges by rank, special strings, word end."""
 
     def __init__(self, text: str):
+        self.text = text
         spec = json.loads(text)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -55,6 +58,19 @@ class Vocabulary:
         np.maximum.at(born, self.made, np.arange(len(pairs)))
         self.ordered = bool((np.maximum(born[self.left], born[self.right]) < np.arange(len(pairs))).all())
 
+    @cached_property
+    def _library(self):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_str(self.text)
+        return t.normalizer, t.pre_tokenizer, {c: b for b, c in enumerate(byte_letters())}
+
+    def library_pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings, by the library's own normalizer and pre-tokenizer."""
+        normalizer, splitter, back = self._library
+        text = normalizer.normalize_str(text) if normalizer else text
+        return [bytes(map(back.__getitem__, p)).decode() for p, _ in splitter.pre_tokenize_str(text)]
+
 
 class HeapMerger:
     """One pre-token at a time: a priority queue of merge ranks over a doubly linked symbol list."""
@@ -234,20 +250,30 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(lower(text if text.isascii() else unicodedata.normalize("NFC", text))) if text else []
 
 
+@lru_cache(1)
+def unsure() -> re.Pattern:
+    """Characters that Python's Unicode tables don't know: the library's may, so their classes and compositions are left to it."""
+    unknown = np.flatnonzero(np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool))
+    cuts = np.flatnonzero(np.diff(unknown) > 1)
+    runs = zip(unknown[np.r_[0, cuts + 1]].tolist(), unknown[np.r_[cuts, -1]].tolist(), strict=True)
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]")
+
+
 def word_pieces(v: Vocabulary, word: str) -> list[str | int]:
     """Pre-tokens of a stretch, and ids of special strings in it."""
-    if "<" in word and len(parts := v.find_special.split(word)) > 1:
-        return [p for k, x in enumerate(parts) for p in ([v.special[x]] if k % 2 else _words(x))]
-    return _words(word)
+    split = lambda x: v.library_pieces(x) if x and not x.isascii() and unsure().search(x) else _words(x)
+    if len(parts := v.find_special.split(word)) > 1:
+        return [p for k, x in enumerate(parts) for p in ([v.special[x]] if k % 2 else split(x))]
+    return split(word)
 
 
 def byte_units(v: Vocabulary, text: str) -> list[str]:
     """Parts of a text at which every byte-level pre-token ends too: the text's words, each with the blank before it."""
     if "  " in text or text.endswith(" ") or any(s in text for s in v.special):
-        return [u for p in v.find_special.split(text) if p for u in ([p] if p in v.special else _BYTE.findall(p))]
+        return [u for p in v.find_special.split(text) if p for u in ([p] if p in v.special else byte_pieces(v, p))]
     head, *rest = text.split(" ")
     return [*([head] if head else []), *(" " + x for x in rest)]
 
 
-def byte_pieces(unit: str) -> list[str]:
-    return _BYTE.findall(unit)
+def byte_pieces(v: Vocabulary, unit: str) -> list[str]:
+    return v.library_pieces(unit) if not unit.isascii() and unsure().search(unit) else _BYTE.findall(unit)

@@ -49,7 +49,7 @@ class Coder:
         return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def _split(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [[u] if u in self.v.special else bpe.byte_pieces(u) for u in units]
+        parts = [[u] if u in self.v.special else bpe.byte_pieces(self.v, u) for u in units]
         codes = self.pieces.codes([p for x in parts for p in x])
         return self.pieces.pieces(codes), bpe.sums(self.pieces.size[codes], [len(x) for x in parts])
 

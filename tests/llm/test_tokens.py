@@ -36,6 +36,23 @@ def test_encode_and_decode_equal_the_library(spark, library):
     assert got[len(x)].ids == [] and got[len(x)].decoded == ""
 
 
+def test_every_code_point_is_taken_as_the_library_does(library):
+    """All of the planes that have letters, and every 64th beyond; among them characters that Python's Unicode tables don't know."""
+    chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x20000), *range(0x20000, 0x110000, 64)]]
+    x = [" ".join(f"{c}a é{c}" for c in chars[i : i + 512]) for i in range(0, len(chars), 512)]
+    assert any(bpe.unsure().search(t) for t in x)
+    for name in library:
+        spec = open(tokens.vocabulary_path(name)).read()
+        want = [e.ids for e in library[name].encode_batch_fast(x, add_special_tokens=False)]
+        if name.startswith("byte"):
+            got = tokens.Coder(spec).encode(x)
+        else:
+            ids, n = packing.Encoder(spec).encode(x)
+            got = np.split(ids, np.cumsum(n)[:-1])
+            assert tokens.Counter(spec).count(x).tolist() == [len(w) for w in want]
+        assert all(g.tolist() == w for g, w in zip(got, want, strict=True))
+
+
 def test_digests(spark):
     out = tokens.encode_documents(frame(spark, [(1, "two words")]), tokens.vocabulary_path("byte_bpe_50k.json"))
     r = out.mapInArrow(tokens.digest_ids, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").first()

@@ -35,8 +35,8 @@ def _whole(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def clean_players(players: DataFrame, order: list[str]) -> DataFrame:
-    """Numbers and shares from text, kda, roles, one row per (player_id, match_id, map): the last in ``order``."""
-    df = _renamed(_whole(players, ["player_id", "match_id", "team_id"]), {"name": "player_name"})
+    """Numbers and shares from text, kda, roles, one row per (player_id, match_id, map): the last in ``order`` of those with a match and a team."""
+    df = _renamed(_whole(players, ["player_id", "match_id", "team_id"]), {"name": "player_name"}).dropna(subset=["match_id", "team_id"])
     df = keep_last(df, ["player_id", "match_id", "map"], order)
     df = df.withColumns({c: to_number(c) for c in NUMBERS if c in df.columns} | {c: percent(c) for c in SHARES if c in df.columns})
     return add_roles(df.withColumn("kda_all", ratio(F.col("kills_all") + F.col("assists_all"), F.col("deaths_all"))))

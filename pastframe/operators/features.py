@@ -81,15 +81,24 @@ def context_history(df: DataFrame) -> DataFrame:
 
 
 def team_maps(df: DataFrame) -> DataFrame:
-    """One row per (match, map, team): mean metrics, whether it won, its roster. A group without any metric, such as a future map, is no ``entry``."""
+    """One row per (match, map, team), for both sides of a map: mean metrics, whether it won, its roster.
+
+    A group without any metric, such as a future map, is no ``entry``. A team that
+    a map names only as the opponent is not ``present``: it has a row that asks for
+    its history at that time, so that one-sided tables find both teams' state.
+    """
     won = F.when(F.col("map_winner") == F.col("team"), 1.0).when(F.col("map_winner") == F.col("opponent_team"), 0.0)
-    g = df.where("team_id is not null").groupBy("match_id", "map", "team_id")
-    t = g.agg(
+    own = df.where("team_id is not null").select(
+        "match_id", "map", "team_id", "ts", "opponent_team_id", *METRICS, won.alias("won"), "player_id", F.lit(1).alias("here")
+    )
+    asking = df.where("opponent_team_id is not null").select("match_id", "map", F.col("opponent_team_id").alias("team_id"), "ts", F.lit(0).alias("here"))
+    t = own.unionByName(asking, allowMissingColumns=True).groupBy("match_id", "map", "team_id").agg(
         F.min("ts").alias("ts"),
         F.min("opponent_team_id").alias("opponent_team_id"),
         *[F.avg(c).alias(c) for c in METRICS],
-        F.max(won).alias("won"),
+        F.max("won").alias("won"),
         F.array_sort(F.collect_set("player_id")).alias("roster"),
+        (F.max("here") == 1).alias("present"),
     )
     t = t.withColumn("entry", F.expr("coalesce(rating, acs, kda) is not null"))
     return t.withColumn("won", F.when(F.col("entry"), F.col("won")))
@@ -142,14 +151,15 @@ OTHER = {
 
 
 def add_team_features(df: DataFrame, teams: DataFrame | None = None) -> DataFrame:
-    """Own and opponent team history; the opponent's is read from its own row of the same map.
+    """Own and opponent team history; the opponent's is read from its row of the same map, which ``team_maps`` gives to both sides.
 
-    ``teams``: a table of ``team_history`` already made, with or without the strength of schedule.
+    A team that is unknown has played no maps. ``teams``: a table of ``team_history`` already made, with or without the strength of schedule.
     """
     t = schedule_strength(team_history(team_maps(df))) if teams is None else teams
     own = t.select("match_id", "map", "team_id", *[c for c in OWN if c in t.columns])
     other = t.select("match_id", "map", F.col("team_id").alias("opponent_team_id"), *[F.col(a).alias(b) for a, b in OTHER.items()])
     out = df.join(own, ["match_id", "map", "team_id"], "left").join(other, ["match_id", "map", "opponent_team_id"], "left")
+    out = out.fillna(0, ["team_map_matches", "opponent_map_matches"])
     sure = F.least(F.lit(1.0), F.sqrt(F.coalesce("team_count", F.lit(0))) / F.sqrt(F.lit(10.0)))
     if "team_elo" in df.columns:
         out = out.withColumn("team_elo_confidence", F.when(F.col("team_elo").isNotNull(), sure))

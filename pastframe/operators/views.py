@@ -142,6 +142,14 @@ def forecast_requests(history: DataFrame, team_id: int, opponent_team_id: int, p
     )
 
 
+def next_requests(history: DataFrame, at: str) -> DataFrame:
+    """For each player one request at that time: team, opponent, map and agent of the player's latest row."""
+    same = ["map", "team_id", "opponent_team_id", "team", "opponent_team", "agent", "role"]
+    last = history.where("player_id is not null").groupBy("player_id").agg(F.max_by(F.struct(*same), F.struct("ts", *MAPS)).alias("l"))
+    name = F.concat(F.lit("__inference_"), F.col("player_id").cast("string"))
+    return last.select("player_id", name.alias("match_id"), F.lit(at).cast("timestamp").alias("ts"), *[F.col(f"l.{c}").alias(c) for c in same])
+
+
 def relevant_history(history: DataFrame, requests: DataFrame) -> DataFrame:
     """History of the requested players or of either team."""
     p = requests.select("player_id").distinct().withColumn("_p", F.lit(True))

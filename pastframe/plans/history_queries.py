@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import calendar, stage_importance
-from ..operators import elo, features, pit, splits
-from .fact import barrier_sql, entry_sql, fact, with_fact
+from ..operators import elo, features, forecast, pit, splits, views
+from .fact import TYPE_ROLES, barrier_sql, entry_sql, fact, with_fact
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -156,11 +156,14 @@ def w14(spark, d):
 TEAMS = """teams AS (SELECT * REPLACE (CASE WHEN entry THEN won END AS won), CASE WHEN entry THEN roster END AS eroster FROM (
   SELECT match_id, map, team_id, min(ts) AS ts, min(opponent_team_id) AS opponent_team_id, avg(rating) AS rating, avg(acs) AS acs, avg(kda) AS kda,
   max(CASE WHEN map_winner = team THEN 1.0::DOUBLE WHEN map_winner = opponent_team THEN 0.0 END) AS won, list_sort(list(DISTINCT player_id)) AS roster,
-  coalesce(avg(rating), avg(acs), avg(kda)) IS NOT NULL AS entry FROM fact WHERE team_id IS NOT NULL GROUP BY match_id, map, team_id))"""
+  coalesce(avg(rating), avg(acs), avg(kda)) IS NOT NULL AS entry, true AS present FROM fact WHERE team_id IS NOT NULL GROUP BY match_id, map, team_id
+  UNION ALL BY NAME
+  SELECT match_id, map, opponent_team_id AS team_id, min(ts) AS ts, false AS entry, false AS present FROM fact f WHERE opponent_team_id IS NOT NULL
+  AND NOT EXISTS (FROM fact o WHERE o.match_id = f.match_id AND o.map = f.map AND o.team_id = f.opponent_team_id) GROUP BY match_id, map, opponent_team_id))"""
 TKEY = ["match_id", "map", "team_id"]
 T16 = ["team_rating_last_5", "team_rating_last_10", "team_acs_last_5", "team_kda_last_5"]
 T17 = ["team_map_win_rate", "team_map_matches", "team_map_rating_last_5"]
-TH = "th AS (" + entry_sql("team_id", {"team_rating_last_5": ("avg(rating)", 5), "team_rating_last_10": ("avg(rating)", 10), "team_acs_last_5": ("avg(acs)", 5), "team_kda_last_5": ("avg(kda)", 5), "before": ("max(eroster)", 1), "latest": ("max(rating)", 1), "n": ("sum(entry::INT)", 100)}, "teams", "match_id, map, team_id, opponent_team_id, ts, roster") + ")"
+TH = "th AS (" + entry_sql("team_id", {"team_rating_last_5": ("avg(rating)", 5), "team_rating_last_10": ("avg(rating)", 10), "team_acs_last_5": ("avg(acs)", 5), "team_kda_last_5": ("avg(kda)", 5), "before": ("max(eroster)", 1), "latest": ("max(rating)", 1), "n": ("sum(entry::INT)", 100)}, "teams", "match_id, map, team_id, opponent_team_id, ts, roster, present") + ")"
 TM = "tm AS (" + entry_sql("team_id, map", {"team_map_win_rate": ("avg(won)", 100), "team_map_matches": ("count(won)", 100), "team_map_rating_last_5": ("avg(rating)", 5)}, "teams", "match_id, map, team_id") + ")"
 
 
@@ -187,7 +190,7 @@ def w16(spark, d):
 @query(
     "w17_map_win_rates_w18_strength",
     with_fact(
-        "SELECT f.player_id, f.match_id, f.map, " + ", ".join(f"o.{c}::DOUBLE AS {c}" for c in T17) + ", x.team_map_win_rate::DOUBLE AS opponent_map_win_rate, x.team_map_matches::DOUBLE AS opponent_map_matches, x.team_map_rating_last_5::DOUBLE AS opponent_map_strength"
+        "SELECT f.player_id, f.match_id, f.map, " + ", ".join(f"o.{c}::DOUBLE AS {c}" for c in T17) + ", x.team_map_win_rate::DOUBLE AS opponent_map_win_rate, coalesce(x.team_map_matches, 0)::DOUBLE AS opponent_map_matches, x.team_map_rating_last_5::DOUBLE AS opponent_map_strength"
         " FROM fact f LEFT JOIN tm o USING (match_id, map, team_id) LEFT JOIN tm x ON x.match_id = f.match_id AND x.map = f.map AND x.team_id = f.opponent_team_id",
         TEAMS, TM,
     ),
@@ -200,12 +203,12 @@ def w17(spark, d):
 @query(
     "w19_schedule_strength",
     with_fact(
-        "SELECT match_id, map, team_id, round(s, 4) AS team_strength_of_schedule FROM (" + entry_sql("team_id", {"s": ("avg(faced)", 10)}, "f2", "match_id, map, team_id") + ")",
+        "SELECT match_id, map, team_id, round(s, 4) AS team_strength_of_schedule FROM (" + entry_sql("team_id", {"s": ("avg(faced)", 10)}, "f2", "match_id, map, team_id, present") + ") WHERE present",
         TEAMS, TH, "f2 AS (SELECT t.*, CASE WHEN t.entry THEN o.latest END AS faced FROM teams t LEFT JOIN th o ON o.match_id = t.match_id AND o.map = t.map AND o.team_id = t.opponent_team_id)",
     ),
 )
 def w19(spark, d):
-    return rounded(features.schedule_strength(features.team_history(features.team_maps(fact(spark, d)))), TKEY, ["team_strength_of_schedule"])
+    return rounded(features.schedule_strength(features.team_history(features.team_maps(fact(spark, d)))).where("present"), TKEY, ["team_strength_of_schedule"])
 
 
 @query(
@@ -219,15 +222,15 @@ def w21(spark, d):
     return out.select(*KEY, F.round("role_matchup_rating_last_5", 4).alias("role_matchup_rating_last_5"), "role_matchup_matches_played")
 
 
-@query("w22_elo_confidence", with_fact("SELECT match_id, map, team_id, round(least(1.0, sqrt(coalesce(n, 0)) / sqrt(10.0)), 4) AS team_elo_confidence FROM th", TEAMS, TH))
+@query("w22_elo_confidence", with_fact("SELECT match_id, map, team_id, round(least(1.0, sqrt(coalesce(n, 0)) / sqrt(10.0)), 4) AS team_elo_confidence FROM th WHERE present", TEAMS, TH))
 def w22(spark, d):
-    t = features.team_history(features.team_maps(fact(spark, d)))
+    t = features.team_history(features.team_maps(fact(spark, d))).where("present")
     return rounded(t.withColumn("team_elo_confidence", F.least(F.lit(1.0), F.sqrt("team_count") / F.sqrt(F.lit(10.0)))), TKEY, ["team_elo_confidence"])
 
 
-@query("w23_lineup_continuity", with_fact("SELECT match_id, map, team_id, CASE WHEN before IS NOT NULL THEN round(len(list_intersect(roster, before)) / len(roster), 4) END AS lineup_continuity FROM th", TEAMS, TH))
+@query("w23_lineup_continuity", with_fact("SELECT match_id, map, team_id, CASE WHEN before IS NOT NULL THEN round(len(list_intersect(roster, before)) / len(roster), 4) END AS lineup_continuity FROM th WHERE present", TEAMS, TH))
 def w23(spark, d):
-    return rounded(features.team_history(features.team_maps(fact(spark, d))), TKEY, ["lineup_continuity"])
+    return rounded(features.team_history(features.team_maps(fact(spark, d))).where("present"), TKEY, ["lineup_continuity"])
 
 
 SHARES = [f"team_role_{r.lower()}_share" for r in features.ROLES]
@@ -302,6 +305,38 @@ def w32(spark, d):
     return splits.time_periods(fact(spark, d), ["ts", "match_id", "map", "player_id"]).select(*KEY, "time_period")
 
 
+LAST_MAPS = "SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY ts DESC, match_id DESC, map DESC) AS r FROM {1}"
+STATE = ["player_rating_last_5", "player_map_rating_last_3", "player_opponent_rating_last_5", "player_history_sample_size", "team_rating_last_5", "team_map_win_rate",
+         "opponent_rating_last_5", "opponent_rating_last_10", "opponent_acs_last_5", "opponent_map_win_rate", "opponent_map_matches", "opponent_map_strength"]
+
+
+def _latest(name: str, keys: str, source: str, feats: dict[str, str]) -> str:
+    return f"{name} AS (SELECT {keys}, " + ", ".join(f"{x} AS {k}" for k, x in feats.items()) + " FROM (" + LAST_MAPS.format(keys, source) + ") GROUP BY ALL)"
+
+
+@query(
+    "m20_request_state_j11",
+    with_fact(
+        "SELECT q.player_id, q.map, q.opponent_team_id, " + ", ".join(f"round({'coalesce(xm.opponent_map_matches, 0)' if c == 'opponent_map_matches' else c}, 4)::DOUBLE AS {c}" for c in STATE)
+        + " FROM (" + LAST_MAPS.format("player_id", "fact") + ") q LEFT JOIN p USING (player_id) LEFT JOIN pm USING (player_id, map) LEFT JOIN po USING (player_id, opponent_team_id)"
+        " LEFT JOIN o USING (team_id) LEFT JOIN om USING (team_id, map) LEFT JOIN x ON x.team_id = q.opponent_team_id LEFT JOIN xm ON xm.team_id = q.opponent_team_id AND xm.map = q.map WHERE q.r = 1",
+        TEAMS, "played AS (FROM teams WHERE entry)",
+        _latest("p", "player_id", "fact", {"player_rating_last_5": "avg(rating) FILTER (r <= 5)", "player_history_sample_size": "least(count(*), 500)"}),
+        _latest("pm", "player_id, map", "fact", {"player_map_rating_last_3": "avg(rating) FILTER (r <= 3)"}),
+        _latest("po", "player_id, opponent_team_id", "fact", {"player_opponent_rating_last_5": "avg(rating) FILTER (r <= 5)"}),
+        _latest("o", "team_id", "played", {"team_rating_last_5": "avg(rating) FILTER (r <= 5)"}),
+        _latest("om", "team_id, map", "played", {"team_map_win_rate": "avg(won) FILTER (r <= 100)"}),
+        _latest("x", "team_id", "played", {"opponent_rating_last_5": "avg(rating) FILTER (r <= 5)", "opponent_rating_last_10": "avg(rating) FILTER (r <= 10)", "opponent_acs_last_5": "avg(acs) FILTER (r <= 5)"}),
+        _latest("xm", "team_id, map", "played", {"opponent_map_win_rate": "avg(won) FILTER (r <= 100)", "opponent_map_matches": "count(won) FILTER (r <= 100)", "opponent_map_strength": "avg(rating) FILTER (r <= 5)"}),
+    ),
+)
+def m20(spark, d):
+    """The state that forecasts of every player's next map rest on; no request has a row of the opponent beside it."""
+    history = fact(spark, d)
+    out = forecast.inference_state(views.next_requests(history, "2030-01-01 00:00:00"), history, TYPE_ROLES)
+    return out.select("player_id", "map", "opponent_team_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in STATE])
+
+
 @query("build_features")
 def everything(spark, d):
     out = features.build_features(fact(spark, d))

@@ -151,6 +151,29 @@ def test_online_equals_offline(spark):
             assert online[k] == v or online[k] == pytest.approx(v), k
 
 
+def test_an_opponent_without_a_row_has_its_state(spark):
+    """The opponent played four maps, two of them on this one; the request names it only."""
+    past = [row(21, m, mp, m, 20, 30, rating=float(m), winner="T20" if m < 3 else "T30") for m, mp in ((1, "x"), (2, "y"), (3, "x"), (4, "y"))]
+    asked = [row(11, 999, "x", 40, 10, 20, "omen", None, None, None, None)]
+    got = inference_state(table(spark, asked), table(spark, past)).first()
+    assert got.opponent_rating_last_5 == 2.5 and got.opponent_map_win_rate == 0.5 and got.opponent_map_matches == 2 and got.opponent_map_strength == 2.0
+    assert got.team_rating_last_5 is None and got.team_map_matches == 0
+    nobody = [(*asked[0][:5], None, *asked[0][6:])]
+    got = inference_state(table(spark, nobody), table(spark, past)).first()
+    assert got.opponent_rating_last_5 is None and got.opponent_map_matches == 0
+
+
+def test_one_sided_requests_equal_two_sided(spark):
+    rows = rows_of(7, 30)
+    asked = [row(11, 999, "x", 40, 10, 20, "omen", None, None, None, None), row(12, 999, "x", 40, 10, 20, "jett", None, None, None, None), row(11, 1000, "z", 41, 10, 30, "omen", None, None, None, None)]
+    other = [row(21, 999, "x", 40, 20, 10, "sage", None, None, None, None), row(31, 1000, "z", 41, 30, 10, "sage", None, None, None, None)]
+    get = lambda a: {(r.player_id, r.match_id): r for r in inference_state(table(spark, a), table(spark, rows)).where("team_id = 10").collect()}
+    one, two = get(asked), get(asked + other)
+    # Role matchups order the rows of one time by player, and requests are rows.
+    assert one.keys() == two.keys() and all(one[k].asDict() == two[k].asDict() for k in one)
+    assert any(r.opponent_map_win_rate is not None for r in one.values())
+
+
 def test_history_longer_than_its_cap(spark):
     rows = [row(1, i, "x", i / 100, rating=float(i % 7)) for i in range(620)]
     got = pit.barrier(table(spark, rows), ["player_id"], {"n": (features.F.count("rating"), pit.HISTORY), "m": (features.F.avg("rating"), pit.HISTORY)})

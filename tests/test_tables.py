@@ -246,7 +246,8 @@ def test_dataset_from_raw_tables(spark):
     p = spark.createDataFrame(
         [(1, "ann", "7", "70", "jett", "ascent", "1", "1.2", "200", "10", "5", "3", "75%"), (2, "ann", "7", "70", "jett", "ascent", "1", "1.5", "210", "12", "5", "3", "80%"),
          (3, "bob", "8", "80", "sage", "ascent", "1", "0.9", "150", "8", "0", "3", "60%"), (4, "cat", "9", "70", "omen", "bind", "2", None, "150", "8", "1", "3", "60%"),
-         (5, "ann", "7", "70", "jett", "bind", "2", "1.0", "150", "8", "4", "4", "x"), (6, "dan", "6", None, "jett", "bind", "2", "1.0", "150", "8", "4", "4", "x")],
+         (5, "ann", "7", "70", "jett", "bind", "2", "1.0", "150", "8", "4", "4", "x"), (6, "dan", "6", None, "jett", "bind", "2", "1.0", "150", "8", "4", "4", "x"),
+         (7, "ann", "7", None, "jett", "ascent", "1", "9.9", "999", "12", "5", "3", "80%"), (8, "bob", "8", "", "sage", "ascent", "1", "9.9", "999", "8", "0", "3", "60%")],  # later, but of no team
         "n int, name string, player_id string, team_id string, agent string, map string, match_id string, rating2_all string, acs_all string, kills_all string, deaths_all string, assists_all string, kast_all string",
     )
     m = spark.createDataFrame([(1, "2024-05-01", "Group Stage", "Final", None), (1, "2024-05-02", "Group Stage", "Final", None), (2, "2024-05-03", "Playoffs", "", "0.9")], "match_id long, match_date string, stage string, round string, match_importance string")

@@ -8,26 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import match_timestamp, semantic_region
+from .distinct import one_row, repeated
 
 
 def key_report(df: DataFrame, keys: list[str], targets: list[str] = (), ts: str | None = None) -> DataFrame:
     """One row: rows, columns, duplicate_rows, duplicate_keys, null_keys, null_timestamps, missing rate per target, complete targets."""
-    every = F.struct(*[F.col(c).cast("string") for c in df.columns])
     some = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    n = F.count(F.lit(1))
-    out = [
-        n.alias("rows"),
-        F.lit(len(df.columns)).cast("long").alias("columns"),
-        (n - F.count_distinct(every)).alias("duplicate_rows"),
-        (n - F.count_distinct(F.struct(*keys))).alias("duplicate_keys"),
-        F.sum(some.cast("long")).alias("null_keys"),
-    ]
+    counted = [F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns")]
+    more = [F.sum(some.cast("long")).alias("null_keys")]
     if ts:
-        out.append(F.sum(F.col(ts).isNull().cast("long")).alias("null_timestamps"))
-    out += [F.avg(F.col(t).isNull().cast("double")).alias(f"{t}_missing") for t in targets]
+        more.append(F.sum(F.col(ts).isNull().cast("long")).alias("null_timestamps"))
+    more += [F.avg(F.col(t).isNull().cast("double")).alias(f"{t}_missing") for t in targets]
     if targets:
-        out.append(F.sum(reduce(lambda a, b: a & b, [F.col(t).isNotNull() for t in targets]).cast("long")).alias("complete_targets"))
-    return df.agg(*out)
+        more.append(F.sum(reduce(lambda a, b: a & b, [F.col(t).isNotNull() for t in targets]).cast("long")).alias("complete_targets"))
+    # Keys count as before: a key with a null in it is a key.
+    parts = [df.agg(*counted), repeated(df, None, "duplicate_rows"), repeated(df, keys, "duplicate_keys"), df.agg(*more)]
+    return one_row(parts)
 
 
 def gate(report: DataFrame, targets: list[str], max_missing: float = 0.05) -> DataFrame:
@@ -121,16 +117,18 @@ def classify_overlap(matches: DataFrame, shared: DataFrame, key: str = "match_id
 
 
 def title_report(events: DataFrame, region: str, title: str = "title") -> DataFrame:
-    """One row: explicit, unclassified and conflicting titles of a region's events, ten examples, whether it is valid."""
+    """One row: explicit, unclassified and conflicting titles of a region's events, ten examples (the first in order), whether it is valid."""
     r = semantic_region(title)
     bad = r.isNotNull() & (r != region)
-    return events.agg(
+    counts = events.agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum((r == region).cast("long")).alias("explicit_region_matches"),
         F.sum(r.isNull().cast("long")).alias("unclassified_titles"),
         F.sum(F.coalesce(bad, F.lit(False)).cast("long")).alias("conflicting_titles"),
-        F.slice(F.array_sort(F.collect_set(F.when(bad, F.col(title)))), 1, 10).alias("examples"),
-    ).withColumn("valid", (F.col("conflicting_titles") == 0) & ((F.col("rows") == 0) | (F.col("explicit_region_matches") > 0)))
+    )
+    ten = events.where(bad).select(F.col(title).alias("t")).distinct().orderBy("t").limit(10)
+    out = one_row([counts, ten.agg(F.array_sort(F.collect_list("t")).alias("examples"))])
+    return out.withColumn("valid", (F.col("conflicting_titles") == 0) & ((F.col("rows") == 0) | (F.col("explicit_region_matches") > 0)))
 
 
 def region_report(df: DataFrame, region: str, keys: list[str]) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import experience_bucket
+from .distinct import one_row
 from .graph import checkpointed
+from .quantiles import medians
 from .splits import time_periods
 
 
@@ -89,7 +91,7 @@ def slice_report(df: DataFrame, slices: list[str] | None = None, y: str = "actua
 
 def with_constants(df: DataFrame, train: DataFrame, target: str) -> DataFrame:
     """Train-only mean and median as columns of every row."""
-    one = train.agg(F.avg(target).alias("train_mean"), F.median(target).alias("train_median"))
+    one = one_row([train.agg(F.avg(target).alias("train_mean")), medians(train, [], target).withColumnRenamed("median", "train_median")])
     return df.join(F.broadcast(one))  # one row
 
 

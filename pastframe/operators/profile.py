@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, medians
+
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 
@@ -77,13 +82,11 @@ def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
         F.avg(c).alias("mean"),
         F.stddev_samp(c).alias("std"),
         F.min(c).cast("double").alias("min"),
-        F.percentile(c, F.lit(0.25)).alias("p25"),
-        F.percentile(c, F.lit(0.5)).alias("p50"),
-        F.percentile(c, F.lit(0.75)).alias("p75"),
         F.max(c).cast("double").alias("max"),
     )
-    one = df.agg(*[stats(c).alias(c) for c in columns])
-    return one.select(F.explode(F.array(*columns)).alias("s")).select("s.*")
+    one = df.agg(*[stats(c).alias(c) for c in columns]).select(F.explode(F.array(*columns)).alias("s")).select("s.*")
+    q = exact_quantiles(df, [], columns, [0.25, 0.5, 0.75]).select("column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    return one.join(F.broadcast(q), "column").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")  # a row per column
 
 
 def describe_categories(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,16 +99,51 @@ def describe_categories(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def by_category(df: DataFrame, category: str, target: str) -> DataFrame:
-    return df.groupBy(category).agg(F.count(target).alias("count"), F.avg(target).alias("mean"), F.median(target).alias("median"))
+    means = df.groupBy(category).agg(F.count(target).alias("count"), F.avg(target).alias("mean"))
+    m = medians(df, [category], target).withColumnRenamed(category, "_category")
+    return means.join(m, F.col(category).eqNullSafe(F.col("_category"))).drop("_category")
+
+
+_MOMENTS = ["n", "sx", "sy", "qx", "qy", "p"]
+
+
+def _moments(width: int, centre: np.ndarray):
+    """Sums over a task's rows for every pair of columns, where both are known: count, sums, squares and products around ``centre``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))
+        for b in batches:
+            x = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(width)], axis=1) - centre
+            here = np.isfinite(x)
+            x, m = np.where(here, x, 0.0), here.astype(np.float64)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        i, j = np.triu_indices(width)
+        n, s, q, p = total
+        cols = [i.astype(np.int32), j.astype(np.int32), n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["i", "j", *_MOMENTS])
+
+    return run
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r of every pair of columns over the rows where both are known, in one pass."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    known = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a).cast("double"))
-    one = df.agg(*[F.corr(known(a, b), known(b, a)).alias(f"{a}|{b}") for a, b in pairs])
-    t = one.unpivot([], [f"`{a}|{b}`" for a, b in pairs], "pair", "r")
-    t = t.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), F.when(~F.isnan("r"), F.col("r")).alias("r"))
+    """a, b, r of every pair of columns over the rows where both are known (finite).
+
+    After the means, one pass: each task multiplies its rows' matrix, unknown values masked,
+    with itself, and sends one row per pair of columns, whatever its number of rows.
+    """
+    some = df.select([F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    means = some.agg(*[F.avg(finite(c)) for c in some.columns]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+    per = some.mapInArrow(_moments(len(columns), centre), "i int, j int, " + ", ".join(f"{m} double" for m in _MOMENTS))
+    t = per.groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in _MOMENTS])
+    n, sx, sy, qx, qy, p = (F.col(m) for m in _MOMENTS)
+    spread = (n * qx - sx * sx) * (n * qy - sy * sy)
+    # What is left of a constant column is rounding.
+    flat = lambda q, s: n * q - s * s <= 1e-12 * n * q
+    r = F.when((n > 0) & (spread > 0) & ~flat(qx, sx) & ~flat(qy, sy), (n * p - sx * sy) / F.sqrt(F.when(spread > 0, spread)))
+    name = lambda c: F.element_at(F.array(*map(F.lit, columns)), F.col(c) + 1)
+    t = t.select(name("i").alias("a"), name("j").alias("b"), F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
     return t.union(t.where("a <> b").select("b", "a", "r"))
 
 
@@ -117,7 +155,7 @@ def target_ranking(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles and whisker ends (1.5 interquartile ranges) per group."""
-    q = df.groupBy(by).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    q = exact_quantiles(df, [by], [value], [0.25, 0.5, 0.75]).select(by, F.col("q0").alias("q1"), F.col("q1").alias("q2"), F.col("q2").alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     ends = df.join(q, by).where(F.col(value).between(lo, hi)).groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
@@ -134,7 +172,7 @@ def histogram(df: DataFrame, value: str, bins: int = 30) -> DataFrame:
 
 
 def fill_by_role(df: DataFrame, columns: list[str], role: str = "role") -> DataFrame:
-    """Nulls become the role's mean, what is still null the mean after that."""
+    """Nulls become the role's mean, what is still null the mean after that. Rows without a role go."""
     means = df.groupBy(role).agg(*[F.avg(c).alias(f"_{c}") for c in columns])
     out = df.join(means, role).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
     every = out.agg(*[F.avg(c).alias(f"_{c}") for c in columns])

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
-from ..streaming import state
+from ..streaming import loading, state
 from .fact import table
 
 
@@ -23,8 +23,21 @@ def st1_running_state(spark, d):
     return got.select("user_id", "event_id", "last_mean", "n_before", F.round("ewm", 4).alias("ewm"))
 
 
-QUERIES = {"st1_running_state": st1_running_state}
+def io6_stream_load(spark, d):
+    """Orders that arrive as a stream, some of them twice and some loaded before: each is in the table once."""
+    work = f"{shared_folder(spark)}/load-{uuid.uuid4().hex}"
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    target = loading.Target(f"{work}/table", ("o_orderkey",))
+    loading.add_batch(orders.where("o_orderkey % 3 = 0"), -1, target)
+    orders.union(orders.where("o_orderkey % 5 = 0")).write.partitionBy("o_orderstatus").parquet(f"{work}/arrived")
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 4).parquet(f"{work}/arrived")
+    loading.load_new(stream, target, f"{work}/log").awaitTermination()
+    return target.table(spark).select(orders.columns)
+
+
+QUERIES = {"st1_running_state": st1_running_state, "io6_stream_load": io6_stream_load}
 ORACLE_SQL = {
+    "io6_stream_load": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "st1_running_state": "SELECT user_id, event_id, avg(v) OVER w10 AS last_mean, count(*) OVER wall AS n_before,"
     " round(CASE WHEN count(*) OVER wall > 0 THEN list_reduce(list(v) OVER wall, lambda a, x: a + (2.0 / 6) * (x - a)) END, 4) AS ewm FROM (SELECT *, round(value * 100) AS v FROM events)"
     " WINDOW w10 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), wall AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"

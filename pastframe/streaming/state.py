@@ -1,4 +1,4 @@
-"""Arriving maps: incremental loading and running entity state."""
+"""Arriving maps: running entity state."""
 
 from __future__ import annotations
 
@@ -7,30 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LAST = 10
 STATE = "ts timestamp, n long, values array<double>, done_n long, done array<double>, ewm double, done_ewm double"
 
 
-def load_new(stream: DataFrame, path: str, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Append rows whose key isn't in the table at ``path`` yet; available files are taken once, then the query ends."""
-
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(key)
-        try:
-            have = spark.read.parquet(path).select(*key)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            have = None
-        (fresh.join(have, key, "left_anti") if have is not None else fresh).write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def running_state(stream: DataFrame, key: str, value: str, order: list[str], span: int = 5) -> DataFrame:
     """key, ts, order columns, value, last_10 mean, count and ewm before each row's timestamp, kept as keyed state.
 

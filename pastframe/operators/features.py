@@ -238,11 +238,11 @@ def check_entries(df: DataFrame) -> None:
         raise ValueError(f"{lost} rows without a timestamp")
 
 
-def build_features(df: DataFrame, check: bool = True) -> DataFrame:
+def build_features(df: DataFrame, check: bool = True, role_matchup: bool = True) -> DataFrame:
     """All of the above on a cleaned fact table; rows keep their key. Repeated keys and missing timestamps are an error."""
     if check:
         check_entries(df)
     out = form(player_history(df.repartition("player_id")))
-    out = context_history(out)
-    out = add_fallback(add_role_matchup(add_roster_features(add_team_features(out))))
+    out = add_roster_features(add_team_features(context_history(out)))
+    out = add_fallback(add_role_matchup(out) if role_matchup else out)
     return out.withColumns(calendar("ts"))

@@ -188,7 +188,6 @@ SAMPLE = 10_000  # texts in which common shingles are looked for
 COMMON = 200_000  # shingles that are known as common, at most
 BLOCK = 2_000  # members of a token on each side of a comparison
 PIVOTS = 4  # members of a token that all others are compared with first
-TURNS = 2  # times that this is done
 HOT = 1_000  # pairs of one text that are given one copy of it
 FEW = 1_000_000  # ids that are broadcast, at most
 CACHE = 1 << 20  # shingles of texts that a worker remembers
@@ -201,6 +200,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove what ``settled`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class _Words(dict):
     """Hashes of words, remembered; emptied when it holds many."""
 
@@ -360,8 +367,7 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
     Texts whose shingle sets are that similar share one of their few rarest
     shingles, by any common order of shingles (prefix filter), so only texts under
     one token meet, and only where their first common token leaves enough shingles in
-    both to be alike (positional filter). First each is checked with a few pivots of its
-    token, then those that aren't joined with some of the token's largest group, which settles
+    both to be alike (positional filter). First each is checked with a few pivots of its token, which settles
     groups of copies at some rows a member and token; in the end every pair that shares a
     token, fits and is neither joined by confirmed links nor rejected is checked.
     """
@@ -369,13 +375,14 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
     # Counted by 32 bits of a token: who shares them by chance is found out below.
     bucket = F.hash("token")
     often = rare.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("m")).where("m > 1").select(F.col("bucket").bitwiseXOR(F.lit(0)).alias("bucket"))
-    rare = settled(rare.withColumn("bucket", bucket).join(often, "bucket", "left_semi").select("id", "token", "pos"))
+    every_rare = rare = settled(rare.withColumn("bucket", bucket).join(often, "bucket", "left_semi").select("id", "token", "pos"))
     # Of tokens with the same members one is enough: the first in the order, which all members share.
     sets = rare.groupBy("token").agg(
         F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"), F.min(F.struct("id", "pos"))["pos"].alias("at")
     )
     one = sets.where("m > 1").groupBy("m", "x", "y").agg(F.min_by("token", "at").alias("token")).select(own_key("token").alias("token"), "m")
     rare = settled(rare.join(one, "token").join(nodes.drop("s0", "s1", "wide", "tokens"), "id").withColumn("root", F.col("id")))
+    discard(every_rare)
 
     prints = [f"p{j}" for j in range(SKETCH // 64)]
     side = ["id", "n", "pos", *prints]
@@ -389,18 +396,13 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
         left = F.least(n - F.col(x + "pos"), o - F.col(y + "pos"))
         return (F.least(n, o) >= F.lit(similarity) * F.greatest(n, o)) & (left >= both) & (bits <= F.lit(apart) * (n + o) + 1e-6)
 
-    def apart_still(rows):
-        """Rows of the tokens whose texts aren't all joined yet."""
-        per = rows.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("roots"))
-        return rows.join(per.where("roots > 1").withColumn("token", own_key("token")), "token", "left_semi")
-
     ordered = lambda p, a, b: p.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    some = lambda seed: F.array(*[F.min_by(F.struct(*side), F.xxhash64("id", F.lit(seed + i))) for i in range(PIVOTS)])
     sure = checked = None
-    for turn in range(TURNS + 1):
-        if turn:
-            rare = apart_still(rare)
-        if turn == TURNS:
+    for last in (False, True):
+        if last:
+            # Only tokens whose texts aren't all joined yet.
+            per = rare.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("roots"))
+            rare = rare.join(per.where("roots > 1").withColumn("token", own_key("token")), "token", "left_semi")
             blocks = F.ceil(F.col("m") / BLOCK).cast("int")
             part = F.pmod(F.xxhash64("id"), blocks).cast("int")
             every = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -408,13 +410,9 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
             left, right = rare.select("token", part.alias("s"), every.alias("t"), own("x")), rare.select("token", every.alias("s"), part.alias("t"), own("y"))
             pairs = ordered(left.join(right, ["token", "s", "t"]).where("x.id < y.id and x.root <> y.root").where(fits("x.", "y.")), "x.id", "y.id")
         else:
-            # At first every text is a group of its own; later only what isn't in the token's largest group asks.
-            if turn:
-                pivots = rare.groupBy("token", "root").agg(some(turn * PIVOTS).alias("ps"), F.count("*").alias("c"))
-                pivots = pivots.groupBy("token").agg(F.max_by(F.struct("root", "ps"), F.struct("c", "root")).alias("g")).select(own_key("token").alias("token"), F.col("g.root").alias("of"), "g.ps")
-            else:
-                pivots = rare.groupBy("token").agg(some(0).alias("ps")).select(own_key("token").alias("token"), F.lit(None).cast("long").alias("of"), "ps")
-            pairs = rare.join(pivots, "token").where("of is null or root <> of").withColumn("p", F.explode("ps")).where("id <> p.id")
+            ps = F.array(*[F.min_by(F.struct(*side), F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)])
+            pivots = rare.groupBy("token").agg(ps.alias("ps")).withColumn("token", own_key("token"))
+            pairs = rare.join(pivots, "token").withColumn("p", F.explode("ps")).where("id <> p.id")
             pairs = ordered(pairs.where(fits("", "p.")), "id", "p.id")
         pairs = settled(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
         wide = nodes.select("id", "n", "wide")
@@ -425,9 +423,10 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
         held = _with_text(_with_text(pairs, "a", texts, "x"), "b", texts, "y")
         new = settled(mapped(held.select("a", "b", "x", "y"), _alike(similarity, k), "a long, b long"))
         sure = new if sure is None else sure.union(new)
-        if turn < TURNS and not new.isEmpty():
+        if not last and not new.isEmpty():
             roots = components(sure).select(F.col("node").alias("id"), F.col("root").alias("_root"))
-            rare = settled(rare.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("_root", "id")).drop("_root"))
+            before, rare = rare, settled(rare.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("_root", "id")).drop("_root"))
+            discard(before)
     return sure
 
 

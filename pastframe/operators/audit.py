@@ -134,12 +134,46 @@ def title_report(events: DataFrame, region: str, title: str = "title") -> DataFr
 def region_report(df: DataFrame, region: str, keys: list[str]) -> DataFrame:
     """Rows of other regions, and duplicate and null keys, of one region's table."""
     null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum((~F.col("region").eqNullSafe(region)).cast("long")).alias("wrong_region"),
-        (F.count(F.lit(1)) - F.count_distinct(F.struct(*keys))).alias("duplicate_keys"),
-        F.sum(null.cast("long")).alias("null_keys"),
-    )
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), F.sum((~F.col("region").eqNullSafe(region)).cast("long")).alias("wrong_region"))
+    return one_row([counted, repeated(df, keys, "duplicate_keys"), df.agg(F.sum(null.cast("long")).alias("null_keys"))])
+
+
+#: Of each raw table, columns whose nulls a region's audit reports.
+REQUIRED_VALUES = [*RAW_TARGETS, "agent", "team_id"]
+
+
+def audit_region(region: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """table, check, n: what one region's raw tables hold, named as in RAW_COLUMNS, and perhaps events with titles.
+
+    Of each table: rows, duplicate_rows, wrong_region (null counts; missing_region_column 1 if there is none),
+    missing_<column> where a column has nulls, and duplicate_keys where its key columns are there.
+    Ids of players and maps without a match are orphan_rows. Events with a title are
+    also counted by what their titles say.
+    """
+    ids = None
+    if "matches" in tables and "match_id" in tables["matches"].columns:
+        ids = tables["matches"].select(F.col("match_id").cast("string").alias("match_id")).where("match_id is not null").distinct()
+    parts = []
+    for name, df in tables.items():
+        counted = {"rows": F.count(F.lit(1))}
+        if "region" in df.columns:
+            counted["wrong_region"] = F.sum((~F.col("region").cast("string").eqNullSafe(region)).cast("long"))
+        else:
+            counted["missing_region_column"] = F.lit(1).cast("long")
+        counted |= {f"missing_{c}": F.sum(F.col(c).isNull().cast("long")) for c in df.columns}
+        if "title" in df.columns:
+            r = semantic_region("title")
+            counted |= {"explicit_titles": F.sum((r == region).cast("long")), "unclassified_titles": F.sum(r.isNull().cast("long")), "conflicting_titles": F.sum((r != region).cast("long"))}
+        rows = [df.agg(*[x.alias(k) for k, x in counted.items()]), repeated(df, None, "duplicate_rows")]
+        if name in RAW_KEYS and set(RAW_KEYS[name]) <= set(df.columns):
+            rows.append(repeated(df, RAW_KEYS[name], "duplicate_keys"))
+        if name != "matches" and ids is not None and "match_id" in df.columns:
+            lost = df.select(F.col("match_id").cast("string").alias("match_id")).where("match_id is not null").join(ids, "match_id", "left_anti")
+            rows.append(lost.agg(F.count(F.lit(1)).alias("orphan_rows")))
+        one = one_row(rows)
+        found = one.unpivot([], one.columns, "check", "n").select(F.lit(name).alias("table"), "check", F.coalesce("n", F.lit(0)).alias("n"))
+        parts.append(found.where("check not like 'missing\\_%' or n > 0"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def completed(map_name: Column, winner: Column, targets: list[Column], ts: Column, cutoff: Column | None = None) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import calendar, stage_importance
-from ..operators import elo, features, forecast, pit, splits, views
+from ..operators import elo, features, forecast, pit, rerun, splits, views
+from ..operators.graph import shared_folder
 from .fact import TYPE_ROLES, barrier_sql, entry_sql, fact, with_fact
 
 QUERIES: dict[str, Callable] = {}
@@ -337,7 +339,68 @@ def m20(spark, d):
     return out.select("player_id", "map", "opponent_team_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in STATE])
 
 
-@query("build_features")
+def _from(name: str, *columns: str) -> tuple[str, list[str]]:
+    return name, [c for x in columns for c in ([x] if isinstance(x, str) else x)]
+
+
+MEANS = [f"{p}_last_{n}" for p in P.values() for n in (3, 5, 10)]
+PARTS = [
+    _from("w2_last_n_means", *MEANS),
+    _from("w4_deviation_w6_long_term", "player_rating_std", *[f"{p}_long_term" for p in P.values()]),
+    _from("w12_map_history", "player_map_rating_last_3", "player_map_acs_last_5", "player_map_kda_last_5", "player_map_matches_played"),
+    _from("w13_agent_history", *[f"player_agent_{c}_last_5" for c in P], "player_agent_matches_played"),
+    _from("w15_agent_map_history", "player_agent_map_rating_last_5"),
+    _from("w15_role_map_history", "player_role_map_rating_last_5"),
+    _from("w20_opponent_history", "player_opponent_rating_last_5", "player_opponent_matches_played"),
+    _from("w1_last_values", "player_rating_last", "player_map_rating_last"),
+    _from("w3_ewm_w7_form_gap", *EWM, *[f"{p}_form_gap" for p in P.values()]),
+    _from("w5_form_trend", "player_form_trend"),
+    _from("w8_matches_played", "player_matches_played"),
+    _from("w9_sample_size", "player_history_sample_size", "player_cold_start"),
+    _from("w10_rest_days", "player_rest_days"),
+    _from("w11_recent_matches", *[f"player_matches_last_{n}d" for n in (7, 14, 30)]),
+    _from("w14_role_history", *ROLE, "player_role_matches_played", "player_role_share"),
+    _from("w16_team_history", *T16, *[c.replace("team_", "opponent_") for c in T16]),
+    _from("w17_map_win_rates_w18_strength", *T17, "opponent_map_win_rate", "opponent_map_matches", "opponent_map_strength"),
+    _from("w19_schedule_strength", "team_strength_of_schedule"),
+    _from("w21_role_matchup", "role_matchup_rating_last_5", "role_matchup_matches_played"),
+    _from("w23_lineup_continuity", "lineup_continuity"),
+    _from("w24_roster_features", "veterans_remaining", *SHARES, "team_roster_synergy"),
+    _from("w27_fallback", *FALL),
+    _from("w28_calendar_p8_importance", "match_year", "match_month", "match_dayofweek"),
+]
+FEATURES = [c for _, columns in PARTS for c in columns]
+OF_TEAM = ("w19_schedule_strength", "w23_lineup_continuity", "w24_roster_features")
+#: SQL of all features: that of each part, joined by player row or by team.
+ALL_SQL = (
+    "SELECT f.player_id, f.match_id, f.map, " + ", ".join(f"round({c}::DOUBLE, 4) AS {c}" for c in FEATURES) + ", form_fallback_level FROM (" + with_fact("SELECT player_id, match_id, map, team_id FROM fact") + ") f "
+    + " ".join(f"LEFT JOIN ({ORACLE_SQL[n]}) p{i} ON p{i}.match_id = f.match_id AND p{i}.map = f.map AND " + (f"p{i}.team_id = f.team_id" if n in OF_TEAM else f"p{i}.player_id = f.player_id") for i, (n, _) in enumerate(PARTS))
+)
+
+
+@query("build_features", ALL_SQL)
 def everything(spark, d):
     out = features.build_features(fact(spark, d))
-    return out.select([F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    return out.select(*KEY, *[F.round(F.col(c).cast("double"), 4).alias(c) for c in FEATURES], "form_fallback_level")
+
+
+LATE = ["player_rating_last_5", "player_rating_long_term", "team_rating_last_5", "opponent_rating_last_5", "opponent_map_win_rate", "team_roster_synergy", "team_strength_of_schedule", "role_matchup_rating_last_5"]
+
+
+@query(
+    "late_rows_rerun",
+    "SELECT f.player_id, f.match_id, f.map, " + ", ".join(f"round({c}::DOUBLE, 3) AS {c}" for c in LATE) + " FROM (" + with_fact("SELECT player_id, match_id, map, team_id FROM fact") + ") f "
+    + " ".join(f"LEFT JOIN ({ORACLE_SQL[n]}) p{i} ON p{i}.match_id = f.match_id AND p{i}.map = f.map AND " + (f"p{i}.team_id = f.team_id" if n in OF_TEAM else f"p{i}.player_id = f.player_id") for i, (n, cs) in enumerate(PARTS) if set(cs) & set(LATE)),
+)
+def late(spark, d):
+    """Features built without some rows of the last quarter, then rerun for what these reach: as if they had been there."""
+    whole = splits.checkpointed(fact(spark, d))
+    end = whole.agg(F.max("ts")).first()[0]
+    is_late = (F.col("ts") > F.lit(end) - F.expr("INTERVAL 90 DAYS")) & (F.col("match_id") % 7 == 0)
+    before, rows = whole.where(~is_late), whole.where(is_late)
+    month = lambda df: df.withColumn("part", F.date_format("ts", "yyyyMM"))
+    path = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    month(features.build_features(before)).write.partitionBy("part").parquet(path)
+    changes, now = rerun.change_set(before, rows), rerun.with_rows(before, rows)
+    rerun.replace_rows(path, month(rerun.rerun_features(now, changes, spark.read.parquet(path))), changes, "part")
+    return spark.read.parquet(path).select(*KEY, *[F.round(c, 3).alias(c) for c in LATE])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as c
 from ..operators import audit, dedup, fuzzy, joins, metrics, profile, splits, views
+from ..operators.graph import shared_folder
 from ..sources import tables
 from .fact import fact, table, with_fact
 
@@ -287,6 +289,72 @@ def a6(spark, d):
     return audit.region_report(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "region"), "R", ["l_orderkey", "l_linenumber"])
 
 
+@query(
+    "a6_region_audit",
+    """WITH m AS (SELECT o_orderkey AS match_id, CASE WHEN o_custkey % 10 <> 3 THEN 'EMEA' WHEN o_custkey % 20 = 3 THEN 'Pacific' END AS region, nullif(o_orderpriority, '1-URGENT') AS match_url FROM orders WHERE o_orderkey % 40 <> 7),
+p AS (SELECT l_suppkey AS player_id, l_orderkey AS match_id, 'map' || (l_linenumber % 3) AS map, 'EMEA' AS region, nullif(l_quantity, 50) AS rating2_all, CASE WHEN l_discount <> 0 THEN l_extendedprice END AS acs_all, l_returnflag AS agent FROM lineitem),
+t AS (SELECT l_orderkey AS match_id, 'map' || (l_linenumber % 3) AS map_name, l_linestatus AS map_winner FROM lineitem),
+e AS (SELECT CASE n_nationkey % 3 WHEN 0 THEN 'Champions EMEA ' || n_name WHEN 1 THEN 'Champions Japan ' || n_name ELSE 'x ' || n_name END AS title, 'EMEA' AS region FROM nation),
+f AS (SELECT 'matches' AS "table", 'rows' AS "check", count(*) AS n FROM m
+UNION ALL SELECT 'matches', 'wrong_region', count(*) FILTER (region IS DISTINCT FROM 'EMEA') FROM m
+UNION ALL SELECT 'matches', 'missing_region', count(*) - count(region) FROM m UNION ALL SELECT 'matches', 'missing_match_url', count(*) - count(match_url) FROM m
+UNION ALL SELECT 'matches', 'duplicate_rows', (SELECT count(*) FROM m) - (SELECT count(*) FROM (SELECT DISTINCT * FROM m))
+UNION ALL SELECT 'matches', 'duplicate_keys', count(*) - count(DISTINCT match_id) FROM m
+UNION ALL SELECT 'players_stat', 'rows', count(*) FROM p UNION ALL SELECT 'players_stat', 'wrong_region', 0
+UNION ALL SELECT 'players_stat', 'missing_rating2_all', count(*) - count(rating2_all) FROM p UNION ALL SELECT 'players_stat', 'missing_acs_all', count(*) - count(acs_all) FROM p
+UNION ALL SELECT 'players_stat', 'duplicate_rows', (SELECT count(*) FROM p) - (SELECT count(*) FROM (SELECT DISTINCT * FROM p))
+UNION ALL SELECT 'players_stat', 'duplicate_keys', count(*) - count(DISTINCT (player_id, match_id, map)) FROM p
+UNION ALL SELECT 'players_stat', 'orphan_rows', count(*) FROM p WHERE match_id NOT IN (SELECT match_id FROM m)
+UNION ALL SELECT 'match_maps_stat', 'rows', count(*) FROM t UNION ALL SELECT 'match_maps_stat', 'missing_region_column', 1
+UNION ALL SELECT 'match_maps_stat', 'duplicate_rows', (SELECT count(*) FROM t) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t))
+UNION ALL SELECT 'match_maps_stat', 'duplicate_keys', count(*) - count(DISTINCT (match_id, map_name)) FROM t
+UNION ALL SELECT 'match_maps_stat', 'orphan_rows', count(*) FROM t WHERE match_id NOT IN (SELECT match_id FROM m)
+UNION ALL SELECT 'events', 'rows', count(*) FROM e UNION ALL SELECT 'events', 'wrong_region', 0 UNION ALL SELECT 'events', 'duplicate_rows', count(*) - count(DISTINCT title) FROM e
+UNION ALL SELECT 'events', 'explicit_titles', count(*) FILTER (title LIKE '%EMEA%') FROM e UNION ALL SELECT 'events', 'unclassified_titles', count(*) FILTER (title LIKE 'x %') FROM e
+UNION ALL SELECT 'events', 'conflicting_titles', count(*) FILTER (title LIKE '%Japan%') FROM e)
+SELECT "table", "check", n::BIGINT AS n FROM f WHERE "check" NOT IN ('missing_region', 'missing_match_url', 'missing_rating2_all', 'missing_acs_all') OR n > 0""",
+)
+def a6_audit(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("map", F.expr("concat('map', l_linenumber % 3)"))
+    matches = table(spark, d, "orders").where("o_orderkey % 40 <> 7").selectExpr("o_orderkey AS match_id", "CASE WHEN o_custkey % 10 <> 3 THEN 'EMEA' WHEN o_custkey % 20 = 3 THEN 'Pacific' END AS region", "nullif(o_orderpriority, '1-URGENT') AS match_url")
+    players = lines.selectExpr("l_suppkey AS player_id", "l_orderkey AS match_id", "map", "'EMEA' AS region", "nullif(l_quantity, 50.0D) AS rating2_all", "CASE WHEN l_discount <> 0 THEN l_extendedprice END AS acs_all", "l_returnflag AS agent")
+    maps = lines.selectExpr("l_orderkey AS match_id", "map AS map_name", "l_linestatus AS map_winner")
+    events = table(spark, d, "nation").selectExpr("CASE n_nationkey % 3 WHEN 0 THEN concat('Champions EMEA ', n_name) WHEN 1 THEN concat('Champions Japan ', n_name) ELSE concat('x ', n_name) END AS title", "'EMEA' AS region")
+    return audit.audit_region("EMEA", {"matches": matches, "players_stat": players, "match_maps_stat": maps, "events": events})
+
+
+@query("io1_csv_io5_write", "SELECT o_orderkey, o_orderpriority, o_totalprice, o_orderstatus FROM orders")
+def io1(spark, d):
+    """Orders written as CSV by status, and read again with their schema."""
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
+    tables.write(rows, path, "csv", by=["o_orderstatus"])
+    return tables.read(spark, path, "csv", "o_orderkey bigint, o_orderpriority string, o_totalprice double, o_orderstatus string")
+
+
+@query(
+    "t5_shortlist",
+    with_fact(
+        "SELECT target, model, mae, mae_std, n, row_number() OVER (PARTITION BY target ORDER BY mae, mae_std, model) = 1 AS chosen FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY mae, model) <= 2)",
+        "s AS (SELECT role AS target, agent || map AS model, round(avg(abs(rating - 25)), 6) AS mae, round(stddev_pop(rating), 6) AS mae_std, count(*) AS n FROM fact GROUP BY ALL)",
+    ),
+)
+def t5(spark, d):
+    """Of each role the two agents and maps whose ratings lie nearest 25, and the one chosen."""
+    f = fact(spark, d)
+    scores = f.groupBy(F.col("role").alias("target"), F.concat("agent", "map").alias("model")).agg(F.round(F.avg(F.abs(F.col("rating") - 25)), 6).alias("mae"), F.round(F.stddev_pop("rating"), 6).alias("mae_std"), F.count(F.lit(1)).alias("n"))
+    return views.shortlist(scores)
+
+
+@query(
+    "t10_next_requests_d4",
+    with_fact("SELECT player_id, '__inference_' || player_id AS match_id, map, team_id, opponent_team_id, agent, role FROM fact QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY ts DESC, match_id DESC, map DESC) = 1"),
+)
+def t10_next(spark, d):
+    """A request for every player's next map."""
+    return views.next_requests(fact(spark, d), "2030-01-01 00:00:00").select("player_id", "match_id", "map", "team_id", "opponent_team_id", "agent", "role")
+
+
 @query("a7_title_report", "SELECT count(*) AS rows, sum((n_nationkey % 5 = 1)::INT)::BIGINT AS explicit_region_matches, sum((n_nationkey % 5 > 1)::INT)::BIGINT AS unclassified_titles, sum((n_nationkey % 5 = 0)::INT)::BIGINT AS conflicting_titles, sum((n_nationkey % 5 = 0)::INT) = 0 AS valid FROM nation")
 def a7(spark, d):
     words = F.element_at(F.array(*map(F.lit, ["Japan", "EMEA", "x", "Masters", "Champions"])), F.col("n_nationkey") % 5 + 1)

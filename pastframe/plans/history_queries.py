@@ -389,7 +389,7 @@ LATE = ["player_rating_last_5", "player_rating_long_term", "team_rating_last_5",
 
 @query(
     "late_rows_rerun",
-    "SELECT f.player_id, f.match_id, f.map, " + ", ".join(f"round({c}::DOUBLE, 3) AS {c}" for c in LATE) + " FROM (" + with_fact("SELECT player_id, match_id, map, team_id FROM fact") + ") f "
+    "SELECT f.player_id, f.match_id, f.map, " + ", ".join(f"round({c}::DOUBLE, 4) AS {c}" for c in LATE) + " FROM (" + with_fact("SELECT player_id, match_id, map, team_id FROM fact") + ") f "
     + " ".join(f"LEFT JOIN ({ORACLE_SQL[n]}) p{i} ON p{i}.match_id = f.match_id AND p{i}.map = f.map AND " + (f"p{i}.team_id = f.team_id" if n in OF_TEAM else f"p{i}.player_id = f.player_id") for i, (n, cs) in enumerate(PARTS) if set(cs) & set(LATE)),
 )
 def late(spark, d):
@@ -403,4 +403,4 @@ def late(spark, d):
     month(features.build_features(before)).write.partitionBy("part").parquet(path)
     changes, now = rerun.change_set(before, rows), rerun.with_rows(before, rows)
     rerun.replace_rows(path, month(rerun.rerun_features(now, changes, spark.read.parquet(path))), changes, "part")
-    return spark.read.parquet(path).select(*KEY, *[F.round(c, 3).alias(c) for c in LATE])
+    return spark.read.parquet(path).select(*KEY, *[F.round(c, 4).alias(c) for c in LATE])

@@ -32,10 +32,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     ``rules`` has verdict, host, path. A rule fits its host and all subdomains
     when the url's path starts with the rule's. The longest host+path wins; of
     equally long ones the longer host, then ``block``. Rows that no rule fits
-    get a null rule and ``default``. Each distinct (host, path) is expanded only
-    into suffixes and prefixes of lengths that occur in the rules, joined with
-    them on the first digits of a digest, and confirmed on the whole digest. The
-    verdicts go back to the rows on a computed key, so that Spark may split the
+    get a null rule and ``default``. Each distinct (host, path) is expanded into
+    the suffixes of its host at dots and the prefixes of its path at slashes, joined on the first
+    digits of a digest with the folders that rules stand in, and confirmed on the whole
+    digest. A folder knows the lengths of its rules: the url's prefixes of these
+    are joined and confirmed in the same way. So the work for a url follows its labels and slashes, and what
+    its own folders hold, not the variety of the rules. The verdicts go back to the rows on a computed key, so that Spark may split the
     rows of a hot url, such as all null ones.
 
     Null or malformed urls: empty host and path, thus ``default``. Repeated rows
@@ -43,28 +45,40 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     ``pages`` named host, path, rule or verdict are replaced.
     """
     digest = lambda h, p: F.sha2(F.concat(h, F.lit("\n"), p), 256)
+    start = lambda c: F.substring(c, 1, PREFIX)
     r = rules.where("host is not null and path is not null").select(
         "verdict",
         F.concat("host", "path").alias("rule"),
         F.length("host").alias("hl"),
-        F.size(F.split("host", r"\.")).alias("labels"),
         F.length("path").alias("pl"),
+        "host",
+        F.regexp_extract("path", r"(?s)^(?:.*/)?", 0).alias("folder"),
         digest(F.col("host"), F.col("path")).alias("full"),
     )
-    r = r.withColumn("short", F.substring("full", 1, PREFIX))
-    # How many labels and characters rules have: two short lists of integers, however many rules there are.
-    sizes = r.agg(F.sort_array(F.collect_set("labels")), F.sort_array(F.collect_set("pl")), F.count("*")).first()
-    r = F.broadcast(r) if sizes[2] <= FEW else r
+    r = r.withColumn("short", start(F.col("full")))
+    # The most labels and slashes of a rule: two integers.
+    slashes = F.size(F.split("folder", "/"))
+    most = r.agg(F.max(F.size(F.split("host", r"\."))), F.max(slashes), F.count("*")).first()
+    # Lengths in a folder are at most as many as the characters of its longest rule.
+    folders = r.groupBy("host", "folder").agg(F.collect_set("pl").alias("lengths")).select(digest(F.col("host"), F.col("folder")).alias("key"), "lengths")
+    folders = folders.withColumn("short", start(F.col("key")))
+    best_rules = r.select("verdict", "rule", "hl", "full", "short")
+    if most[2] <= FEW:
+        folders, best_rules = F.broadcast(folders), F.broadcast(best_rules)
     host, path = split_url(F.col(url))
     kept = pages.drop("host", "path", "rule", "verdict")
     rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), host.alias("host"), path.alias("path"))
-    labels = F.split("host", r"\.")
-    suffixes = [F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in sizes[0]]
-    prefixes = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sizes[1]]
-    texts = F.array(*[digest(s, p) for s in suffixes for p in prefixes]) if sizes[0] else F.array().cast("array<string>")
-    asked = rows.select("host", "path").distinct()
-    tried = asked.select("host", "path", F.explode(F.array_compact(texts)).alias("digest"))
-    near = tried.withColumn("short", F.substring("digest", 1, PREFIX)).join(r, "short")
+    labels, parts = F.split("host", r"\."), F.split("path", "/")
+    up_to = lambda n, limit: F.sequence(F.lit(1), F.least(F.size(n), F.lit(limit or 1)))
+    suffixes = F.transform(up_to(labels, most[0]), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    prefixes = F.transform(up_to(parts, most[1]), lambda n: F.when(n > 1, F.concat(F.array_join(F.slice(parts, F.lit(1), n - 1), "/"), F.lit("/"))).otherwise(""))
+    tried = rows.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes)).withColumn("digest", F.explode(F.transform(prefixes, lambda p: digest(F.col("suffix"), p))))
+    known = tried.withColumn("short", start(F.col("digest"))).join(folders, "short")
+    # Joined on digits alone; a folder that only shares them has no lengths here.
+    sure = F.when(F.col("digest") == F.col("key"), F.col("lengths"))
+    exact = known.select("host", "path", "suffix", F.explode(F.filter(sure, lambda n: n <= F.length("path"))).alias("n"))
+    exact = exact.select("host", "path", digest(F.col("suffix"), F.expr("substring(path, 1, n)")).alias("digest"))
+    near = exact.withColumn("short", start(F.col("digest"))).join(best_rules, "short")
     # The whole digest is confirmed here: a rule that only shares the prefix has no order and can't be the best.
     order = F.when(F.col("digest") == F.col("full"), F.struct(F.length("rule"), F.col("hl"), (F.col("verdict") == "block").cast("int")))
     best = near.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best")).where("best is not null")

@@ -44,6 +44,23 @@ def test_urls_equal_brute_force(spark, monkeypatch, prefix):
         assert (rule, verdict) == want, u
 
 
+def test_urls_against_many_rules_of_many_lengths(spark):
+    """Ten thousand rules whose paths have 200 lengths: the plan doesn't grow with them."""
+    r = random.Random(6)
+    tail = lambda n: "".join(r.choices("ab/", k=n))
+    rules = list({(h, p): (r.choice(["allow", "block"]), h, p) for h, p in ((f"h{r.randint(0, 40)}.net", "/" + tail(r.randint(0, 6)) + "x" * r.randint(0, 200)) for _ in range(10_000))}.values())
+    assert len({len(p) for _, _, p in rules}) > 200
+    of = {}
+    for v, h, p in rules:
+        of.setdefault(h, []).append((len(h + p), len(h), v == "block", h + p, v, p))
+    urls = [f"x://w.h{r.randint(0, 44)}.net/{tail(r.randint(0, 6))}{'x' * r.randint(0, 220)}" for _ in range(500)]
+    for u, (host, path, rule, verdict) in zip(urls, judge(spark, urls, rules), strict=True):
+        fits = [f for f in of.get(host.removeprefix("w."), []) if path.startswith(f[5])]
+        assert (rule, verdict) == (max(fits)[3:5] if fits else (None, "allow")), u
+    size = lambda n: url_filter.judge_urls(spark.createDataFrame([(1, urls[0])], "page_id long, url string"), spark.createDataFrame(rules[:n], RULES))._jdf.queryExecution().optimizedPlan().toString().count("sha2")
+    assert size(10_000) == size(5)
+
+
 def test_urls_of_a_hot_key_and_clashing_names(spark):
     """Half of the rows have no url; the grouped side has an exchange of its own, so the hot key can be split, and the join is on digest prefixes."""
     rows = [(i, None if i % 2 else f"http://h{i}.example.com/en/{i}", i, i, i) for i in range(400)]

@@ -437,9 +437,10 @@ def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_i
     have a Jaccard similarity of ``similarity`` or more (A-Z lower-cased). Texts with
     equal sets are one node; other pairs are found by ``near_links``, which misses none.
 
-    Texts without words are one group. Rows with a null doc_id are kept as they
+    Texts without words (null, empty, blank) are one group. Rows with a null doc_id are kept as they
     are. Repeated rows of one doc_id that stays all stay. Returns the rows of
-    ``docs`` unchanged.
+    ``docs`` unchanged, with all their columns whatever these are called; an empty table stays empty. Of a
+    very long text a worker holds the hashes of all shingles, 8 bytes a word, a few times over.
     """
     have = docs.where(F.col(doc_id).isNotNull())
     texts = have.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))

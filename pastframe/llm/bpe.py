@@ -259,12 +259,17 @@ def unsure() -> re.Pattern:
     return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]")
 
 
+def known(text: str) -> bool:
+    """Whether Python's tables know all characters of a text. All below U+0378 are known to every version."""
+    return text.isascii() or max(text) < "\u0378" or not unsure().search(text)
+
+
 def word_pieces(v: Vocabulary, word: str) -> list[str | int]:
     """Pre-tokens of a stretch, and ids of special strings in it."""
-    split = lambda x: v.library_pieces(x) if x and not x.isascii() and unsure().search(x) else _words(x)
-    if len(parts := v.find_special.split(word)) > 1:
-        return [p for k, x in enumerate(parts) for p in ([v.special[x]] if k % 2 else split(x))]
-    return split(word)
+    if v.find_special.search(word):
+        parts = v.find_special.split(word)
+        return [p for k, x in enumerate(parts) for p in ([v.special[x]] if k % 2 else word_pieces(v, x))]
+    return _words(word) if known(word) else v.library_pieces(word)
 
 
 def byte_units(v: Vocabulary, text: str) -> list[str]:
@@ -276,4 +281,4 @@ def byte_units(v: Vocabulary, text: str) -> list[str]:
 
 
 def byte_pieces(v: Vocabulary, unit: str) -> list[str]:
-    return v.library_pieces(unit) if not unit.isascii() and unsure().search(unit) else _BYTE.findall(unit)
+    return _BYTE.findall(unit) if known(unit) else v.library_pieces(unit)

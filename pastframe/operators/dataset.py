@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import add_roles, match_timestamp, percent, ratio, stage_importance, to_number
+from ..sources.tables import write_bucketed
 from .dedup import keep_last
 from .elo import add_elo, rate_maps
 from .joins import many_to_one, other_side
@@ -13,6 +14,7 @@ from .joins import many_to_one, other_side
 # Names of the raw columns.
 NUMBERS = [f"{m}_{s}" for m in ("rating2", "acs", "kills", "deaths", "assists", "adr", "fb", "fd") for s in ("all", "t", "ct")]
 SHARES = [f"{m}_{s}" for m in ("kast", "hsp") for s in ("all", "t", "ct")]
+IDS = ["player_id", "match_id", "team_id", "team_1_id", "team_2_id"]
 REQUIRED = ["rating2_all", "acs_all", "kills_all", "deaths_all"]
 KEPT = [
     "player_name", "region", "player_id", "team", "team_id", "opponent_team", "opponent_team_id", "team_elo", "opponent_elo", "elo_gap",
@@ -31,7 +33,18 @@ def _renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def _whole(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: to_number(c).cast("long") for c in columns if c in df.columns})
+    """Columns as longs; those that are stay as they are, and so does a layout by them."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: to_number(c).cast("long") for c in columns if kinds.get(c, "bigint") != "bigint"})
+
+
+def stage_by_match(df: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """A raw table with whole ids, without rows that name no match, bucketed by match_id.
+
+    ``build_dataset`` over three such tables of equally many buckets dedups and joins them
+    without a shuffle (see ``write_bucketed``), however often it runs.
+    """
+    return write_bucketed(_whole(df, IDS).dropna(subset=["match_id"]), name, ["match_id"], buckets, path)
 
 
 def clean_players(players: DataFrame, order: list[str]) -> DataFrame:

@@ -77,10 +77,25 @@ FROM p JOIN t USING (l_orderkey, map) LEFT JOIN orders ON o_orderkey = l_orderke
 
 @query("f10_dataset_j1_j2", RAW_SQL)
 def f10(spark, d):
-    out = dataset.build_dataset(*_raw(spark, d), ORDERS, elo=False)
+    return f10_columns(dataset.build_dataset(*_raw(spark, d), ORDERS, elo=False))
+
+
+def f10_columns(out: DataFrame) -> DataFrame:
     return out.select(*KEY, "team_id", "opponent_team_id", "opponent_team", "map_winner", "role", "event_id", "match_importance", "rating2_all", F.round("kast_all", 4).alias("kast_all"), F.round("kda_all", 4).alias("kda_all"), "ts")
 
 
+@query("io5_bucketed_dataset", RAW_SQL)
+def io5(spark, d):
+    """The same from raw tables that are staged in buckets of one match, in a session that lets them serve joins on more columns."""
+    own = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    run = uuid.uuid4().hex
+    staged = [dataset.stage_by_match(df, f"raw_{name}_{run}", f"{graph.shared_folder(spark)}/raw-{run}/{name}", 16) for df, name in zip(_raw(own, d), ORDERS, strict=True)]
+    return f10_columns(dataset.build_dataset(*staged, ORDERS, elo=False))
+
+
 @query("j7_dataset_with_elo")
 def j7(spark, d):
     return dataset.build_dataset(*_raw(spark, d), ORDERS).select(*KEY, *[F.round(c, 4).alias(c) for c in ("team_elo", "opponent_elo", "elo_gap")])

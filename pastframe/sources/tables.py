@@ -47,6 +47,20 @@ def write(df: DataFrame, path: str, format: str = "parquet", by: list[str] | Non
     (w.partitionBy(*by) if by else w).save(path)
 
 
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, path: str) -> DataFrame:
+    """The catalog table ``name`` over files in ``path``, hashed by ``keys`` into buckets and sorted within them; it is read back.
+
+    What groups, dedups or joins by the keys, or by more columns than them, then needs no
+    shuffle. One shuffle deals the rows here, so that each bucket is one sorted file; a key
+    of very many rows makes one large file. Joins on more columns than the keys are spared
+    only with ``spark.sql.requireAllClusterKeysForCoPartition`` off. Give tables that are
+    joined the same number of buckets, or multiples. A table of that name is replaced.
+    """
+    w = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet")
+    w.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def not_loaded(matches: DataFrame, loaded: DataFrame, key: str = "match_id") -> DataFrame:
     """Matches that an earlier run hasn't loaded."""
     return matches.join(loaded.select(key).distinct(), key, "left_anti")

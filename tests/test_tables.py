@@ -276,3 +276,28 @@ def test_gate_findings(spark):
     }
     assert tuple(audit.gate_status(found).first()) == ("failed", 7, 3)
     assert tuple(audit.gate_status(found.where("level = 'warning'")).first()) == ("passed", 0, 3)
+
+
+def test_bucketed_dataset_without_shuffle(spark, tmp_path):
+    """Three raw tables staged by match: dedup and both joins read them in place, with the rows of the plain job."""
+    from pastframe.operators import dataset
+
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    p = own.range(3000).selectExpr(
+        "id AS n", "concat('p', id % 40) AS name", "cast(id % 40 AS string) AS player_id", "cast(id % 2 AS string) AS team_id", "'jett' AS agent", "concat('m', id % 3) AS map",
+        "CASE WHEN id % 50 = 7 THEN 'x' WHEN id % 3 = 0 THEN '1' ELSE cast(id % 100 AS string) END AS match_id", "'1.5' AS rating2_all", "cast(id AS string) AS acs_all", "'3' AS kills_all", "'2' AS deaths_all", "'1' AS assists_all",
+    )
+    m = own.range(100).selectExpr("id AS match_id", "'2024-05-01' AS match_date", "'Playoffs' AS stage", "'Final' AS round")
+    t = own.range(300).selectExpr("id % 100 AS match_id", "concat('m', id % 3) AS map_name", "0L AS team_1_id", "1L AS team_2_id", "'A' AS team_1", "'B' AS team_2", "'A' AS map_winner")
+    orders = {"players": ["n"], "matches": ["match_date"], "maps": ["map_winner"]}
+    staged = [dataset.stage_by_match(df, f"staged_{k}", str(tmp_path / k), 8) for df, k in zip((p, m, t), orders, strict=True)]
+    got = dataset.build_dataset(*staged, orders, elo=False)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    want = dataset.build_dataset(p, m, t, orders, elo=False)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 400
+    for k in orders:
+        own.sql(f"DROP TABLE staged_{k}")

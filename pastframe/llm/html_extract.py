@@ -275,11 +275,12 @@ def deduce(tokens: pd.DataFrame) -> tuple[str, list[int], list[int], list[int]]
 
     - The content slot: from the outermost element down to the root element that holds
       MAJOR of the unlinked characters, up to the first ``article`` or ``main``, and back
-      up until it holds the pages' one ``h1``. Body itself is none.
+      up until it holds the pages' one ``h1`` (else ``h2``) that isn't the same on page after
+      page. Body itself is none.
     - Elements beside it, of the root or a valid class, go if LINKED of their characters
       are links, if AGAIN of them repeat on other pages (and clearly more than the
       content does), or if they hold less than BRIEF of the content's characters a page
-      and no ``h1``. What is long and fresh stays undecided: there its name settles it.
+      and no such heading. What is long and fresh stays undecided: there its name settles it.
     - In the content, loosely named elements of the root or a valid class go, and so do
       texts of the root class, and those of a valid class of tags and texts on half of the
       pages, unless they fill MOSTLY all of the pages that they are on.
@@ -347,8 +348,12 @@ def deduce(tokens: pd.DataFrame) -> tuple[str, list[int], list[int], list[int]]
         if fresh(best) <= 0 or fresh(best) < MAJOR * fresh(here):
             break
         here = best
-    if any(element[t] == "h1" for t in root):
-        while here not in titled and slot(up.get(here, 0)) in root:
+    usual = max(AGAIN, repeats(here) + AGAIN / 2)
+    heads = next(filter(None, ([t for t in root if element[t] == h and repeats(t) < usual] for h in ("h1", "h2"))), [])
+    above_heads = {x for t in heads for x in above(t, ())}
+    titled |= above_heads
+    if heads:
+        while here not in above_heads and slot(up.get(here, 0)) in root:
             here = slot(up[here])
     spine = above(here, ()) if element[here] not in ("html", "body") else []
     around, content = set(spine), spine[0] if spine else None

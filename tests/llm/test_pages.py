@@ -252,6 +252,18 @@ def test_texts_of_unnamed_slots_equal_brute_force(spark, share):
         assert want[:49] == [t for _, _, t in pages[:49]]
 
 
+@pytest.mark.parametrize("head", ["h1", "h2"])
+def test_heading_beside_the_text_is_kept(spark, head):
+    """The content slot holds the heading; a heading that all pages share doesn't count, and a form around the page does no harm."""
+    r = random.Random(7)
+    words = lambda n: " ".join("".join(r.choices("abcdef", k=5)) for _ in range(n))
+    pages = [(words(4), words(60), words(5)) for _ in range(12)]
+    html = "<html><body><form><div class='q'><h2>Latest</h2><p>{2}</p></div><div class='w'><{3} class='t'>{0}</{3}><div class='z'><p>{1}</p></div></div></form></body></html>"
+    rows = [(i, f"http://h.example/{i}", html.format(*p, head)) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{t} {x}" for i, (t, x, _) in enumerate(pages))
+
+
 def test_random_names_leave_texts_alone(spark):
     """Classes and ids replaced by random letters, host by host: hosts of three pages and more keep their texts."""
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")

@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest doc_id. Texts without words are one group; rows without a doc_id stay."""
-    return simhash_dedup.drop_near_copies(docs)
+    """One document of each group of near copies by SimHash and exact similarity: the smallest doc_id. Texts without words are one group; rows without a doc_id stay."""
+    return simhash_dedup.drop_simhash_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

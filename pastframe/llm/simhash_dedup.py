@@ -1,4 +1,4 @@
-"""SimHash near-dedup: tiled exact comparison of fingerprints by exclusive-or and bit counts; near copies by exact similarity."""
+"""SimHash near-dedup: tiled exact comparison of fingerprints by exclusive-or and bit counts; near copies by SimHash classes and exact similarity."""
 
 from __future__ import annotations
 
@@ -160,6 +160,15 @@ def quarter_tile(f: str):
     return sum((F.shiftleft(count(i).cast("int"), 5 * i) for i in range(1, 4)), count(0).cast("int"))
 
 
+def fingerprint_classes(prints: DataFrame) -> DataFrame:
+    """f0 and component_id, the smallest id reachable at 3 or fewer differing bits a step, of each distinct f0 of ``prints`` (id, f0)."""
+    nodes = durable(prints.groupBy("f0").agg(F.min("id").alias("id")))
+    found = links(nodes.where("id is not null").withColumn("tile", quarter_tile("f0")), QUARTER_STEPS, 3)
+    classes = components(found)
+    rooted = nodes.join(classes, nodes.id == classes.node, "left").select("f0", F.coalesce("root", "id").alias("component_id"))
+    return durable(rooted)
+
+
 def simhash_classes(docs: DataFrame, k: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex) and component_id for every row of ``docs``.
 
@@ -171,11 +180,8 @@ def simhash_classes(docs: DataFrame, k: int = 3, doc_id: str = "doc_id", text: s
     are ignored.
     """
     prints = durable(fingerprints(docs, k, 1, doc_id, text))
-    nodes = durable(prints.groupBy("f0").agg(F.min("doc_id").alias("id")))
-    found = links(nodes.where("id is not null").withColumn("tile", quarter_tile("f0")), QUARTER_STEPS, 3)
-    classes = components(found)
-    rooted = nodes.join(classes, nodes.id == classes.node, "left").select("f0", F.coalesce("root", "id").alias("component_id"))
-    return prints.join(durable(rooted), "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = fingerprint_classes(prints.select(F.col("doc_id").alias("id"), "f0"))
+    return prints.join(classes, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,16 +259,21 @@ def wide_bits(n: int) -> int:
 PRINT = ", ".join(f"p{j} long" for j in range(SKETCH // 64))
 
 
-def _sets(least: float, k: int, common):
-    """Of each text its shingle set's size, identity, sketches and rarest shingles, as many that two sets of similarity ``least`` can't but share one."""
+def _sets(least: float, k: int, common, bits_k: int | None = None):
+    """Of each text its shingle set's size, identity, sketches and rarest shingles, as many that two sets of similarity ``least`` can't but share one.
+
+    With ``bits_k`` also the SimHash of its shingles of so many words, as in ``fingerprints``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = common.value
         for b in batches:
-            n, s, p, wide, tokens = [], [], [], [], []
+            n, s, p, wide, tokens, f = [], [], [], [], [], []
             for t in b.column(1):
                 h = shingle_set(t.as_py(), k)
                 n.append(len(h))
+                if bits_k:
+                    f.append(majority(np.array([xxhash.xxh64_intdigest(x, SEED) for x in word_shingles(t.as_py(), bits_k)], np.uint64)))
                 s.append(xxhash.xxh3_128_digest(h.tobytes()))
                 p.append(sketch(h, SKETCH).view(np.int64))
                 wide.append(sketch(h, wide_bits(len(h))).tobytes() if 2 * len(h) > SKETCH else None)
@@ -275,7 +286,10 @@ def _sets(least: float, k: int, common):
             p = np.array(p, np.int64).reshape(-1, SKETCH // 64)
             cols = [pa.array(x) for x in (s[:, 0], s[:, 1], *(np.ascontiguousarray(c) for c in p.T))]
             cols += [pa.array(wide, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *cols], ["id", "n", "s0", "s1", *(f"p{j}" for j in range(SKETCH // 64)), "wide", "tokens"])
+            names = ["id", "n", "s0", "s1", *(f"p{j}" for j in range(SKETCH // 64)), "wide", "tokens"]
+            if bits_k:
+                cols, names = [*cols, pa.array(np.array(f, np.uint64).view(np.int64))], [*names, "f0"]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *cols], names)
 
     return run
 
@@ -361,15 +375,79 @@ def _with_text(pairs: DataFrame, side: str, texts: DataFrame, name: str) -> Data
     return left.join(right, [side, "copy"]).drop("copy")
 
 
-def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame | None:
-    """Links (a, b) between ids of ``nodes``, each confirmed, that join all pairs at ``similarity`` or more; None for no link.
+def joined(groups: list[tuple[DataFrame, float, bool]], texts: DataFrame, nodes: DataFrame, k: int, sure: DataFrame | None = None) -> DataFrame:
+    """Links (a, b), each confirmed, that join all pairs under one token at its group's similarity or more; ``sure``, links known before, are among them.
+
+    ``groups``: members, similarity, nearest. Members: token, m (its members), id, pos (shingles before the token), n and
+    the sketch, as ``settled`` gives them; they are removed when done. First each is checked with a few pivots of its token, which settles
+    groups of copies at some rows a member and token; in the end every pair that shares a
+    token, fits and is neither joined by confirmed links nor rejected is checked. With
+    nearest, for members of one token each, a member is checked first with only that
+    pivot whose sketch is nearest, and the pivots with each other.
+    """
+    prints = [f"p{j}" for j in range(SKETCH // 64)]
+    side = ["id", "n", "pos", *prints, "root"]
 
-    Texts whose shingle sets are that similar share one of their few rarest
+    def bits(x, y):
+        return sum((F.bit_count(F.col(x + p).bitwiseXOR(F.col(y + p))) for p in prints), F.lit(0))
+
+    def fits(x, y, similarity, apart):
+        """Whether sizes, places of the token and sketches allow two sets to be alike; a pair that it refuses under their first common token can't be."""
+        n, o = F.col(x + "n"), F.col(y + "n")
+        both = F.lit(similarity / (1 + similarity)) * (n + o) - 1e-6  # shingles that alike sets share, at least
+        left = F.least(n - F.col(x + "pos"), o - F.col(y + "pos"))
+        return (F.least(n, o) >= F.lit(similarity) * F.greatest(n, o)) & (left >= both) & (bits(x, y) <= F.lit(apart) * (n + o) + 1e-6)
+
+    ordered = lambda p, a, b: p.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    rares, checked = [members.withColumn("root", F.col("id")) for members, _, _ in groups], [None] * len(groups)
+    for last in (False, True):
+        for g, (_, similarity, nearest) in enumerate(groups):
+            rare, apart = rares[g], (1 - similarity) / (1 + similarity)  # share of both sets' elements that may be in one of them only
+            if last:
+                # Only tokens whose texts aren't all joined yet.
+                per = rare.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("roots"))
+                few = rare.join(per.where("roots > 1").withColumn("token", own_key("token")), "token", "left_semi")
+                blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+                part = F.pmod(F.xxhash64("id"), blocks).cast("int")
+                every = F.explode(F.sequence(F.lit(0), blocks - 1))
+                own = lambda x: F.struct(*side).alias(x)
+                left, right = few.select("token", part.alias("s"), every.alias("t"), own("x")), few.select("token", every.alias("s"), part.alias("t"), own("y"))
+                pairs = left.join(right, ["token", "s", "t"]).where("x.id < y.id and x.root <> y.root").where(fits("x.", "y.", similarity, apart))
+                pairs = ordered(pairs, "x.id", "y.id").join(checked[g], ["a", "b"], "left_anti")
+            else:
+                ps = F.array(*[F.min_by(F.struct(*side), F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)])
+                pivots = rare.groupBy("token").agg(ps.alias("ps")).withColumn("token", own_key("token"))
+                pairs = rare.join(pivots, "token").withColumn("p", F.explode("ps")).where("id <> p.id").where(fits("", "p.", similarity, apart))
+                if nearest:
+                    own = F.when(F.array_contains("ps.id", F.col("id")), F.col("p.id"))  # a pivot keeps all its pairs
+                    pairs = pairs.groupBy("id", own.alias("own")).agg(F.min(F.struct(bits("", "p.").alias("bits"), F.col("p.id").alias("id"))).alias("p"))
+                pairs = ordered(pairs, "id", "p.id")
+            pairs = settled(pairs)
+            wide = nodes.select("id", "n", "wide")
+            for end, x in (("a", "x"), ("b", "y")):
+                pairs = pairs.join(wide.select(F.col("id").alias(end), F.col("n").alias(f"n{x}"), F.col("wide").alias(x)), end)
+            pairs = settled(mapped(pairs.select("a", "b", F.expr("nx + ny"), "x", "y"), _possible(apart), "a long, b long").distinct())
+            checked[g] = pairs
+            held = _with_text(_with_text(pairs, "a", texts, "x"), "b", texts, "y")
+            new = settled(mapped(held.select("a", "b", "x", "y"), _alike(similarity, k), "a long, b long"))
+            sure = new if sure is None else sure.union(new)
+        if not last and not sure.isEmpty():
+            roots = durable(components(sure).select(F.col("node").alias("id"), F.col("root").alias("_root")))
+            for g, before in enumerate(rares):
+                rares[g] = settled(before.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("_root", "id")).drop("_root"))
+                discard(before)
+    for rare in rares:
+        discard(rare)
+    return sure
+
+
+def token_members(nodes: DataFrame) -> DataFrame:
+    """Members of the tokens of ``nodes``, as ``joined`` takes them.
+
+    Texts whose shingle sets are similar share one of their few rarest
     shingles, by any common order of shingles (prefix filter), so only texts under
     one token meet, and only where their first common token leaves enough shingles in
-    both to be alike (positional filter). First each is checked with a few pivots of its token, which settles
-    groups of copies at some rows a member and token; in the end every pair that shares a
-    token, fits and is neither joined by confirmed links nor rejected is checked.
+    both to be alike (positional filter).
     """
     rare = nodes.select("id", F.posexplode("tokens").alias("pos", "token"))
     # Counted by 32 bits of a token: who shares them by chance is found out below.
@@ -381,53 +459,48 @@ def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float) ->
         F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"), F.min(F.struct("id", "pos"))["pos"].alias("at")
     )
     one = sets.where("m > 1").groupBy("m", "x", "y").agg(F.min_by("token", "at").alias("token")).select(own_key("token").alias("token"), "m")
-    rare = settled(rare.join(one, "token").join(nodes.drop("s0", "s1", "wide", "tokens"), "id").withColumn("root", F.col("id")))
+    rare = settled(rare.join(one, "token").join(nodes.select("id", "n", *(f"p{j}" for j in range(SKETCH // 64))), "id"))
     discard(every_rare)
+    return rare
 
-    prints = [f"p{j}" for j in range(SKETCH // 64)]
-    side = ["id", "n", "pos", *prints]
-    apart = (1 - similarity) / (1 + similarity)  # share of both sets' elements that may be in one of them only
 
-    def fits(x, y):
-        """Whether sizes, places of the token and sketches allow two sets to be alike; a pair that it refuses under their first common token can't be."""
-        bits = sum((F.bit_count(F.col(x + p).bitwiseXOR(F.col(y + p))) for p in prints), F.lit(0))
-        n, o = F.col(x + "n"), F.col(y + "n")
-        both = F.lit(similarity / (1 + similarity)) * (n + o) - 1e-6  # shingles that alike sets share, at least
-        left = F.least(n - F.col(x + "pos"), o - F.col(y + "pos"))
-        return (F.least(n, o) >= F.lit(similarity) * F.greatest(n, o)) & (left >= both) & (bits <= F.lit(apart) * (n + o) + 1e-6)
+def class_members(nodes: DataFrame) -> DataFrame:
+    """Members of the SimHash classes of ``nodes`` (as in ``simhash_classes``: fingerprints at 3 or fewer differing bits a step), as ``joined`` takes them; a class is a token."""
+    member = nodes.join(fingerprint_classes(nodes.select("id", "f0")), "f0")
+    member = member.select(F.col("component_id").alias("token"), "id", F.lit(0).alias("pos"), "n", *(f"p{j}" for j in range(SKETCH // 64)))
+    often = member.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select(own_key("token").alias("token"), "m")
+    return settled(member.join(often, "token"))
 
-    ordered = lambda p, a, b: p.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    sure = checked = None
-    for last in (False, True):
-        if last:
-            # Only tokens whose texts aren't all joined yet.
-            per = rare.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("roots"))
-            rare = rare.join(per.where("roots > 1").withColumn("token", own_key("token")), "token", "left_semi")
-            blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-            part = F.pmod(F.xxhash64("id"), blocks).cast("int")
-            every = F.explode(F.sequence(F.lit(0), blocks - 1))
-            own = lambda x: F.struct(*side, "root").alias(x)
-            left, right = rare.select("token", part.alias("s"), every.alias("t"), own("x")), rare.select("token", every.alias("s"), part.alias("t"), own("y"))
-            pairs = ordered(left.join(right, ["token", "s", "t"]).where("x.id < y.id and x.root <> y.root").where(fits("x.", "y.")), "x.id", "y.id")
-        else:
-            ps = F.array(*[F.min_by(F.struct(*side), F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)])
-            pivots = rare.groupBy("token").agg(ps.alias("ps")).withColumn("token", own_key("token"))
-            pairs = rare.join(pivots, "token").withColumn("p", F.explode("ps")).where("id <> p.id")
-            pairs = ordered(pairs.where(fits("", "p.")), "id", "p.id")
-        pairs = settled(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
-        wide = nodes.select("id", "n", "wide")
-        for end, x in (("a", "x"), ("b", "y")):
-            pairs = pairs.join(wide.select(F.col("id").alias(end), F.col("n").alias(f"n{x}"), F.col("wide").alias(x)), end)
-        pairs = settled(mapped(pairs.select("a", "b", F.expr("nx + ny"), "x", "y"), _possible(apart), "a long, b long").distinct())
-        checked = pairs if checked is None else checked.union(pairs)
-        held = _with_text(_with_text(pairs, "a", texts, "x"), "b", texts, "y")
-        new = settled(mapped(held.select("a", "b", "x", "y"), _alike(similarity, k), "a long, b long"))
-        sure = new if sure is None else sure.union(new)
-        if not last and not new.isEmpty():
-            roots = components(sure).select(F.col("node").alias("id"), F.col("root").alias("_root"))
-            before, rare = rare, settled(rare.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("_root", "id")).drop("_root"))
-            discard(before)
-    return sure
+
+def near_links(texts: DataFrame, nodes: DataFrame, k: int, similarity: float, likeness: float | None = None) -> DataFrame:
+    """Links (a, b) between ids of ``nodes``, each confirmed, that join all pairs at ``similarity`` or more.
+
+    With ``likeness`` SimHash comes first: what a class holds is joined as far as it is alike by ``likeness``
+    or more. A shingle of over half of a text sets all its bits, and two shingles set few, so unlike texts may
+    share a class. Equal sets of different fingerprints are joined in any class.
+    """
+    if likeness is None:
+        return joined([(token_members(nodes), similarity, False)], texts, nodes, k)
+    low = nodes.groupBy("s0", "s1", "n").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
+    equal = settled(nodes.select("s0", "s1", "n", F.col("id").alias("a")).join(low, ["s0", "s1", "n"]).where("a <> b").select("a", "b"))
+    return joined([(class_members(nodes), likeness, True), (token_members(nodes), similarity, False)], texts, nodes, k, equal)
+
+
+def _first_of_groups(docs: DataFrame, k: int, similarity: float, likeness: float | None, doc_id: str, text: str) -> DataFrame:
+    have = docs.where(F.col(doc_id).isNotNull())
+    texts = have.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, k))
+    schema = f"id long, n long, s0 long, s1 long, {PRINT}, wide binary, tokens array<long>"
+    one = ["s0", "s1", "n"]
+    if likeness is not None:
+        schema, one = f"{schema}, f0 long", [*one, "f0"]
+    prints = mapped(texts, _sets(similarity, k, common, None if likeness is None else 3), schema)
+    equal = [F.first(c).alias(c) for c in prints.columns[4:] if c not in one]  # in a group of one identity
+    nodes = durable(prints.groupBy(*one).agg(F.min("id").alias("id"), *equal))
+    sure = near_links(texts, nodes, k, similarity, likeness)
+    stay = nodes.select("id").distinct().join(components(sure).where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
+    keep = durable(stay.select(F.col("id").alias(doc_id)))
+    return have.join(keep, doc_id, "left_semi").unionByName(docs.where(F.col(doc_id).isNull())).select(docs.columns)
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -442,15 +515,16 @@ def drop_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, doc_i
     ``docs`` unchanged, with all their columns whatever these are called; an empty table stays empty. Of a
     very long text a worker holds the hashes of all shingles, 8 bytes a word, a few times over.
     """
-    have = docs.where(F.col(doc_id).isNotNull())
-    texts = have.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, k))
-    prints = mapped(texts, _sets(similarity, k, common), f"id long, n long, s0 long, s1 long, {PRINT}, wide binary, tokens array<long>")
-    equal = [F.first(c).alias(c) for c in prints.columns[4:]]  # in a group of one identity
-    nodes = durable(prints.groupBy("s0", "s1", "n").agg(F.min("id").alias("id"), *equal))
-    sure = near_links(texts, nodes, k, similarity)
-    stay = nodes.select("id").distinct()
-    if sure is not None:
-        stay = stay.join(components(sure).where("node <> root").select(F.col("node").alias("id")), "id", "left_anti")
-    keep = durable(stay.select(F.col("id").alias(doc_id)))
-    return have.join(keep, doc_id, "left_semi").unionByName(docs.where(F.col(doc_id).isNull())).select(docs.columns)
+    return _first_of_groups(docs, k, similarity, None, doc_id, text)
+
+
+def drop_simhash_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, likeness: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Keep of each group of near-duplicate documents the one with the smallest doc_id; groups by SimHash, then by exact similarity.
+
+    Texts of one SimHash class (``simhash_classes``) are one group as far as an exact check
+    lets them: the members whose sets of k-word shingles have a Jaccard similarity of
+    ``likeness`` or more are linked. What is as similar as ``similarity`` is linked whatever its
+    fingerprints are, as in ``drop_near_copies``. Groups are the connected components of both
+    kinds of links. Nulls, repeated rows, columns and memory are as there.
+    """
+    return _first_of_groups(docs, k, similarity, likeness, doc_id, text)

@@ -3,6 +3,7 @@ import re
 import time
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -269,3 +270,53 @@ def test_near_copies_of_one_loud_shingle(spark):
     rows = [(1, "ha " * 8 + "red green blue"), (2, "ha " * 8 + "one two three"), (3, "Ha " * 8 + "one two three")]
     assert near_roots(rows) == {1, 2}
     assert kept_of(spark, rows) == {1, 2}
+
+
+def simhash_roots(rows):
+    """Smallest ids of the groups by SimHash class and exact similarity, from all pairs; and of those by exact similarity alone."""
+    s, prints = {i: set(shingles(t, 5)) for i, t in rows}, {}
+    for i, t in rows:
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles(t, 3)]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    classes, sets, alone = Sets(s), Sets(s), Sets(s)
+    pairs = [(a, b) for a in s for b in s if a < b]
+    for a, b in pairs:
+        if (prints[a] ^ prints[b]).bit_count() <= 3:
+            classes.join(a, b)
+    for a, b in pairs:
+        both = len(s[a] & s[b]) / len(s[a] | s[b]) if s[a] | s[b] else 1
+        if both >= 0.8:
+            alone.join(a, b)
+        if both >= 0.8 or both >= 0.5 and classes.find(a) == classes.find(b):
+            sets.join(a, b)
+    return {sets.find(i) for i in s}, {alone.find(i) for i in s}
+
+
+def test_simhash_copies_equal_brute_force(spark):
+    """The pipeline's near dedup goes by SimHash classes, checked, and by exact similarity beyond them."""
+    r = random.Random(33)
+    texts = [t for _, t in corpus(4, 60)]
+    for b in range(12):
+        base = [f"b{b}w{i}" for i in range(r.randint(20, 240))]
+        for _ in range(14):
+            w = list(base)
+            for p in r.sample(range(len(w)), r.randint(0, len(w) // 20)):
+                w[p] = f"x{r.random()}"
+            texts.append(" ".join(w))
+        texts.append(" ".join(base + base[:15] * r.randint(1, 6)))  # the same set but for a seam, another fingerprint
+    texts += ["ha " * 8 + t for t in ("red green blue", "one two three", "ONE two three", "some more words")]
+    rows = list(enumerate(texts))
+    want, alone = simhash_roots(rows)
+    loud = [i for i, t in rows if (t or "").startswith("ha ha")]
+    assert want < alone and {loud[0], loud[1], loud[3]} <= want and loud[2] not in want
+    kept = {x.doc_id for x in corpus_pipeline.distinct(spark, frame(spark, [(i, t, "s") for i, t in rows]), "").collect()}
+    assert kept == want
+
+
+def test_simhash_copies_with_equal_sets_and_nulls(spark):
+    """Rows of one set but other repeats are one group, texts without words another; rows without an id and repeats of a kept row stay."""
+    part = " ".join(f"w{i % 40}" for i in range(400))
+    rows = [(5, part, "s"), (3, part + " " + " ".join(f"w{i}" for i in range(40)), "s"), (7, None, "s"), (8, " \n", "s"), (None, part, "s"), (3, part + " " + " ".join(f"w{i}" for i in range(40)), "s")]
+    out = corpus_pipeline.distinct(spark, frame(spark, rows), "")
+    assert sorted((x.doc_id or 0) for x in out.collect()) == [0, 3, 3, 7] and out.columns == frame(spark, rows).columns
+    assert corpus_pipeline.distinct(spark, frame(spark, []), "").count() == 0

@@ -294,24 +294,25 @@ def _sets(least: float, k: int, common, bits_k: int | None = None):
     return run
 
 
-def _possible(apart: float):
-    """Pairs whose wide sketches allow them to be alike; the wider one of two is folded."""
+def apart(least: float) -> float:
+    """Of two sets of similarity ``least``, the share of both sets' elements that may be in one of them only."""
+    return (1 - least) / (1 + least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for n, x, y in zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
-                if x.is_valid and y.is_valid:
-                    x, y = (np.frombuffer(z.as_buffer(), np.uint8) for z in (x, y))
-                    while len(x) != len(y):
-                        x, y = sorted((x, y), key=len)
-                        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                    keep.append(int(np.bitwise_count(x ^ y).sum()) <= apart * n + 1e-6)
-                else:
-                    keep.append(True)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose wide sketches allow them to be alike; the wider one of two is folded."""
+    for b in batches:
+        keep = []
+        for least, n, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+            if x.is_valid and y.is_valid:
+                x, y = (np.frombuffer(z.as_buffer(), np.uint8) for z in (x, y))
+                while len(x) != len(y):
+                    x, y = sorted((x, y), key=len)
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= apart(least) * n + 1e-6)
+            else:
+                keep.append(True)
+        yield b.select(["a", "b", "least"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _tokens(k: int):
@@ -323,7 +324,7 @@ def _tokens(k: int):
     return run
 
 
-def _alike(least: float, k: int):
+def _alike(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, np.ndarray] = {}
         held = 0
@@ -341,7 +342,7 @@ def _alike(least: float, k: int):
 
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
+            for least, x, y in zip(b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
                 s, t = shingles(x), shingles(y)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(both >= least * (len(s) + len(t) - both))
@@ -381,7 +382,8 @@ def joined(groups: list[tuple[DataFrame, float, bool]], texts: DataFrame, nodes:
     ``groups``: members, similarity, nearest. Members: token, m (its members), id, pos (shingles before the token), n and
     the sketch, as ``settled`` gives them; they are removed when done. First each is checked with a few pivots of its token, which settles
     groups of copies at some rows a member and token; in the end every pair that shares a
-    token, fits and is neither joined by confirmed links nor rejected is checked. With
+    token, fits and is neither joined by confirmed links nor rejected is checked. The pairs of all groups
+    are checked at once, one of several groups at its least similarity. With
     nearest, for members of one token each, a member is checked first with only that
     pivot whose sketch is nearest, and the pivots with each other.
     """
@@ -391,18 +393,17 @@ def joined(groups: list[tuple[DataFrame, float, bool]], texts: DataFrame, nodes:
     def bits(x, y):
         return sum((F.bit_count(F.col(x + p).bitwiseXOR(F.col(y + p))) for p in prints), F.lit(0))
 
-    def fits(x, y, similarity, apart):
+    def fits(x, y, similarity):
         """Whether sizes, places of the token and sketches allow two sets to be alike; a pair that it refuses under their first common token can't be."""
         n, o = F.col(x + "n"), F.col(y + "n")
         both = F.lit(similarity / (1 + similarity)) * (n + o) - 1e-6  # shingles that alike sets share, at least
         left = F.least(n - F.col(x + "pos"), o - F.col(y + "pos"))
-        return (F.least(n, o) >= F.lit(similarity) * F.greatest(n, o)) & (left >= both) & (bits(x, y) <= F.lit(apart) * (n + o) + 1e-6)
+        return (F.least(n, o) >= F.lit(similarity) * F.greatest(n, o)) & (left >= both) & (bits(x, y) <= F.lit(apart(similarity)) * (n + o) + 1e-6)
 
-    ordered = lambda p, a, b: p.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    rares, checked = [members.withColumn("root", F.col("id")) for members, _, _ in groups], [None] * len(groups)
+    rares, checked = [members.withColumn("root", F.col("id")) for members, _, _ in groups], None
     for last in (False, True):
-        for g, (_, similarity, nearest) in enumerate(groups):
-            rare, apart = rares[g], (1 - similarity) / (1 + similarity)  # share of both sets' elements that may be in one of them only
+        pairs = None
+        for rare, (_, similarity, nearest) in zip(rares, groups, strict=True):
             if last:
                 # Only tokens whose texts aren't all joined yet.
                 per = rare.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("roots"))
@@ -412,25 +413,31 @@ def joined(groups: list[tuple[DataFrame, float, bool]], texts: DataFrame, nodes:
                 every = F.explode(F.sequence(F.lit(0), blocks - 1))
                 own = lambda x: F.struct(*side).alias(x)
                 left, right = few.select("token", part.alias("s"), every.alias("t"), own("x")), few.select("token", every.alias("s"), part.alias("t"), own("y"))
-                pairs = left.join(right, ["token", "s", "t"]).where("x.id < y.id and x.root <> y.root").where(fits("x.", "y.", similarity, apart))
-                pairs = ordered(pairs, "x.id", "y.id").join(checked[g], ["a", "b"], "left_anti")
+                met = left.join(right, ["token", "s", "t"]).where("x.id < y.id and x.root <> y.root").where(fits("x.", "y.", similarity))
+                x, y = "x.id", "y.id"
             else:
                 ps = F.array(*[F.min_by(F.struct(*side), F.xxhash64("id", F.lit(i))) for i in range(PIVOTS)])
                 pivots = rare.groupBy("token").agg(ps.alias("ps")).withColumn("token", own_key("token"))
-                pairs = rare.join(pivots, "token").withColumn("p", F.explode("ps")).where("id <> p.id").where(fits("", "p.", similarity, apart))
+                met = rare.join(pivots, "token").withColumn("p", F.explode("ps")).where("id <> p.id").where(fits("", "p.", similarity))
                 if nearest:
                     own = F.when(F.array_contains("ps.id", F.col("id")), F.col("p.id"))  # a pivot keeps all its pairs
-                    pairs = pairs.groupBy("id", own.alias("own")).agg(F.min(F.struct(bits("", "p.").alias("bits"), F.col("p.id").alias("id"))).alias("p"))
-                pairs = ordered(pairs, "id", "p.id")
-            pairs = settled(pairs)
-            wide = nodes.select("id", "n", "wide")
-            for end, x in (("a", "x"), ("b", "y")):
-                pairs = pairs.join(wide.select(F.col("id").alias(end), F.col("n").alias(f"n{x}"), F.col("wide").alias(x)), end)
-            pairs = settled(mapped(pairs.select("a", "b", F.expr("nx + ny"), "x", "y"), _possible(apart), "a long, b long").distinct())
-            checked[g] = pairs
-            held = _with_text(_with_text(pairs, "a", texts, "x"), "b", texts, "y")
-            new = settled(mapped(held.select("a", "b", "x", "y"), _alike(similarity, k), "a long, b long"))
-            sure = new if sure is None else sure.union(new)
+                    met = met.groupBy("id", own.alias("own")).agg(F.min(F.struct(bits("", "p.").alias("bits"), F.col("p.id").alias("id"))).alias("p"))
+                x, y = "id", "p.id"
+            met = met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.lit(similarity).alias("least"))
+            pairs = met if pairs is None else pairs.union(met)
+        pairs = pairs.groupBy("a", "b").agg(F.min("least").alias("least"))
+        if checked is not None:
+            was = checked.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("least").alias("at"))
+            pairs = pairs.join(was, F.expr("a = c and b = d and at <= least"), "left_anti")
+        pairs = settled(pairs)
+        wide = nodes.select("id", "n", "wide")
+        for end, x in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(wide.select(F.col("id").alias(end), F.col("n").alias(f"n{x}"), F.col("wide").alias(x)), end)
+        pairs = mapped(pairs.select("a", "b", "least", F.expr("nx + ny"), "x", "y"), _possible, "a long, b long, least double")
+        checked = settled(pairs.distinct())
+        held = _with_text(_with_text(checked, "a", texts, "x"), "b", texts, "y")
+        new = settled(mapped(held.select("a", "b", "least", "x", "y"), _alike(k), "a long, b long"))
+        sure = new if sure is None else sure.union(new)
         if not last and not sure.isEmpty():
             roots = durable(components(sure).select(F.col("node").alias("id"), F.col("root").alias("_root")))
             for g, before in enumerate(rares):

@@ -240,6 +240,39 @@ def test_components_of_chains_and_hubs(spark, n):
     assert got == {i: 100 for i in range(100, 101 + n)} | {i: 7 for i in (7, *range(500, 500 + n))}
 
 
+def test_components_in_one_round(spark):
+    """Links of a task are joined before any shuffle, so chains that fit a task need no rounds of their own."""
+    links = [(i + 1, i) for i in range(300)] + [(i, 5000 + i % 7) for i in range(-40, 0)]
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(links, "a long, b long").coalesce(1), rounds=1).collect()}
+    assert got == {i: 0 for i in range(301)} | {x: r - 40 for r in range(7) for x in (5000 + (r - 40) % 7, *range(r - 40, 0, 7))}
+
+
+def test_components_of_many_tasks(spark, monkeypatch):
+    """Links of one component in many tasks, with copies, ids of both signs and links of a node to itself."""
+    monkeypatch.setattr(common, "LINKS", 50)
+    r = random.Random(8)
+    links = [(r.randint(-300, 300), r.randint(-300, 300)) for _ in range(250)] + [(-400 + i, -401 + i) for i in range(90)]
+    links += links[:60] + [(999, 999)]
+    sets = Sets(range(-500, 1000))
+    for a, b in links:
+        sets.join(a, b)
+    got = {x.node: x.root for x in common.components(spark.createDataFrame(links, "a long, b long").repartition(9)).collect()}
+    assert got == {x: sets.find(x) for a, b in links if a != b for x in (a, b)}
+
+
+def test_simhash_copies_in_few_jobs(spark):
+    """The driver holds something of every job, so both groupings share their checks and components settle in few rounds."""
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base[:p] + [f"x{i}"] + base[p + 1 :]), "s") for i, p in enumerate(range(0, 80, 2))]
+    spark.sparkContext.setJobGroup("near", "near")
+    try:
+        assert [x.doc_id for x in corpus_pipeline.distinct(spark, frame(spark, rows), "").collect()] == [0]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near"))
+    assert jobs <= 220
+
+
 def test_forest_spans():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 50, 400), r.integers(0, 50, 400)

@@ -43,7 +43,7 @@ def mapped(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` in batches of BATCH rows, where the session sets no size: a batch of whole texts is held by the JVM and by the worker.
 
     Workers live on from stage to stage; one that comes to another operator forgets
-    what the last one remembered.
+    what the last one remembered. Arrow memory that a task has freed goes back to the system.
     """
     owner = run.__module__
 
@@ -51,7 +51,10 @@ def mapped(df: DataFrame, run, schema: str | StructType) -> DataFrame:
         for name, forget in REMEMBERED.items():
             if name != owner:
                 forget()
-        yield from run(batches)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
 
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(key, None) is None:
@@ -122,7 +125,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     within = lambda df: durable(mapped(df, _stars, "u long, v long"))
     state = lambda df: df.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    e = within(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"))
+    # Without Python here: behind Python in one stage it would take a second worker a task, and executors keep their workers.
+    e = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"))
     size = e.count()
     for _ in range(rounds):
         e = within(e.coalesce(max(1, math.ceil(size / LINKS))))

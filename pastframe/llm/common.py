@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import tempfile
@@ -39,22 +40,40 @@ def shared_folder(spark: SparkSession) -> str:
 REMEMBERED: dict[str, Callable[[], None]] = {}
 
 
+def forget_others(owner: str) -> None:
+    """Forget what other operators than ``owner`` remember in this worker.
+
+    A function of the module, as workers import it: what a task's own code names is copied to
+    the worker, and of the copy of an operator's memory nothing would be forgotten.
+    """
+    for name, forget in REMEMBERED.items():
+        if name != owner:
+            forget()
+
+
+def give_back() -> None:
+    """Freed memory of Arrow and, where the C library can, of numpy and Python goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def mapped(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` in batches of BATCH rows, where the session sets no size: a batch of whole texts is held by the JVM and by the worker.
 
     Workers live on from stage to stage; one that comes to another operator forgets
-    what the last one remembered. Arrow memory that a task has freed goes back to the system.
+    what the last one remembered. Memory that a task has freed goes back to the system, before it too, as what was
+    forgotten may be the last operator's.
     """
     owner = run.__module__
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, forget in REMEMBERED.items():
-            if name != owner:
-                forget()
+        forget_others(owner)
+        give_back()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(key, None) is None:

@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import REMEMBERED, mapped, table
+from .common import REMEMBERED, give_back, mapped, table
 from .tokens import WORDS, slices, vocabulary_path
 
 WINDOW = 4096
 TIERS = (4096, 2048, 1024, 512)  # context sizes, longest first, each a power of two
 BLOCK = 4_000_000  # tokens packed together
 STEP = 1 << 17  # tokens of a step group
+CHARS = 1 << 19  # characters encoded at once in a task
 END = 2
 SPECIAL = " "  # before a special string's id in place of a pre-token, which holds no blank
 
@@ -103,6 +104,11 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int,
     return out
 
 
+def own_copy(keys: pa.Array) -> pa.Array:
+    """The same values in memory of their own. A batch from Spark is one piece of memory: its keys would keep its texts."""
+    return keys.take(pa.array(np.arange(len(keys))))
+
+
 def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_id.
 
@@ -138,15 +144,16 @@ def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(spec.value)
         task, number, held = TaskContext.get().partitionId(), 0, ([], [], [])
-        for keys, texts in slices(batches):
+        for keys, texts in slices(batches, CHARS):
             ids, n = coder.encode(texts)
             ends = np.cumsum(n)
             ids = np.insert(ids, ends, END)
-            for x, y in zip(held, (keys, ids, n + 1), strict=True):
+            for x, y in zip(held, (own_copy(keys), ids, n + 1), strict=True):
                 x.append(y)
             if sum(map(len, held[1])) >= BLOCK:
                 yield block(task, number, *held)
                 number, held = number + 1, ([], [], [])
+                give_back()
         if held[0]:
             yield block(task, number, *held)
 

@@ -103,14 +103,14 @@ def _forget() -> None:
 REMEMBERED[__name__] = _forget
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Ids and texts (null: empty) of a bounded number of characters at once."""
+def slices(batches: Iterator[pa.RecordBatch], most: int = CHARS) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts (null: empty) of a bounded number of characters at once, ``most`` and the rest of the last text."""
     for b in batches:
         lo, chars, texts = 0, 0, []
         for i, t in enumerate(b.column(1)):
             texts.append(t.as_py() or "")
             chars += len(texts[-1])
-            if chars >= CHARS or i + 1 == b.num_rows:
+            if chars >= most or i + 1 == b.num_rows:
                 yield b.column(0).slice(lo, i + 1 - lo), texts
                 lo, chars, texts = i + 1, 0, []
 

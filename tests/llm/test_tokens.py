@@ -1,9 +1,15 @@
 import hashlib
+import io
+import pickle
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pastframe.llm import bpe, packing, tokens
+from pastframe.llm import bpe, common, packing, simhash_dedup, tokens
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 PIECES = [
@@ -151,3 +157,45 @@ def test_empty_table(spark):
     assert tokens.encode_documents(e, tokens.vocabulary_path("byte_bpe_50k.json")).count() == 0
     assert tokens.count_tokens(e, tokens.vocabulary_path("word_bpe_49k.json")).count() == 0
     assert packing.pack_documents(e, tokens.vocabulary_path("word_bpe_49k.json")).count() == 0
+
+
+def test_a_block_that_is_packed_keeps_no_texts(spark, monkeypatch):
+    """Batches come as Spark sends them, each in one piece of memory; a block of them holds ids, not their texts."""
+    kept = []
+    monkeypatch.setattr(packing, "mapped", lambda df, run, schema: kept.append(run))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), tokens.vocabulary_path("word_bpe_49k.json"))
+    sink, n, blank = io.BytesIO(), 40, " " * 250_000
+    rows = [pa.record_batch([pa.array([k or None], pa.int64()), pa.array(["a" + blank])], ["doc_id", "text"]) for k in range(n)]
+    with pa.ipc.new_stream(sink, rows[0].schema) as out:
+        for b in rows:
+            out.write_batch(b)
+    sink.seek(0)
+    held = []
+
+    def batches():
+        for b in pa.ipc.open_stream(sink):
+            held.append(tracemalloc.get_traced_memory()[0])
+            yield b
+
+    packing.encoder(open(tokens.vocabulary_path("word_bpe_49k.json")).read()).encode(["a"])
+    tracemalloc.start()
+    try:
+        (packed,) = kept[0](batches())
+    finally:
+        tracemalloc.stop()
+    assert sorted(packed.column(0).to_pylist(), key=lambda x: x or 0) == [None, *range(1, n)]
+    assert len(held) == n and held[-1] - held[2] < 10 * len(blank)
+
+
+def _nothing(batches):
+    yield from ()
+
+
+def test_a_task_forgets_what_its_worker_remembers_for_others():
+    """As a worker gets it: pickled. A copy of an operator's memory would be emptied in its place."""
+    df = SimpleNamespace(sparkSession=SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "1")), mapInArrow=lambda task, _: task)
+    task = pickle.loads(cloudpickle.dumps(common.mapped(df, _nothing, "a long")))
+    simhash_dedup._words[b"word"]
+    assert len(simhash_dedup._words)
+    assert list(task(iter(()))) == [] and not simhash_dedup._words

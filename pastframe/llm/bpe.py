@@ -6,16 +6,19 @@ import json
 import re
 import sys
 import unicodedata
+from collections import defaultdict
 from collections.abc import Callable
 from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import pairwise
+from itertools import count, islice, pairwise
 
 import numpy as np
 import regex
 
 #: White space of Unicode; Python's own also splits at 1C to 1F.
 WHITE = "\t-\r \x85\xa0  -     　"
+WIDE = f"[{WHITE[WHITE.index('\x85') :]}]"  # what of it is not ASCII
+TOGETHER = 256  # words split at once into pre-tokens
 _SPLIT = re.compile(f"[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -24,6 +27,7 @@ BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
     r"\S", f"[^{WHITE}]"
 )
 BYTE_LEVEL = BYTE_LEVEL.replace(f"[^[{WHITE}]", f"[^{WHITE}")
+BREAK = "\n"
 WORD_LEVEL = rf"""'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"""
 
 
@@ -159,17 +163,11 @@ class RankMerger:
         return out
 
 
-class _Codes(dict):
-    """Text to code; texts that have none get the next one and are noted."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, text: str) -> int:
-        code = self[text] = len(self)
-        self.new.append(text)
-        return code
+def _numbered(texts: list[str]) -> defaultdict[str, int]:
+    """Text to code; texts that have none get the next one."""
+    out = defaultdict(count(len(texts)).__next__)
+    out.update(zip(texts, range(len(texts)), strict=True))
+    return out
 
 
 class Lexicon:
@@ -182,7 +180,7 @@ class Lexicon:
 
     def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int, kind: type = np.int32):
         self.make, self.limit = make, limit
-        self.codes_of, self.seen = _Codes(), np.zeros(0, np.int64)
+        self.codes_of, self.seen = _numbered([]), np.zeros(0, np.int64)
         self.flat, self.size = np.zeros(0, kind), np.zeros(0, np.int64)
         self.start = self.size
 
@@ -192,10 +190,7 @@ class Lexicon:
         texts = list(self.codes_of)
         flat = self.pieces(kept) if len(self.flat) else self.flat  # counts alone have no numbers
         size, seen = self.size[kept], self.seen[kept] // 2
-        self.codes_of = _Codes()
-        for k in kept.tolist():
-            self.codes_of[texts[k]]  # noqa: B018  takes the next code
-        self.codes_of.new.clear()
+        self.codes_of = _numbered([texts[k] for k in kept.tolist()])
         self.flat, self.size, self.seen = flat, size, seen
         self.start = np.cumsum(size) - size
 
@@ -203,13 +198,13 @@ class Lexicon:
         """The codes of texts; they hold until the next call."""
         if len(self.codes_of) > self.limit:
             self._shrink()
+        known = len(self.codes_of)
         out = np.fromiter(map(self.codes_of.__getitem__, texts), np.int64, len(texts))
-        if new := self.codes_of.new:
-            flat, size = self.make(new)
-            new.clear()
+        if new := list(islice(reversed(self.codes_of), len(self.codes_of) - known)):
+            flat, size = self.make(new[::-1])
             self.flat, self.size = np.concatenate((self.flat, flat)).astype(self.flat.dtype), np.concatenate((self.size, size))
             self.start = np.cumsum(self.size) - self.size
-            self.seen = np.concatenate((self.seen, np.zeros(len(size), np.int64)))
+            self.seen = np.concatenate((self.seen, np.zeros(len(new), np.int64)))
         self.seen += np.bincount(out, minlength=len(self.seen))
         return out
 
@@ -238,6 +233,7 @@ def words_of(text: str) -> list[str]:
 
 
 _WORD = regex.compile(WORD_LEVEL)
+_LINES = regex.compile(rf"\p{{L}}+|{BREAK}|{WORD_LEVEL}")  # the same pre-tokens, and breaks
 _BYTE = regex.compile(BYTE_LEVEL)
 
 
@@ -272,6 +268,19 @@ def word_pieces(v: Vocabulary, word: str) -> list[str | int]:
     return _words(word) if known(word) else v.library_pieces(word)
 
 
+def pieces_of_words(v: Vocabulary, words: list[str]) -> list[str | int]:
+    """What ``word_pieces`` gives for each of the words, which hold no line ends, behind a BREAK. Most words are split many at once."""
+    out = []
+    for i in range(0, len(words), TOGETHER):
+        some = words[i : i + TOGETHER]
+        text = BREAK + BREAK.join(some)
+        if v.find_special.search(text) or not known(text):
+            out += [p for w in some for p in (BREAK, *word_pieces(v, w))]
+        else:
+            out += _LINES.findall(lower(text if text.isascii() else unicodedata.normalize("NFC", text)))
+    return out
+
+
 def byte_units(v: Vocabulary, text: str) -> list[str]:
     """Parts of a text at which every byte-level pre-token ends too: the text's words, each with the blank before it."""
     if "  " in text or text.endswith(" ") or any(s in text for s in v.special):

@@ -6,24 +6,25 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
 from .common import REMEMBERED, give_back, mapped, table
-from .tokens import WORDS, slices, vocabulary_path
+from .tokens import WORDS, vocabulary_path
 
 WINDOW = 4096
 TIERS = (4096, 2048, 1024, 512)  # context sizes, longest first, each a power of two
 BLOCK = 4_000_000  # tokens packed together
 STEP = 1 << 17  # tokens of a step group
-CHARS = 1 << 19  # characters encoded at once in a task
+BYTES = 1 << 21  # of texts encoded at once in a task
 END = 2
 SPECIAL = " "  # before a special string's id in place of a pre-token, which holds no blank
 
@@ -41,22 +42,24 @@ class Encoder:
         self.words = bpe.Lexicon(self._split, WORDS)
 
     def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        spelt = (p if p[0] == SPECIAL or (p.isascii() and p.isprintable()) else "".join(self.letters[b] for b in p.encode()) for p in pieces)
-        ids = [[int(p[1:])] if p[0] == SPECIAL else [t.id for t in self.model.tokenize(p)] for p in spelt]
+        spelt = (p if p[0] == SPECIAL or p == bpe.BREAK or (p.isascii() and p.isprintable()) else "".join(self.letters[b] for b in p.encode()) for p in pieces)
+        ids = [[int(p[1:])] if p[0] == SPECIAL else [t.id for t in self.model.tokenize(p)] if p != bpe.BREAK else [] for p in spelt]
         return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def _split(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [bpe.word_pieces(self.v, w) for w in words]
-        n = [len(x) for x in parts]
-        every = [p for x in parts for p in x]
+        every = bpe.pieces_of_words(self.v, words)
         codes = self.pieces.codes([p if isinstance(p, str) else f"{SPECIAL}{p}" for p in every])
-        return self.pieces.pieces(codes), bpe.sums(self.pieces.size[codes], n)
+        return self.pieces.pieces(codes), np.add.reduceat(self.pieces.size[codes], np.flatnonzero(codes == codes[0]))  # a break has no ids
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and each text's number."""
-        words = [bpe.words_of(t) for t in texts]
-        codes = self.words.codes([w for x in words for w in x])
-        return self.words.pieces(codes), bpe.sums(self.words.size[codes], [len(x) for x in words])
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and each text's number. Arrow finds the distinct stretches, so that only those become Python strings."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if pc.any(pc.match_substring_regex(texts, bpe.WIDE)).as_py():
+            texts = pc.replace_substring_regex(texts, bpe.WIDE, " ")
+        words = pc.ascii_split_whitespace(texts)
+        each = words.flatten().dictionary_encode()
+        codes = self.words.codes(each.dictionary.to_numpy(zero_copy_only=False).tolist())[each.indices.to_numpy()]
+        return self.words.pieces(codes), bpe.sums(self.words.size[codes], words.value_lengths().to_numpy())
 
 
 @lru_cache(1)
@@ -104,6 +107,16 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int,
     return out
 
 
+def parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts (null: empty) of a bounded number of bytes at once, ``most`` and what the first text has beyond."""
+    for b in batches:
+        texts = b.column(1).fill_null("")
+        at = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // most
+        for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), b.num_rows]):
+            if hi > lo:
+                yield b.column(0).slice(lo, hi - lo), texts.slice(lo, hi - lo)
+
+
 def own_copy(keys: pa.Array) -> pa.Array:
     """The same values in memory of their own. A batch from Spark is one piece of memory: its keys would keep its texts."""
     return keys.take(pa.array(np.arange(len(keys))))
@@ -144,7 +157,7 @@ def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(spec.value)
         task, number, held = TaskContext.get().partitionId(), 0, ([], [], [])
-        for keys, texts in slices(batches, CHARS):
+        for keys, texts in parts(batches, BYTES):
             ids, n = coder.encode(texts)
             ends = np.cumsum(n)
             ids = np.insert(ids, ends, END)

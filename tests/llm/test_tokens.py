@@ -111,6 +111,32 @@ def test_lexicon_forgets_what_is_rare():
     assert made == ["a", "bb", "ccc", "dd", "eeeee", "ccc"]
 
 
+def test_packing_asks_for_each_distinct_word_once():
+    """Before, every word of the texts was looked up in Python and each new one split by a call of its own."""
+    e, asked = packing.Encoder(open(tokens.vocabulary_path("word_bpe_49k.json")).read()), []
+    e.words.codes = lambda words, codes=e.words.codes: [asked.append(len(words)), codes(words)][1]
+    ids, n = e.encode(["the ants  and\nthe\u3000bees ", "the\xa0ants and\u2003the\u2028bees"] * 500)
+    assert n.tolist() == [len(ids) // 1000] * 1000 and sum(asked) <= 5  # the, ants, and, bees and what is behind the last blank
+
+
+def test_words_split_together_are_split_as_alone(monkeypatch):
+    monkeypatch.setattr(bpe, "TOGETHER", 3)
+    v = bpe.Vocabulary(open(tokens.vocabulary_path("word_bpe_49k.json")).read())
+    words = sorted({w for t in texts(600) for w in bpe.words_of(t)}) + ["", "ΑΣ", "Don't", "x<|endoftext|>y", "\U000e1000a", "e\u0301\xa0\u0301", "#'s"]
+    assert any(v.find_special.search(w) for w in words) and not all(map(bpe.known, words))
+    random.Random(4).shuffle(words)
+    assert bpe.pieces_of_words(v, words) == [p for w in words for p in (bpe.BREAK, *bpe.word_pieces(v, w))]
+
+
+def test_parts_are_bounded_and_whole():
+    r = random.Random(6)
+    rows = [(i, r.choice([None, "", "é" * r.randint(0, 9), "b" * 70])) for i in range(300)]
+    batches = [pa.record_batch([pa.array([i for i, _ in x], pa.int64()), pa.array([t for _, t in x], pa.string())], ["doc_id", "text"]) for x in (rows[:7], [], rows[7:])]
+    got = [(k.to_pylist(), t.to_pylist()) for k, t in packing.parts(iter(batches), 50)]
+    assert [x for k, t in got for x in zip(k, t, strict=True)] == [(i, t or "") for i, t in rows]
+    assert all(k and sum(len(x.encode()) for x in t[1:]) <= 50 for k, t in got) and len(got) > 50
+
+
 def test_pack_is_exact_and_full():
     r = random.Random(2)
     for lengths in ([1], [4096], [9000, 3], [1] * 700, [r.randint(1, 9000) for _ in range(300)], []):

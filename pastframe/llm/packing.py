@@ -24,7 +24,7 @@ WINDOW = 4096
 TIERS = (4096, 2048, 1024, 512)  # context sizes, longest first, each a power of two
 BLOCK = 4_000_000  # tokens packed together
 STEP = 1 << 17  # tokens of a step group
-BYTES = 1 << 21  # of texts encoded at once in a task
+BYTES = 1 << 19  # of texts encoded at once in a task
 END = 2
 SPECIAL = " "  # before a special string's id in place of a pre-token, which holds no blank
 

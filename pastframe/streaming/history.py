@@ -14,47 +14,92 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LONG, SHORT = 500, 10  # entries of the long-term and of the recent mean
+MANY = 20_000  # rows of a key that a worker holds, besides those of one slot
 OUT = ["micros__", "value__", "carried__", "last_mean", "long_term_mean", "n_before", "ewm"]
 #: Keys and order columns go through the worker as JSON: pandas would make floats of whole numbers beside a null, and mix such keys up.
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 class _History(StatefulProcessor):
-    """Rows wait in a map of time slots; a slot's timer answers them in order when the watermark has passed it."""
+    """A key's rows wait in one list; a timer answers all of its slots that the watermark has passed, in order.
 
-    def __init__(self, order: list[str], slot: int, alpha: float, ttl: int | None):
-        self.order, self.slot, self.alpha, self.ttl = order, slot, alpha, ttl
+    State is called a few times a key and micro-batch, not for every slot. Where more than MANY rows of a key wait, they
+    are dealt to a map of slots, of which one is held at a time; a row without a time in the list says that there are such.
+    """
+
+    def __init__(self, order: list[str], slot: int, alpha: float, ttl: int | None, many: int = MANY):
+        self.order, self.slot, self.alpha, self.ttl, self.many = order, slot, alpha, ttl, many
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot long", "at array<long>, v array<double>, carried array<string>")
-        self.sums = handle.getValueState("sums", "n long, ewm double", self.ttl)
-        self.values = handle.getListState("values", "v double", self.ttl)
+        self.waiting = handle.getListState("waiting", "at long, v double, carried string")
+        self.slots = handle.getMapState("slots", "slot long", "at array<long>, v array<double>, carried array<string>")
+        self.known = handle.getValueState("known", "n long, ewm double, values array<double>", self.ttl)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        plain = lambda x: None if pd.isna(x) else float(x)
         for r in initialState.itertuples(index=False):
-            self.sums.update((int(r.n), None if pd.isna(r.ewm) else float(r.ewm)))
-            if len(r.values):
-                self.values.put([(None if pd.isna(v) else float(v),) for v in r.values])
+            self.known.update((int(r.n), plain(r.ewm), [plain(v) for v in r.values]))
+
+    def _end(self, at: int) -> int:
+        return (at // (1000 * self.slot) + 1) * self.slot
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for p in rows:
-            for slot, part in p.groupby(p.micros__ // (1000 * self.slot)):
-                k = (int(slot),)
-                new = [[None if pd.isna(x) else x for x in part[c].tolist()] for c in ("micros__", "value__", "carried__")]
-                if self.waiting.containsKey(k):
-                    new = [list(a) + b for a, b in zip(self.waiting.getValue(k), new, strict=True)]
-                self.waiting.updateValue(k, tuple(new))
-                self.handle.registerTimer((int(slot) + 1) * self.slot)
+            if len(p):
+                self.waiting.appendList([(int(a), None if v != v else v, c) for a, v, c in zip(p.micros__.tolist(), p.value__.astype(float).tolist(), p.carried__.tolist(), strict=True)])
+                self.handle.registerTimer(self._end(int(p.micros__.min())))
         return iter(())
 
+    def _deal(self, rows: list[tuple]) -> None:
+        by: dict[int, list[tuple]] = {}
+        for r in rows:
+            by.setdefault(r[0] // (1000 * self.slot), []).append(r)
+        for slot, part in by.items():
+            new = [list(x) for x in zip(*part, strict=True)]
+            if self.slots.containsKey((slot,)):
+                new = [list(a) + b for a, b in zip(self.slots.getValue((slot,)), new, strict=True)]
+            self.slots.updateValue((slot,), tuple(new))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        slot = (expiredTimerInfo.getExpiryTimeInMs() // self.slot - 1,)
-        at, v, carried = self.waiting.getValue(slot)
-        ranks = [[(x is not None, x) for x in map(json.loads(c).get, self.order)] for c in carried]
-        rows = [r[:1] + r[2:] for r in sorted(zip(at, ranks, v, carried, strict=True), key=lambda r: r[:2])]
-        n, ewm = self.sums.get() if self.sums.exists() else (0, None)
-        last = deque((x[0] for x in self.values.get()), LONG) if self.values.exists() else deque(maxlen=LONG)
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        rows, dealt = [], False
+        for at, v, carried in self.waiting.get():
+            if at is None:
+                dealt = True
+                continue
+            rows.append((at, v, carried))
+            if len(rows) >= self.many:
+                self._deal(rows)
+                rows, dealt = [], True
+        if dealt:
+            self._deal(rows)
+            rest = []
+            for slot in sorted(k[0] for k in self.slots.keys()):
+                if (slot + 1) * self.slot <= now:
+                    yield self._answered([*zip(*self.slots.getValue((slot,)), strict=True)])
+                    self.slots.removeKey((slot,))
+                else:
+                    rest.append((slot + 1) * self.slot)
+            stay = [(None, None, None)] if rest else []
+        else:
+            due = [r for r in rows if self._end(r[0]) <= now]
+            stay = [r for r in rows if self._end(r[0]) > now] if len(due) < len(rows) else []
+            rest = [self._end(r[0]) for r in stay]
+            if due:
+                yield self._answered(due)
+        if stay:
+            self.waiting.put(stay)
+            self.handle.registerTimer(min(rest))
+        else:
+            self.waiting.clear()
+
+    def _answered(self, rows: list[tuple]) -> pd.DataFrame:
+        """The rows in order with what was known before each, which then knows them too."""
+        ranks = [[(x is not None, x) for x in map(json.loads(c).get, self.order)] for _, _, c in rows]
+        rows = [r[0] for r in sorted(zip(rows, ranks, strict=True), key=lambda r: (r[0][0], r[1]))]
+        got = self.known.get() if self.known.exists() else None
+        n, ewm, last = (got[0], got[1], deque(got[2], LONG)) if got is not None else (0, None, deque(maxlen=LONG))
         out, at, seen = [], None, ()
         for r in rows:
             if r[0] != at:  # rows of one time don't see each other
@@ -67,10 +112,8 @@ class _History(StatefulProcessor):
             last.append(r[1])
             if r[1] is not None:
                 ewm = r[1] if ewm is None else ewm + self.alpha * (r[1] - ewm)
-        self.sums.update((n, ewm))
-        self.values.put([(x,) for x in last])
-        self.waiting.removeKey(slot)
-        yield pd.DataFrame(out, columns=OUT)
+        self.known.update((n, ewm, list(last)))
+        return pd.DataFrame(out, columns=OUT)
 
 
 def state_of(entries: DataFrame, key: str, value: str, order: list[str], span: int = 5) -> DataFrame:
@@ -101,7 +144,7 @@ def history_before(
     Entries are answered in event time, whatever order and batches they come in, once the
     watermark (``delay`` behind the newest time) has passed the end of their ``slot``; later
     ones than that are late and not answered. Entries of one timestamp don't see each other. A batch of a
-    key is read frame by frame; memory holds one slot of one key and its last 500 values.
+    key is read frame by frame; memory holds MANY entries or one slot of one key, and its last 500 values.
     ``known`` hands over a batch table's state (``state_of``); ``ttl`` in milliseconds lets
     keys that stay away be forgotten. Null keys are one key, null times are no entries.
     The session needs the RocksDB state store (STORE).

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.tables import exists
 
 BUCKET = "load_bucket"
+FEW = 1_000_000  # words of filters that are broadcast, at most
 
 
 @dataclass(frozen=True)
@@ -50,25 +51,34 @@ class Target:
         return spark.read.parquet(self.rows).drop(BUCKET)
 
 
-def unloaded(batch: DataFrame, target: Target) -> DataFrame:
-    """Rows of ``batch`` whose key the target doesn't hold; the target is read in those buckets only where a filter takes a key for known."""
+def _asked(batch: DataFrame, target: Target) -> DataFrame:
+    """``batch`` with its bucket and ``maybe``: whether a filter takes the key for known."""
     spark = batch.sparkSession
     batch = target.placed(batch)
     if not (exists(spark, target.rows) and exists(spark, target.filters)):
-        return batch
+        return batch.withColumn("maybe", F.lit(False))
     known = spark.read.schema(f"{BUCKET} int, word int, bits long").parquet(target.filters).groupBy(BUCKET, "word").agg(F.bit_or("bits").alias("have"))
+    known = F.broadcast(known) if target.buckets * target.words <= FEW else known  # a row a word
     asked = target.bits(batch.select(*target.key, BUCKET)).join(known, [BUCKET, "word"], "left")
     hit = (F.col("bits").bitwiseAND(F.coalesce("have", F.lit(0).cast("long"))) == F.col("bits")).cast("int")
-    maybe = asked.groupBy(*target.key, BUCKET).agg(F.min(hit).alias("hit")).where("hit = 1").drop("hit").persist()
-    try:
-        where = [r[0] for r in maybe.select(BUCKET).distinct().collect()]  # buckets, a fixed number
-        if not where:
-            return batch
-        have = spark.read.schema(batch.schema).parquet(target.rows).where(F.col(BUCKET).isin(where)).select(*target.key, BUCKET)
-        loaded = have.join(maybe, [*target.key, BUCKET], "left_semi").distinct()
-        return batch.join(loaded, [*target.key, BUCKET], "left_anti")
-    finally:
-        maybe.unpersist()
+    hits = asked.groupBy(*target.key, BUCKET).agg((F.min(hit) == 1).alias("maybe"))
+    return batch.join(hits, [*target.key, BUCKET], "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
+
+
+def _new(asked: DataFrame, target: Target) -> DataFrame:
+    """Rows of ``_asked`` that the target doesn't hold. It is read in the buckets of those that may be known, and only these rows are compared."""
+    spark, columns = asked.sparkSession, [c for c in asked.columns if c != "maybe"]
+    where = [r[0] for r in asked.where("maybe").select(BUCKET).distinct().collect()]  # buckets, a fixed number
+    if not where:
+        return asked.select(columns)
+    have = spark.read.schema(asked.select(*target.key, BUCKET).schema).parquet(target.rows).where(F.col(BUCKET).isin(where))
+    unknown = asked.where("maybe").join(have, [*target.key, BUCKET], "left_anti")
+    return asked.where("not maybe").select(columns).unionByName(unknown.select(columns))
+
+
+def unloaded(batch: DataFrame, target: Target) -> DataFrame:
+    """Rows of ``batch`` whose key the target doesn't hold; the target is read in those buckets only where a filter takes a key for known."""
+    return _new(_asked(batch, target), target)
 
 
 def add_batch(batch: DataFrame, number: int, target: Target) -> None:
@@ -76,15 +86,18 @@ def add_batch(batch: DataFrame, number: int, target: Target) -> None:
 
     Filters are written before rows: if the job is lost between the two, the batch comes
     again, its keys look known, and the rows say that they aren't. Bits are only ever added.
+    Rows are dealt by bucket before they are written, so that a batch adds one file to a bucket, not one a task.
     """
     known = F.expr(" and ".join(f"{k} is not null" for k in target.key))
-    fresh = unloaded(batch.dropDuplicates(list(target.key)).where(known), target).persist()
+    asked = _asked(batch.dropDuplicates(list(target.key)).where(known), target).persist()
+    fresh = _new(asked, target).persist()
     try:
         new = target.bits(fresh.select(*target.key, BUCKET)).groupBy(BUCKET, "word").agg(F.bit_or("bits").alias("bits"))
         new.write.mode("append").parquet(f"{target.filters}/batch={number}")
-        fresh.write.mode("append").partitionBy(BUCKET).parquet(target.rows)
+        fresh.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(target.rows)
     finally:
         fresh.unpersist()
+        asked.unpersist()
 
 
 def load_new(stream: DataFrame, target: Target, checkpoint: str) -> StreamingQuery:

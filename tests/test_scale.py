@@ -114,6 +114,18 @@ def test_state_is_called_by_key_and_not_by_slot(many):
     assert got.n_before.tolist() == [sum(y[0] < x[0] for y in rows) for x in want]
 
 
+def test_a_batch_adds_one_file_to_a_bucket(spark, tmp_path):
+    """Before, every task of a batch added one to each bucket."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    own.conf.set("spark.sql.shuffle.partitions", "4")
+    target = loading.Target(str(tmp_path / "t"), ("id",), buckets=3)
+    for k in range(2):
+        loading.add_batch(own.range(k * 300, k * 300 + 400).withColumn("value", F.lit("x")), k, target)
+    assert {len([*p.glob("*.parquet")]) for p in (tmp_path / "t" / "rows").glob("load_bucket=*")} == {2}
+    assert sorted(r.id for r in target.table(own).collect()) == list(range(700))
+
+
 def tables(spark, folder):
     r, day = random.Random(5), datetime(1995, 1, 1)
     lines = [(r.choice([1, 2, 3, 4, None]), r.randint(1, 4), r.choice([1, 2, None]), r.choice([1, 2, 3, 4, 5, 6, None]), float(r.randint(1, 50)), 100.0 + i, r.choice([0.0, 0.05]), 0.02, "A", "F", day) for i in range(120)]

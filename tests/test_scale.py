@@ -126,6 +126,20 @@ def test_a_batch_adds_one_file_to_a_bucket(spark, tmp_path):
     assert sorted(r.id for r in target.table(own).collect()) == list(range(700))
 
 
+def test_recent_matches_copy_no_row(spark):
+    """Before, every row became up to seven events that carried all of its columns."""
+    df = table(spark, rows_of(3, 20))
+    got = pit.distinct_in_days(df, ["player_id"], "match_id", [7, 14, 30], "n_")
+    assert "Generate" not in plan(got)
+    assert "match_importance" not in got.columns and got.count() == df.count()
+
+
+def test_checkpoints_are_columns(spark):
+    df = graph.checkpointed(spark.range(1000).select("id", F.lit("a long text that repeats").alias("t"), F.array(F.lit(None).cast("double")).alias("a")))
+    assert "Scan parquet" in plan(df) and df.where("t like 'a long%' and a[0] is null").count() == 1000
+    assert graph.checkpointed(spark.range(2).withColumn("v", F.lit(None))).count() == 2  # no type: a checkpoint as before
+
+
 def tables(spark, folder):
     r, day = random.Random(5), datetime(1995, 1, 1)
     lines = [(r.choice([1, 2, 3, 4, None]), r.randint(1, 4), r.choice([1, 2, None]), r.choice([1, 2, 3, 4, 5, 6, None]), float(r.randint(1, 50)), 100.0 + i, r.choice([0.0, 0.05]), 0.02, "A", "F", day) for i in range(120)]
@@ -135,6 +149,28 @@ def tables(spark, folder):
     spark.createDataFrame([(1, "SMALL"), (2, "LARGE"), (2, None)], "p_partkey long, p_type string").write.parquet(f"{folder}/part.parquet")
 
 
+def test_fact_moves_line_items_twice(spark, tmp_path):
+    """To their part and to their order, where they moved six times; repeated and missing keys multiply and drop rows as joins do."""
+    tables(spark, str(tmp_path))
+    got = fact.fact(spark, str(tmp_path))
+    moves = plan(got).count("Exchange hashpartitioning(l_partkey") + plan(got).count("Exchange hashpartitioning(l_orderkey") + plan(got).count("Exchange hashpartitioning(l_suppkey")
+    assert moves <= 4  # of lines and of the parts and orders that they meet
+    lines = fact.table(spark, str(tmp_path), "lineitem").collect()
+    last = {}
+    for x in lines:
+        m = None if x.l_linenumber is None else f"map{x.l_linenumber % 3}"
+        if x.l_orderkey is not None:
+            k = (x.l_suppkey, x.l_orderkey, m)
+            order = lambda x: ((x.l_linenumber is not None, x.l_linenumber or 0), x.l_partkey, x.l_extendedprice)
+            if k not in last or order(x) > order(last[k]):
+                last[k] = x
+    times = lambda x: {1: 1, 2: 2 * 1 + 1, 4: 1}.get(x.l_orderkey, 0) * (2 if x.l_partkey == 2 else 1)
+    assert got.count() == sum(times(x) for x in last.values())
+    key = lambda r: (r.player_id if r.player_id is not None else -1, r.match_id, r.map or "")
+    want = sorted(key for (p, o, m), x in last.items() for key in [(p if p is not None else -1, o, m or "")] * times(x))
+    assert sorted(map(key, got.collect())) == want
+
+
 def models(spark):
     r = random.Random(7)
     rows = [(i, float(r.randint(0, 9)) if r.random() < 0.9 else None, r.choice(["u", "v", None]), float(i % 7)) for i in range(300)]

@@ -50,7 +50,7 @@ def stage_by_match(df: DataFrame, name: str, path: str, buckets: int) -> DataFra
 def clean_players(players: DataFrame, order: list[str]) -> DataFrame:
     """Numbers and shares from text, kda, roles, one row per (player_id, match_id, map): the last in ``order`` of those with a match and a team."""
     df = _renamed(_whole(players, ["player_id", "match_id", "team_id"]), {"name": "player_name"}).dropna(subset=["match_id", "team_id"])
-    df = keep_last(df, ["player_id", "match_id", "map"], order)
+    df = keep_last(df, ["player_id", "match_id", "map"], order, ["match_id"])
     df = df.withColumns({c: to_number(c) for c in NUMBERS if c in df.columns} | {c: percent(c) for c in SHARES if c in df.columns})
     return add_roles(df.withColumn("kda_all", ratio(F.col("kills_all") + F.col("assists_all"), F.col("deaths_all"))))
 
@@ -67,7 +67,7 @@ def clean_matches(matches: DataFrame, order: list[str]) -> DataFrame:
 def clean_maps(maps: DataFrame, order: list[str]) -> DataFrame:
     """One row per (match_id, map)."""
     df = _renamed(_whole(maps, ["match_id", "team_1_id", "team_2_id"]), {"map_name": "map", "patch_version": "patch"})
-    return keep_last(df, ["match_id", "map"], order)
+    return keep_last(df, ["match_id", "map"], order, ["match_id"])
 
 
 def map_results(df: DataFrame) -> DataFrame:
@@ -90,7 +90,11 @@ def build_dataset(players: DataFrame, matches: DataFrame, maps: DataFrame, order
     m = m.drop(*[c for c in p.columns if c != "match_id"])
     t = t.drop(*[c for c in {*p.columns, *m.columns} if c not in ("match_id", "map")])
     df = many_to_one(p, m, ["match_id"], check=False).dropna(subset=["match_id", "team_id", "map"])
-    df = many_to_one(df, t, ["match_id", "map"], check=False)
+    # A match's maps come as one row, so that this join too goes by match, as the rows lie already.
+    at = [c for c in t.columns if c not in ("match_id", "map")]
+    t = t.where("map is not null").groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("map", F.struct(*at)))).alias("_maps"))
+    df = many_to_one(df, t, ["match_id"], check=False).withColumn("_map", F.col("_maps")[F.col("map")])
+    df = df.select(*[c for c in df.columns if c not in ("_maps", "_map")], *[F.col(f"_map.{c}").alias(c) for c in at])
     df = df.withColumns(
         {
             "opponent_team_id": other_side("team_id", "team_1_id", F.col("team_1_id"), F.col("team_2_id")),

@@ -32,6 +32,7 @@ def rate_maps(maps: DataFrame, pool: str | None = None, start: float = START, k:
     """
     m = maps.where("team_1_id is not null and team_2_id is not null and ts is not null")
     if pool is None:
+        m = graph.checkpointed(m.select("match_id", "map", "ts", "team_1_id", "team_2_id", "result"))  # read for who met and for the scan
         m = graph.with_component(m, "team_1_id", "team_2_id", "pool")
         pool = "pool"
     m = m.select(F.col(pool).alias("pool"), "ts", "match_id", "map", "team_1_id", "team_2_id", F.col("result").cast("double").alias("result"))

@@ -171,6 +171,14 @@ def test_fact_moves_line_items_twice(spark, tmp_path):
     assert sorted(map(key, got.collect())) == want
 
 
+def test_keep_last_where_rows_lie(spark):
+    rows = [(m, p, i) for i, (m, p) in enumerate((m, p) for m in (1, 2, None) for p in ("a", None, "a", "b", None))]
+    df = spark.createDataFrame(rows, "m int, p string, i int")
+    got = dedup.keep_last(df, ["m", "p"], ["i"], ["m"])
+    assert "hashpartitioning(m#" in plan(got) and plan(got).count("Exchange") == 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, dedup.keep_last(df, ["m", "p"], ["i"]).collect()))
+
+
 def models(spark):
     r = random.Random(7)
     rows = [(i, float(r.randint(0, 9)) if r.random() < 0.9 else None, r.choice(["u", "v", None]), float(i % 7)) for i in range(300)]

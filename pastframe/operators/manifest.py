@@ -20,7 +20,7 @@ def split_parts(df: DataFrame) -> DataFrame:
 def part_matches(df: DataFrame, windows: int = 3) -> DataFrame:
     """part, match_id: the matches of each split and of each rolling window's two sides, one row each; as large as the match table times the windows."""
     matches = df.select("split", "match_id").distinct().select(F.col("split").alias("part"), "match_id")
-    rows = df.drop("match_idx", "split")
+    rows = df.select("match_id", "ts")
     for i, (train, valid) in enumerate(splits.rolling_splits(rows, windows)):
         for side, part in (("train", train), ("validation", valid)):
             matches = matches.unionByName(part.select(F.lit(f"window_{i}_{side}").alias("part"), "match_id").distinct())

@@ -165,12 +165,13 @@ SLICED = {
     ),
 )
 def m12(spark, d):
-    f = fact(spark, d)
+    f = splits.checkpointed(fact(spark, d))  # read for the teams and for the rows
     out = features.add_team_features(f, features.team_history(features.team_maps(f)))
     out = pit.barrier(out, ["player_id"], {"player_matches_played": (F.count(F.lit(1)), None), "prediction": (F.avg("rating"), 5)})
     for key in ("map", "role"):
         out = pit.barrier(out, ["player_id", key], {f"player_{key}_matches_played": (F.count(F.lit(1)), 100)})
-    report = metrics.slice_report(metrics.slice_columns(out), y="rating")
+    used = ["ts", *KEY, "agent", "role", "rating", "prediction", "player_matches_played", "player_role_matches_played", "player_map_matches_played", "opponent_rating_last_5", "lineup_continuity"]
+    report = metrics.slice_report(metrics.slice_columns(out.select(used)), y="rating")
     return report.select("slice", "value", "n", *[F.round(x, 4).alias(x) for x in ROUND4])
 
 
@@ -179,12 +180,12 @@ def m12(spark, d):
 
 @query("m10_elo_and_team_lines")
 def m10(spark, d):
-    f = fact(spark, d)
+    f = splits.checkpointed(fact(spark, d))  # read for the ratings, the teams, the matches' order and the rows
     one = F.concat(F.lit("team"), F.col("team_1_id").cast("string"))
     named = f.withColumns({"team_1": one, "team_2": F.concat(F.lit("team"), F.col("team_2_id").cast("string"))})
-    rows = elo.add_elo(named, elo.rate_maps(dataset.map_results(named)))
-    rows = features.add_team_features(rows, features.team_history(features.team_maps(f)))
-    rows = splits.checkpointed(splits.chronological_split(rows))
+    rows = splits.chronological_split(f.select(*KEY, "ts", "team_id", "opponent_team_id", "team_1_id", "rating"))
+    rows = elo.add_elo(rows, elo.rate_maps(dataset.map_results(named)))
+    rows = splits.checkpointed(features.add_team_features(rows, features.team_history(features.team_maps(f))))
     train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
     out = ml.baseline_lines(train, test.where("rating is not null"), "rating")
     return views.union_all([metrics.metrics(out, "rating", c).select(F.lit(c).alias("baseline"), "*") for c in ("elo_only", "team_opponent_historical")])
@@ -195,7 +196,7 @@ def m22(spark, d):
     from .ml_queries import _features
 
     rows = _features(spark, d).drop("match_idx", "split")
-    train = splits.chronological_split(rows).where("split = 'train'")
+    train = splits.checkpointed(splits.chronological_split(rows).where("split = 'train'"))  # read by every fit
     folder, paths = f"{graph.shared_folder(spark)}/models-{uuid.uuid4().hex}", {}
     for target in ("rating", "acs", "kda"):
         paths[f"ridge_{target}"] = f"{folder}/{target}"

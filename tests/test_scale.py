@@ -179,7 +179,44 @@ def test_keep_last_where_rows_lie(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, dedup.keep_last(df, ["m", "p"], ["i"]).collect()))
 
 
+def test_ranks_are_of_distinct_pairs(spark, monkeypatch):
+    """Before, every row was joined to its ranks."""
+    seen, ranks = [], metrics.average_ranks
+    monkeypatch.setattr(metrics, "average_ranks", lambda df, *a: seen.append(df.count()) or ranks(df, *a))
+    r = random.Random(6)
+    rows = [(float(r.randint(0, 3)), float(r.randint(0, 4)), r.choice("ab")) for _ in range(500)]
+    df = spark.createDataFrame(rows, "y double, p double, s string")
+    got = {x.s: x.spearman for x in metrics.sliced_metrics(df, "s", "y", "p").collect()}
+    want = {}
+    for s in "ab":
+        y, p = (pd.Series([x[i] for x in rows if x[2] == s]).rank() for i in (0, 1))
+        want[s] = y.corr(p)
+    assert got == pytest.approx(want)
+    assert max(seen) <= 40
+    assert metrics.metrics(df, "y", "p", ["mae"]).columns == ["mae"] and len(seen) == 2
+
+
 def models(spark):
     r = random.Random(7)
     rows = [(i, float(r.randint(0, 9)) if r.random() < 0.9 else None, r.choice(["u", "v", None]), float(i % 7)) for i in range(300)]
     return spark.createDataFrame(rows, "match_id int, x double, c string, y double")
+
+
+def test_rows_are_made_into_vectors_once(spark, monkeypatch):
+    """The same models as from ``fit``, whose preprocessing ran again for every candidate and trial."""
+    df, calls, pre = models(spark), [], ml.preprocessor
+    plain = ml.fit(df, "ridge", "y", ["x"], ["c"]).pipeline.stages[-1].coefficients
+    assert ml.vectors(df, "y", ["x"], ["c"]).fit("ridge").pipeline.stages[-1].coefficients.toArray() == pytest.approx(plain.toArray())
+    monkeypatch.setattr(ml, "preprocessor", lambda *a: calls.append(1) or pre(*a))
+    windows = [(df.where("match_id < 200"), df.where("match_id >= 200"))]
+    assert ml.rolling_candidates(windows, ["ridge", "huber"], "y", ["x"], ["c"]).count() == 3
+    assert len(calls) == 1
+    calls.clear()
+    spec = search.RANGES | {"maxIter": ("int", 2, 4, 1), "maxDepth": ("int", 2, 2, 1)}
+    found = search.search_trees(*windows[0], "y", ["x"], ["c"], trials=3, spec=spec)
+    assert len(calls) == len({share for _, share, _ in found}) == 3
+
+
+def test_rolling_windows_are_not_joined_again(spark):
+    windows = splits.rolling_splits(table(spark, rows_of(8, 30)))
+    assert all("Join" not in plan(x) for w in windows for x in w)

@@ -220,3 +220,27 @@ def test_rows_are_made_into_vectors_once(spark, monkeypatch):
 def test_rolling_windows_are_not_joined_again(spark):
     windows = splits.rolling_splits(table(spark, rows_of(8, 30)))
     assert all("Join" not in plan(x) for w in windows for x in w)
+
+
+def test_fresh_rows_are_computed_once(spark, tmp_path, monkeypatch):
+    """Before, keys, partitions and content each computed all features again."""
+    df = table(spark, rows_of(9, 10)).withColumn("part", F.date_format("ts", "yyyy-MM-dd"))
+    df.write.partitionBy("part").parquet(str(tmp_path / "t"))
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for p in parts:
+            ran.add(p.num_rows)
+            yield p
+
+    fresh = df.where("player_id % 2 = 0").mapInArrow(count, df.schema)
+    rerun.replace_rows(str(tmp_path / "t"), fresh, df.limit(0), "part")
+    assert ran.value == df.where("player_id % 2 = 0").count()
+    assert spark.read.parquet(str(tmp_path / "t")).count() == df.count()
+
+
+def test_python_sees_narrow_rows_once(spark):
+    """Before, exponential means were made again for teams, rosters and pairs of roles, behind all columns."""
+    df = table(spark, rows_of(10, 10))
+    got = features.build_features(df)
+    assert plan(got).count("MapInArrow") == 1 and set(features.EWM) <= set(got.columns)
